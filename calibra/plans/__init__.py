@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with a DuckDB oracle where SQL can express it."""
 
-from calibra.plans import evaluation  # noqa: F401  (registers queries)
+from calibra.plans import comparison, evaluation  # noqa: F401  (registers queries)
 from calibra.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
