@@ -20,17 +20,21 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, rounded: Sequence[str] | str = ()):
-    """Register ``fn`` under ``name``; ``rounded`` lists SQL columns to round."""
+def query(name: str, sql: str | None = None, rounded: Sequence[str] | str = (),
+          exact: Sequence[str] | str = ()):
+    """Register ``fn`` under ``name``; ``rounded`` lists SQL columns to round,
+    ``exact`` lists float columns compared unrounded (computed exactly on both sides)."""
     if isinstance(rounded, str):
         rounded = rounded.split()
+    if isinstance(exact, str):
+        exact = exact.split()
 
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_doubles(fn(spark, sf_dir))
+            return round_doubles(fn(spark, sf_dir), skip=exact)
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
@@ -42,11 +46,11 @@ def query(name: str, sql: str | None = None, rounded: Sequence[str] | str = ()):
     return deco
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+def round_doubles(df: DataFrame, digits: int = 6, skip: Sequence[str] = ()) -> DataFrame:
     """Round every top-level float column (stable cross-engine comparison)."""
     out = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (DoubleType, FloatType)):
+        if isinstance(f.dataType, (DoubleType, FloatType)) and f.name not in skip:
             out.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
