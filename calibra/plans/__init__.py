@@ -1,6 +1,12 @@
 """Named queries over the test tables, each with a DuckDB oracle where SQL can express it."""
 
-from calibra.plans import comparison, evaluation, monitoring, quality  # noqa: F401  (registers queries)
+from calibra.plans import (  # noqa: F401  (importing registers the queries)
+    comparison,
+    evaluation,
+    monitoring,
+    quality,
+    registry_queries,
+)
 from calibra.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -47,7 +47,7 @@ VIEWS = {
     FROM events""",
     "runs": """
     SELECT event_id AS run_id, event_type AS experiment, CAST(ts AS TIMESTAMP) AS start_time,
-           value AS metric_value, user_id
+           value AS metric_value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS metric_k, user_id
     FROM events""",
     "model_version": """
     SELECT n_name AS name, s_suppkey AS version, s_suppkey AS run_id,

@@ -90,7 +90,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("run_id"),
         F.col("event_type").alias("experiment"),
         F.col("ts").cast("timestamp").alias("start_time"),
-        F.create_map(F.lit("value"), F.col("value")).alias("metrics"),
+        F.create_map(F.lit("value"), F.col("value"),
+                     F.lit("k"), F.get_json_object("props", "$.k").cast("double")).alias("metrics"),
         F.create_map(F.lit("user_id"), F.col("user_id").cast("string")).alias("params"),
     )
 
