@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
                  count_cols: Sequence[str], buckets: int = 32,
-                 accuracy: int = 10000) -> DataFrame:
+                 accuracy: int = 10000, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_<c>`` (sum of c over rows with value <= this value, same group)
     and ``tot_<c>`` (group total) for every ``c`` in ``count_cols``.
 
     ``df`` should already hold one row per (group, value): aggregate counts
-    first so ties collapse and the result is tie-exact.
+    first so ties collapse and the result is tie-exact.  Alternatively give
+    ``tiebreak`` columns that make (value, tiebreak) unique: rows with equal
+    values always share a bucket, so ordering the bucket window by
+    (value, tiebreak) yields a strict total order (a distributed rank).
     """
     group_cols = list(group_cols)
     no_group = not group_cols
@@ -61,7 +64,7 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
         *[F.sum(f"_b_{c}").over(w_tot).alias(f"tot_{c}") for c in count_cols])
 
     joined = with_b.join(offsets, [*group_cols, "_bucket"], "left")
-    w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(value_col).rowsBetween(
+    w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(value_col, *tiebreak).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     out = joined.select(
         *[c for c in with_b.columns if c != "_bucket"],

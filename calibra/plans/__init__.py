@@ -4,6 +4,7 @@ from calibra.plans import (  # noqa: F401  (importing registers the queries)
     comparison,
     evaluation,
     monitoring,
+    preparation,
     quality,
     registry_queries,
 )
