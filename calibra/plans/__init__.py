@@ -7,6 +7,7 @@ from calibra.plans import (  # noqa: F401  (importing registers the queries)
     preparation,
     quality,
     registry_queries,
+    streams,
     training,
 )
 from calibra.plans.registry import ORACLE, QUERIES

@@ -41,7 +41,11 @@ def _score(y: F.Column, weight_true: float, salt: str, key: F.Column) -> F.Colum
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    return preds_from(table(spark, sf_dir, "orders"))
+
+
+def preds_from(o: DataFrame) -> DataFrame:
+    """``preds`` over any orders frame (batch or stream)."""
     key = F.col("o_orderkey")
     y = (F.col("o_orderstatus") == "F").cast("int")
     a = _score(y, 0.3, "a", key)
@@ -70,7 +74,11 @@ def preds_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return log_from(table(spark, sf_dir, "events"))
+
+
+def log_from(e: DataFrame) -> DataFrame:
+    """``log`` over any events frame (batch or stream)."""
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("request_id"),
