@@ -112,7 +112,8 @@ def binned_ks(reference: DataFrame, current: DataFrame, bins: int) -> DataFrame:
 SEQ_STATE = T.StructType([
     T.StructField("a_correct", T.LongType()), T.StructField("a_total", T.LongType()),
     T.StructField("b_correct", T.LongType()), T.StructField("b_total", T.LongType()),
-    T.StructField("batches", T.LongType()), T.StructField("stopped", T.BooleanType())])
+    T.StructField("batches", T.LongType()), T.StructField("stopped", T.BooleanType()),
+    T.StructField("p_value", T.DoubleType())])
 SEQ_OUT = T.StructType([
     T.StructField("test_id", T.StringType()), T.StructField("batches", T.LongType()),
     T.StructField("a_total", T.LongType()), T.StructField("b_total", T.LongType()),
@@ -125,7 +126,7 @@ def _seq_update(min_samples: int, alpha: float):
     import math
 
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ac, at, bc, bt, nb, stopped = state.get if state.exists else (0, 0, 0, 0, 0, False)
+        ac, at, bc, bt, nb, stopped, p = state.get if state.exists else (0, 0, 0, 0, 0, False, None)
         for pdf in pdfs:
             if stopped:
                 continue  # decision taken: later traffic no longer changes it
@@ -138,13 +139,12 @@ def _seq_update(min_samples: int, alpha: float):
         nb += 1
         ra = ac / at if at else 0.0
         rb = bc / bt if bt else 0.0
-        p = None
         if at >= min_samples and bt >= min_samples and not stopped:
             se = math.sqrt(ra * (1 - ra) / at + rb * (1 - rb) / bt)
             z = (rb - ra) / se if se > 0 else 0.0
             p = math.erfc(abs(z) / math.sqrt(2.0))
             stopped = p < alpha
-        state.update((ac, at, bc, bt, nb, stopped))
+        state.update((ac, at, bc, bt, nb, stopped, p))
         yield pd.DataFrame([{"test_id": key[0], "batches": nb, "a_total": at, "b_total": bt, "rate_a": ra,
                              "rate_b": rb, "p_value": p, "stopped": stopped,
                              "decision": "B" if rb > ra else "A"}])
