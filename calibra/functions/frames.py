@@ -11,9 +11,19 @@ from pyspark.sql import functions as F
 def join_single_rows(*dfs: DataFrame) -> DataFrame:
     """Put several one-row results (global aggregates) side by side.
 
-    Every input must be a global aggregate, i.e. exactly one row, so the
-    result is one row.  The join is an equi-join on a constant key, which
-    keeps the plan free of cartesian products.
+    Every input must be a global aggregate, i.e. exactly one row, and the
+    column names must differ.  The rows are stacked (``unionByName`` with the
+    other columns NULL) and folded with ``first(ignorenulls)``: no join, and
+    the only exchange moves one row per input.
     """
-    keyed = [d.withColumn("_one", F.lit(1)) for d in dfs]
-    return reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
+    cols = [c for d in dfs for c in d.columns]
+    if len(set(cols)) != len(cols):
+        raise ValueError(f"duplicate columns in single-row inputs: {cols}")
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+
+
+def scalar(df: DataFrame):
+    """The single value of a one-row, one-column aggregate (an action; one number to the driver)."""
+    row = df.first()
+    return None if row is None else row[0]

@@ -12,18 +12,26 @@ one task.  Instead:
    exact running sum.
 
 Parallelism is groups x B.  The bounds and offsets tables hold groups x B rows;
-joins to them are plain joins, so AQE broadcasts them when their measured size
-is small and falls back to a shuffle join otherwise.
+joins to them are equi-joins on the group keys, so AQE broadcasts them when
+their measured size is small and falls back to a shuffle join otherwise.
+Without group columns the bounds (B-1 numbers) and offsets (B numbers) are
+fetched as literals, so the plan has no join at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _bucket(value_col: str, bounds) -> F.Column:
+    """Number of bounds strictly below the value: equal values share a bucket."""
+    return F.size(F.filter(bounds, lambda x: x < F.col(value_col)))
+
+
 def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
                  count_cols: Sequence[str], buckets: int = 32,
                  accuracy: int = 10000, tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -37,19 +45,15 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
     (value, tiebreak) yields a strict total order (a distributed rank).
     """
     group_cols = list(group_cols)
-    no_group = not group_cols
-    if no_group:
-        df = df.withColumn("_g", F.lit(0))
-        group_cols = ["_g"]
+    if not group_cols:
+        return _running_sums_global(df, value_col, count_cols, buckets, accuracy, tiebreak)
     b = max(1, int(buckets))
     if b > 1:
         probs = [i / b for i in range(1, b)]
         bounds = df.groupBy(*group_cols).agg(
             F.percentile_approx(F.col(value_col), probs, accuracy).alias("_bounds"))
-        with_b = df.join(bounds, group_cols, "left")
-        with_b = with_b.withColumn(
-            "_bucket", F.size(F.filter(F.col("_bounds"), lambda x: x < F.col(value_col)))
-        ).drop("_bounds")
+        with_b = df.join(bounds, group_cols, "left").withColumn(
+            "_bucket", _bucket(value_col, F.col("_bounds"))).drop("_bounds")
     else:
         with_b = df.withColumn("_bucket", F.lit(0))
 
@@ -66,8 +70,83 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
     joined = with_b.join(offsets, [*group_cols, "_bucket"], "left")
     w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(value_col, *tiebreak).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = joined.select(
+    return joined.select(
         *[c for c in with_b.columns if c != "_bucket"],
         *[(F.sum(c).over(w_in) + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in count_cols],
         *[F.col(f"tot_{c}") for c in count_cols])
-    return out.drop("_g") if no_group else out
+
+
+def _running_sums_global(df: DataFrame, value_col: str, count_cols: Sequence[str], buckets: int,
+                         accuracy: int, tiebreak: Sequence[str]) -> DataFrame:
+    """One group: bounds and bucket offsets are a few numbers, used as literals."""
+    b = max(1, int(buckets))
+    bounds: list = []
+    if b > 1:
+        probs = [i / b for i in range(1, b)]
+        got = df.agg(F.percentile_approx(F.col(value_col), probs, accuracy)).first()[0] or []
+        bounds = sorted(set(got))
+    bucket = _bucket(value_col, F.array(*[F.lit(x) for x in bounds])) if bounds else F.lit(0)
+    with_b = df.withColumn("_bucket", bucket)
+    nb = len(bounds) + 1
+    # at most nb rows: the per-bucket totals
+    per = {r["_bucket"]: r for r in with_b.groupBy("_bucket").agg(
+        *[F.sum(c).alias(c) for c in count_cols]).collect()}
+    lits = []
+    for c in count_cols:
+        sizes = [(per[i][c] or 0) if i in per else 0 for i in range(nb)]
+        offs = [0, *accumulate(sizes)][:nb]
+        t = "bigint" if all(isinstance(x, int) for x in sizes) else "double"
+        lits.append((c, F.array(*[F.lit(o).cast(t) for o in offs]), F.lit(sum(sizes)).cast(t)))
+    w_in = Window.partitionBy("_bucket").orderBy(value_col, *tiebreak).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return with_b.select(
+        *df.columns,
+        *[(F.sum(c).over(w_in) + F.element_at(arr, F.col("_bucket") + 1)).alias(f"cum_{c}")
+          for c, arr, _ in lits],
+        *[total.alias(f"tot_{c}") for c, _, total in lits])
+
+
+def cumulative_counts(raw: DataFrame, group_cols: Sequence[str], value_col: str,
+                      aggs: dict, buckets: int = 32, accuracy: int = 10000) -> DataFrame:
+    """Per (group, distinct value): the aggregates ``aggs`` (name -> Column),
+    their running sums ``cum_<name>`` over values <= this value and group
+    totals ``tot_<name>`` - computed straight from the raw rows.
+
+    The raw rows are only ever partially aggregated before a shuffle: the
+    bucket bounds are per-partition quantile sketches, and the (group, bucket,
+    value) counts are combined map-side, so a hot value costs one row per task.
+    The count table is shuffled once for the aggregation; the per-bucket
+    totals reuse that exchange.
+    """
+    group_cols = list(group_cols)
+    names = list(aggs)
+    b = max(1, int(buckets))
+    probs = [i / b for i in range(1, b)]
+    if not group_cols:
+        bounds = sorted(set(raw.agg(F.percentile_approx(F.col(value_col), probs, accuracy)).first()[0] or [])) \
+            if b > 1 else []
+        rb = raw.withColumn("_bucket", _bucket(value_col, F.array(*[F.lit(x) for x in bounds]))
+                            if bounds else F.lit(0))
+    elif b > 1:
+        bnd = raw.groupBy(*group_cols).agg(F.percentile_approx(F.col(value_col), probs, accuracy).alias("_bounds"))
+        rb = raw.join(bnd, group_cols, "left").withColumn(
+            "_bucket", _bucket(value_col, F.col("_bounds"))).drop("_bounds")
+    else:
+        rb = raw.withColumn("_bucket", F.lit(0))
+    counts = rb.groupBy(*group_cols, "_bucket", value_col).agg(*[a.alias(n) for n, a in aggs.items()])
+    per_bucket = counts.groupBy(*group_cols, "_bucket").agg(*[F.sum(n).alias(f"_b_{n}") for n in names])
+    keys = group_cols or []
+    w_off = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    w_tot = Window.partitionBy(*keys)
+    # per_bucket has groups x B rows; without groups the window runs over B rows
+    offsets = per_bucket.select(
+        *keys, "_bucket",
+        *[F.coalesce(F.sum(f"_b_{n}").over(w_off), F.lit(0)).alias(f"_off_{n}") for n in names],
+        *[F.sum(f"_b_{n}").over(w_tot).alias(f"tot_{n}") for n in names])
+    joined = counts.join(offsets, [*keys, "_bucket"], "left")
+    w_in = Window.partitionBy(*keys, "_bucket").orderBy(value_col).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return joined.select(
+        *keys, value_col, *names,
+        *[(F.sum(n).over(w_in) + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in names],
+        *[F.col(f"tot_{n}") for n in names])

@@ -118,6 +118,8 @@ def sequential_batches(r: DataFrame, order_key: str, batch_size: int = 100,
         F.sum(F.when(F.col("arm") == "B", correct).otherwise(0)).cast("bigint").alias("b_correct"),
         F.count_if(F.col("arm") == "A").alias("a_n"),
         F.count_if(F.col("arm") == "B").alias("b_n"))
+    # one row per batch of rows: small, and reused by every later step -> cut the lineage here
+    per = per.checkpoint()
     cum = running_sums(per, [], "batch", ["a_correct", "b_correct", "a_n", "b_n"], buckets=buckets)
     ta, tb = F.col("cum_a_n"), F.col("cum_b_n")
     ra = safe_div(F.col("cum_a_correct"), ta)
@@ -141,14 +143,13 @@ def sequential_batches(r: DataFrame, order_key: str, batch_size: int = 100,
 def sequential_result(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut the batch table at the first significant batch; one-row decision.
 
-    Returns ``(kept_batches, decision)``.  The stop batch is an aggregate
-    (a single number) joined back by a range condition on a one-row table.
+    Returns ``(kept_batches, decision)``.  The stop batch is one number (an
+    aggregate fetched to the driver), applied as a filter literal.
     """
-    stop = batches.agg(
-        F.min(F.when(F.col("significant"), F.col("batch"))).alias("stop_batch"),
-        F.max("batch").alias("last_batch"))
-    kept = batches.join(F.broadcast(stop), F.col("batch") <= F.coalesce(F.col("stop_batch"), F.col("last_batch")))
-    kept = kept.drop("stop_batch", "last_batch")
+    row = batches.agg(F.min(F.when(F.col("significant"), F.col("batch"))).alias("stop"),
+                      F.max("batch").alias("last")).first()
+    stop = row["stop"] if row["stop"] is not None else row["last"]
+    kept = batches.where(F.col("batch") <= F.lit(stop if stop is not None else 0))
     decision = kept.agg(
         F.max("batch").alias("batches_run"),
         F.max(F.col("significant").cast("int")).cast("boolean").alias("early_stopped"),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.functions.columns import kolmogorov_sf, missing, safe_div
-from calibra.functions.prefix import running_sums
+from calibra.functions.prefix import cumulative_counts
 
 
 def long_values(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
@@ -33,10 +33,9 @@ def ks_two_sample(df: DataFrame, features: Sequence[str], side: str = "side",
     asymptotic Kolmogorov distribution with lambda = D sqrt(n m / (n + m)).
     """
     lv = long_values(df, features, side)
-    counts = lv.groupBy("feature", "value").agg(
-        F.count_if(F.col(side) == reference).alias("ca"),
-        F.count_if(F.col(side) == current).alias("cb"))
-    cum = running_sums(counts, ["feature"], "value", ["ca", "cb"], buckets=buckets)
+    cum = cumulative_counts(lv, ["feature"], "value",
+                            {"ca": F.count_if(F.col(side) == reference), "cb": F.count_if(F.col(side) == current)},
+                            buckets=buckets)
     gap = F.abs(safe_div(F.col("cum_ca"), F.col("tot_ca")) - safe_div(F.col("cum_cb"), F.col("tot_cb")))
     per = cum.groupBy("feature").agg(
         F.max(gap).alias("ks_statistic"),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.functions.columns import missing
-from calibra.functions.prefix import running_sums
+from calibra.functions.prefix import cumulative_counts
 from calibra.operators.quality import _is_missing
 
 
@@ -85,9 +85,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """
     lv = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], list(cols), "feature", "value").where(~missing("value"))
-    cnt = lv.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    cum = running_sums(cnt, ["feature"], "value", ["c"], buckets=buckets)
-    totals = cnt.groupBy("feature").agg(F.sum("c").alias("n"))
+    cum = cumulative_counts(lv, ["feature"], "value", {"c": F.count(F.lit(1))}, buckets=buckets)
+    totals = cum.groupBy("feature").agg(F.first("tot_c").alias("n"))
     tgt = totals.select("feature", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
     pos = (F.col("n") - 1) * F.col("prob")
     tgt = tgt.select("feature", "prob", pos.alias("pos"),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.functions.columns import safe_div
-from calibra.functions.prefix import running_sums
+from calibra.functions.prefix import cumulative_counts
 
 
 def confusion_counts(df: DataFrame, label: str = "y_true", pred: str = "y_pred",
@@ -135,8 +135,12 @@ def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
 
 def _cumulative(df: DataFrame, label: str, score: str, by: Sequence[str], buckets: int) -> DataFrame:
     """Per distinct score: tp/fp at threshold ``score >= t`` and below-counts."""
-    sc = score_counts(df, label, score, by)
-    cum = running_sums(sc, list(by), "score", ["pos", "neg"], buckets=buckets)
+    y = F.col(label).cast("int")
+    raw = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score))).select(
+        *by, F.col(score).cast("double").alias("score"), y.alias("_y"))
+    cum = cumulative_counts(raw, list(by), "score",
+                            {"pos": F.count_if(F.col("_y") == 1), "neg": F.count_if(F.col("_y") == 0)},
+                            buckets=buckets)
     # cum_* are "value <= t" sums; counts at threshold ">= t" come from the total.
     return cum.withColumns({
         "tp": F.col("tot_pos") - F.col("cum_pos") + F.col("pos"),

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calibra.functions.columns import u01
+from calibra.functions.frames import scalar
 
 # Upper bound on (rows x dims) of the side shipped to every task.
 MAX_SHIPPED_VALUES = 50_000_000
@@ -239,8 +240,7 @@ def adasyn_counts(df: DataFrame, label: str, id_col: str, features: str, k: int
     g_total = max(c.values()) - c[minority]
     nm = neighbour_majority(df, label, id_col, features, k, minority)
     ratio = F.col("n_majority") / F.lit(float(k))
-    tot = nm.agg(F.sum(ratio).alias("_s"))
-    j = nm.withColumn("_one", F.lit(1)).join(tot.withColumn("_one", F.lit(1)), "_one")
-    share = F.try_divide(ratio, F.col("_s"))
-    return j.select(id_col, ratio.alias("ratio"),
+    total = scalar(nm.agg(F.sum(ratio))) or 0.0  # one number
+    share = F.try_divide(ratio, F.lit(float(total)))
+    return nm.select(id_col, ratio.alias("ratio"),
                     F.coalesce(F.bround(share * g_total, 0), F.lit(0.0)).cast("int").alias("n_generate"))

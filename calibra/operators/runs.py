@@ -130,14 +130,11 @@ def promote_latest(versions: DataFrame, to_stage: str = "Staging") -> DataFrame:
                       "creation_timestamp")
 
 
-def flag_production(versions: DataFrame, should_retrain: DataFrame) -> DataFrame:
-    """Tag production versions with the retraining decision (one-row table)."""
-    prod = versions.where(F.col("current_stage") == "Production").withColumn("_one", F.lit(1))
-    d = should_retrain.select(F.col("should_retrain"), F.lit(1).alias("_one"))
-    j = prod.join(d, "_one", "left").drop("_one")
-    tags = F.create_map(F.lit("needs_retraining"),
-                        F.when(F.col("should_retrain"), "true").otherwise("false"))
-    return j.select("name", "version", "run_id", F.to_json(tags).alias("tags"))
+def flag_production(versions: DataFrame, should_retrain: bool) -> DataFrame:
+    """Tag production versions with the retraining decision (a scalar)."""
+    prod = versions.where(F.col("current_stage") == "Production")
+    tags = F.create_map(F.lit("needs_retraining"), F.lit("true" if should_retrain else "false"))
+    return prod.select("name", "version", "run_id", F.to_json(tags).alias("tags"))
 
 
 def register_version(versions: DataFrame, name: str, run_id: int, created: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from calibra.functions.frames import scalar
 from calibra.operators import runs as R
 from calibra.plans.registry import query
 from calibra.plans.sqlviews import with_views
@@ -148,5 +149,5 @@ def production_flags(spark, sf_dir):
     from calibra.operators import metrics as M
 
     cur = M.binary_metrics(V.preds(spark, sf_dir), "y_true", "pred_a")
-    decision = cur.select(((F.lit(0.85) - F.col("f1")) > 0.05).alias("should_retrain"))
-    return R.flag_production(V.model_version(spark, sf_dir), decision)
+    decision = scalar(cur.select(((F.lit(0.85) - F.col("f1")) > 0.05).alias("should_retrain")))
+    return R.flag_production(V.model_version(spark, sf_dir), bool(decision))
