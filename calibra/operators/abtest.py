@@ -156,3 +156,20 @@ def sequential_result(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max_by(F.when(F.col("rate_b") > F.col("rate_a"), "B").otherwise("A"), F.col("batch")).alias(
             "final_decision"))
     return kept, decision
+
+
+def result_log(one_row: DataFrame, metric_cols: list[str], param_cols: list[str] = (),
+               experiment: str = "ab_testing") -> DataFrame:
+    """One run-log row: finite numbers -> ``metrics``; NaN/inf numbers and
+    the other values -> ``params`` (as strings)."""
+    finite = {c: F.col(c).cast("double") for c in metric_cols}
+    ok = {c: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) for c, v in finite.items()}
+    metrics = F.map_from_entries(F.filter(F.array(*[
+        F.struct(F.lit(c).alias("key"), finite[c].alias("value")) for c in metric_cols]),
+        lambda e: e["value"].isNotNull() & ~F.isnan(e["value"]) & (F.abs(e["value"]) != float("inf"))))
+    bad = [F.when(~ok[c], F.struct(F.lit(c).alias("key"), finite[c].cast("string").alias("value")))
+           for c in metric_cols]
+    other = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in param_cols]
+    params = F.map_from_entries(F.filter(F.array(*bad, *other), lambda e: e.isNotNull()))
+    return one_row.select(F.lit(experiment).alias("experiment"), metrics.alias("metrics"),
+                          params.alias("params"))

@@ -144,3 +144,11 @@ def model_agreement(df: DataFrame, pred_main: str, pred_base: str,
         F.avg(agree.cast("double")).alias("agreement_rate"),
         F.avg(diff).alias("mean_probability_diff"),
         F.max(diff).alias("max_probability_diff"))
+
+
+def test_data_info(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    """Rows, feature count, positive rate and per-class counts of a test set."""
+    y = F.col(label).cast("int")
+    return df.agg(F.count(F.lit(1)).alias("n_samples"), F.lit(len(features)).alias("n_features"),
+                  F.avg(y.cast("double")).alias("fraud_rate"),
+                  F.count_if(y == 0).alias("class_0"), F.count_if(y == 1).alias("class_1"))

@@ -231,3 +231,32 @@ class CenteredPCAModel(Model, _PCAParams, DefaultParamsReadable, DefaultParamsWr
                 for j, c in enumerate(self.getOrDefault("inputCols"))]
         df = spark.createDataFrame(rows, "component string, feature string, loading double, importance double")
         return df.orderBy("component", F.desc("importance"), "feature")
+
+
+def feature_chain(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str], label: str,
+                  id_col: str | None = None, pca_k: int | None = None, resample: str | None = "smote",
+                  k_neighbors: int = 5):
+    """F8: scale -> optional PCA -> optional oversampling of the training part only.
+
+    The scaler and PCA are fitted on ``train`` and applied to every frame in
+    ``others`` (validation, test).  Oversampling (``"smote"``) needs an
+    ``id_col`` and works on an array column of the transformed features.
+    Returns ``(train_out, [others_out...], fitted_models)``.
+    """
+    from calibra.operators.neighbors import smote
+
+    scaler = PopulationStandardScaler(list(cols)).fit(train.select(*cols))
+    fitted = [scaler]
+    tr, rest = scaler.transform(train), [scaler.transform(o) for o in others]
+    out_cols = list(cols)
+    if pca_k:
+        pca = CenteredPCA(list(cols), k=pca_k).fit(tr.select(*cols))
+        fitted.append(pca)
+        tr, rest = pca.transform(tr), [pca.transform(o) for o in rest]
+        out_cols = [f"PC{i + 1}" for i in range(pca_k)]
+    if resample == "smote":
+        if id_col is None:
+            raise ValueError("oversampling needs an id column")
+        arr = tr.select(id_col, label, F.array(*[F.col(c).cast("double") for c in out_cols]).alias("features"))
+        tr = smote(arr, label, id_col, "features", k=k_neighbors)
+    return tr, rest, fitted

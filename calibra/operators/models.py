@@ -218,3 +218,28 @@ def feature_importance(model: PipelineModel, features: Sequence[str]) -> list[tu
     else:
         vals = np.abs(m.coefficients.toArray())
     return sorted(zip(features, map(float, vals)), key=lambda x: (-x[1], x[0]))
+
+
+def train_and_evaluate(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
+                       kind: str = "random_forest", **params) -> dict:
+    """M6: fit on train, evaluate on test: weighted F1, accuracy, AUC and detection counts."""
+    from calibra.operators import metrics as M
+
+    model = fit_model(train, features, label, kind, **params)
+    scored = score(model, test, keep=[label])
+    cm = M.binary_metrics(scored, label, "prediction").first()
+    auc = M.roc_auc(scored, label, "probability").first()["roc_auc"]
+    return {"model": model, "weighted_f1": evaluate(model.transform(test), label)["weighted_f1"],
+            "accuracy": cm["accuracy"], "precision": cm["precision"], "recall": cm["recall"], "f1": cm["f1"],
+            "roc_auc": auc, "fraud_detected": f"{cm['tp']}/{cm['tp'] + cm['fn']}"}
+
+
+def metadata_record(spark, run_id: int, name: str, kind: str, n_samples: int, fraud_ratio: float,
+                    metrics: Mapping[str, float], created=None) -> DataFrame:
+    """A run-log row describing a trained model (append with ``runs.record_runs``)."""
+    created = created if created is not None else F.current_timestamp()
+    m = F.create_map(*[x for k, v in metrics.items() for x in (F.lit(k), F.lit(float(v)))])
+    p = F.create_map(F.lit("model_name"), F.lit(name), F.lit("model_type"), F.lit(kind),
+                     F.lit("n_samples"), F.lit(str(n_samples)), F.lit("fraud_ratio"), F.lit(str(fraud_ratio)))
+    return spark.range(1).select(F.lit(run_id).cast("bigint").alias("run_id"), F.lit("training").alias("experiment"),
+                                 created.alias("start_time"), m.alias("metrics"), p.alias("params"))

@@ -128,3 +128,26 @@ def confidence_counts(log: DataFrame, prob: str = "score", closed: str = "left")
     """Counts per confidence band."""
     return log.groupBy(confidence_band(prob, closed=closed).alias("confidence")).agg(
         F.count(F.lit(1)).alias("count"))
+
+
+# Notification types and messages.
+NOTE_TRIGGERED = ("retraining_triggered", "Automated retraining triggered")
+NOTE_STABLE = ("retraining_not_needed", "Model performance stable - no retraining needed")
+
+
+def cli_retrain_rule(current_f1: Column, baseline_f1: Column, drift_detected: Column) -> list[Column]:
+    """The command-line rule - retrain when F1 fell below the baseline or drift was seen."""
+    return [(current_f1 < baseline_f1).alias("performance_degraded"),
+            ((current_f1 < baseline_f1) | drift_detected).alias("should_retrain"),
+            F.when((current_f1 < baseline_f1) | drift_detected, "RETRAIN").otherwise("NO ACTION").alias("action")]
+
+
+def notification_rows(decision: DataFrame, channels: tuple[str, ...] = ("log",)) -> DataFrame:
+    """One trigger/notification record per decision row (sending is not done here)."""
+    go = F.col("should_retrain")
+    return decision.select(
+        go.alias("triggered"),
+        F.when(go, F.lit(NOTE_TRIGGERED[0])).otherwise(F.lit(NOTE_STABLE[0])).alias("type"),
+        F.when(go, F.lit(NOTE_TRIGGERED[1])).otherwise(F.lit(NOTE_STABLE[1])).alias("message"),
+        F.when(go, F.col("retraining_reasons")).otherwise(F.array().cast("array<string>")).alias("reasons"),
+        F.array(*[F.lit(c) for c in channels]).alias("channels"))

@@ -127,3 +127,21 @@ def decide(score: str | Column, threshold: float = 0.5) -> Column:
     """Decision threshold."""
     s = F.col(score) if isinstance(score, str) else score
     return (s >= F.lit(threshold)).cast("int")
+
+
+def validate_step(df: DataFrame, required: Sequence[str] = (), target: str | None = None,
+                  on_invalid: str = "warn") -> tuple[DataFrame, DataFrame]:
+    """V8: returns ``(df, report)``; with ``on_invalid="raise"`` an invalid frame raises."""
+    report = validation_summary(df, required, target)
+    if on_invalid == "raise":
+        r = report.first()
+        if not r["is_valid"]:
+            raise ValueError("; ".join(r["issues"]))
+    return df, report
+
+
+def validate_legacy(df: DataFrame) -> DataFrame:
+    """V7: the fixed 31-column transaction layout (Time, V1..V28, Amount, Class)."""
+    from calibra.sources.files import TX_COLUMNS
+
+    return validation_summary(df, required=TX_COLUMNS, target="Class")

@@ -325,3 +325,36 @@ def ab_sequential_decision(spark, sf_dir):
     """A5: stop batch and final decision of the sequential test."""
     b = AB.sequential_batches(_routed(spark, sf_dir), "o_orderkey")
     return AB.sequential_result(b)[1]
+
+
+@query("test_data_info",
+       sql=with_views("tx") + """
+SELECT count(*) AS n_samples, 4 AS n_features, avg(CAST(Class AS DOUBLE)) AS fraud_rate,
+       count_if(Class = 0) AS class_0, count_if(Class = 1) AS class_1 FROM tx""",
+       rounded="fraud_rate")
+def test_data_info(spark, sf_dir):
+    """Size, feature count, positive rate and class counts of the transaction table."""
+    return C.test_data_info(V.tx(spark, sf_dir), "Class", V.TX_FEATURES)
+
+
+@query("ab_result_log",
+       sql=_ARM_SQL + """
+, w AS (SELECT max(CASE WHEN arm = 'A' THEN f1_score END) AS group_a_f1,
+               max(CASE WHEN arm = 'B' THEN f1_score END) AS group_b_f1,
+               max(CASE WHEN arm = 'A' THEN roc_auc END) AS group_a_auc,
+               max(CASE WHEN arm = 'B' THEN roc_auc END) AS group_b_auc FROM am)
+SELECT 'ab_testing' AS experiment,
+       round(group_a_f1, 6) AS metric_group_a_f1, round(group_b_f1, 6) AS metric_group_b_f1,
+       round(group_a_auc, 6) AS metric_group_a_auc, round(group_b_auc, 6) AS metric_group_b_auc,
+       CASE WHEN group_b_f1 > group_a_f1 THEN 'B' ELSE 'A' END AS param_winner
+FROM w""")
+def ab_result_log(spark, sf_dir):
+    """The A/B result as a run-log row (finite numbers -> metrics, others -> params)."""
+    am = AB.arm_metrics(_routed(spark, sf_dir))
+    w = am.agg(*[F.max(F.when(F.col("arm") == a, F.col(m))).alias(f"group_{a.lower()}_{n}")
+                 for a in ("A", "B") for m, n in (("f1_score", "f1"), ("roc_auc", "auc"))])
+    w = w.withColumn("winner", F.when(F.col("group_b_f1") > F.col("group_a_f1"), "B").otherwise("A"))
+    names = ["group_a_f1", "group_b_f1", "group_a_auc", "group_b_auc"]
+    row = AB.result_log(w, names, ["winner"])
+    return row.select("experiment", *[F.round(F.col("metrics")[n], 6).alias(f"metric_{n}") for n in names],
+                      F.col("params")["winner"].alias("param_winner"))

@@ -319,3 +319,23 @@ def model_metrics_long(spark, sf_dir):
     """Long (model, metric, value) table for comparison bars."""
     mm = C.model_metrics(V.preds_long(spark, sf_dir))
     return mm.unpivot(["model"], C.RANK_METRICS, "metric", "value")
+
+
+@query("cli_retrain_rule",
+       sql=with_views("tx", "preds") + _KS_BODY + _OVERALL_A_BODY + _DRIFT_SUM_SQL + f"""
+SELECT current_f1, {BASELINE_F1} AS baseline_f1, current_f1 < {BASELINE_F1} AS performance_degraded,
+       current_f1 < {BASELINE_F1} OR drift_detected AS should_retrain,
+       CASE WHEN current_f1 < {BASELINE_F1} OR drift_detected THEN 'RETRAIN' ELSE 'NO ACTION' END AS action
+FROM ds, om""",
+       rounded="current_f1 baseline_f1")
+def cli_retrain_rule(spark, sf_dir):
+    """Retrain when F1 is below the baseline or any feature drifted."""
+    r = _monitor_row(spark, sf_dir)
+    return r.select("current_f1", F.lit(BASELINE_F1).alias("baseline_f1"),
+                    *MON.cli_retrain_rule(F.col("current_f1"), F.lit(BASELINE_F1), F.col("drift_detected")))
+
+
+@query("retraining_notifications")
+def retraining_notifications(spark, sf_dir):
+    """Trigger / notification record for the current retraining decision."""
+    return MON.notification_rows(retraining_decision(spark, sf_dir), ("log",))

@@ -127,3 +127,20 @@ def tail_sample(spark, sf_dir):
     """The last 1000 transactions by key (a top-k: TakeOrdered, no global sort)."""
     t = V.tx(spark, sf_dir)
     return t.orderBy(*[F.desc(k) for k in V.TX_KEY]).limit(1000).select(*V.TX_KEY, "Class")
+
+
+@query("request_decode",
+       sql="""
+SELECT event_id, 0 AS transaction_id,
+       CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, 0.0 AS amount,
+       ['amount'] AS missing_features
+FROM events""",
+       rounded="k amount")
+def request_decode(spark, sf_dir):
+    """S11 + P4/P5: JSON request bodies decoded to feature maps, filled in fixed order."""
+    from calibra.sources.files import decode_requests
+    from calibra.sources.tables import table
+
+    r = decode_requests(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("body")))
+    return r.select("event_id", "transaction_id", *Q.fill_features("features", ["k", "amount"]),
+                    Q.missing_features("features", ["k", "amount"]).alias("missing_features"))

@@ -50,7 +50,8 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = TRANS
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
     try:
         df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
-        if check_empty and df.isEmpty():
+        # parse the first row completely: an empty file or a broken layout fails here
+        if check_empty and not df.limit(1).collect():
             raise EmptyDataError(f"No rows in {path}")
     except EmptyDataError:
         raise
