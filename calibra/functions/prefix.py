@@ -54,7 +54,10 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
     first so ties collapse and the result is tie-exact.  Alternatively give
     ``tiebreak`` columns that make (value, tiebreak) unique: rows with equal
     values always share a bucket, so ordering the bucket window by
-    (value, tiebreak) yields a strict total order (a distributed rank).
+    (value, tiebreak) yields a strict total order (a distributed rank).  Used
+    that way on raw rows, ``value`` should be (near) unique - a hash uniform or
+    a key - since all rows of one value share a task; for data with heavy ties
+    use :func:`cumulative_counts`, which combines ties before the shuffle.
     """
     group_cols = list(group_cols)
     if not group_cols:
@@ -69,7 +72,10 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
     else:
         with_b = df.withColumn("_bucket", F.lit(0))
 
-    per_bucket = with_b.groupBy(*group_cols, "_bucket").agg(
+    # one shuffle of the rows by (group, bucket): the per-bucket totals and the
+    # bucket windows both read it (the totals aggregate needs no new exchange)
+    parts = with_b.repartition(*group_cols, "_bucket")
+    per_bucket = parts.groupBy(*group_cols, "_bucket").agg(
         *[F.sum(c).alias(f"_b_{c}") for c in count_cols])
     w_off = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -79,7 +85,9 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
         *[F.coalesce(F.sum(f"_b_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}") for c in count_cols],
         *[F.sum(f"_b_{c}").over(w_tot).alias(f"tot_{c}") for c in count_cols])
 
-    joined = with_b.join(offsets, [*group_cols, "_bucket"], "left")
+    # offsets has groups x B rows; AQE broadcasts it when small, otherwise the join
+    # reuses the (group, bucket) partitioning of ``parts``
+    joined = parts.join(offsets, [*group_cols, "_bucket"], "left")
     w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(value_col, *tiebreak).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return joined.select(

@@ -33,11 +33,9 @@ def routed(df: DataFrame, arm: Column, label: str, pred_a: str, pred_b: str,
 
 def arm_metrics(r: DataFrame, buckets: int = 32) -> DataFrame:
     """A1: metrics per arm: accuracy, precision, recall, f1_score, roc_auc, confusion, size."""
-    base = M.binary_metrics(r, "y_true", "y_pred", ["arm"]).withColumnRenamed("f1", "f1_score")
-    auc = M.roc_auc(r, "y_true", "score", ["arm"], buckets)
-    return base.join(auc, "arm", "left").select(
-        "arm", "accuracy", "precision", "recall", "f1_score", "roc_auc",
-        "tn", "fp", "fn", "tp", F.col("n").alias("sample_size"))
+    s = M.evaluation_summary(r, "y_true", "y_pred", "score", ["arm"], buckets)
+    return s.select("arm", "accuracy", "precision", "recall", F.col("f1").alias("f1_score"), "roc_auc",
+                    "tn", "fp", "fn", "tp", F.col("n").alias("sample_size"))
 
 
 def _pivot_arms(am: DataFrame, cols: list[str]) -> DataFrame:

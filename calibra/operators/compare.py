@@ -24,12 +24,9 @@ OVERALL_WEIGHTS = {"f1_score": 0.4, "roc_auc": 0.3, "precision": 0.15, "recall":
 def model_metrics(long: DataFrame, model: str = "model", label: str = "y_true",
                   pred: str = "y_pred", score: str = "score", buckets: int = 32) -> DataFrame:
     """Accuracy, precision, recall, f1_score, roc_auc, avg_precision per model."""
-    base = M.binary_metrics(long, label, pred, [model]).withColumnRenamed("f1", "f1_score")
-    sm = M.score_metrics(long, label, score, [model], buckets).withColumnRenamed(
-        "average_precision", "avg_precision")
-    return base.join(sm, model, "left").select(
-        model, "accuracy", "precision", "recall", "f1_score", "roc_auc", "avg_precision",
-        F.col("n").alias("n_samples"))
+    s = M.evaluation_summary(long, label, pred, score, [model], buckets)
+    return s.select(model, "accuracy", "precision", "recall", F.col("f1").alias("f1_score"), "roc_auc",
+                    F.col("average_precision").alias("avg_precision"), F.col("n").alias("n_samples"))
 
 
 def model_rankings(mm: DataFrame, model: str = "model",

@@ -201,3 +201,32 @@ def score_metrics(df: DataFrame, label: str = "y_true", score: str = "score",
         F.coalesce(F.try_divide(F.col("_s"), (F.col("_p") * F.col("_n")).cast("double")),
                    F.lit(0.5)).alias("roc_auc"),
         safe_div(F.col("_ap"), F.col("_p")).alias("average_precision"))
+
+
+def evaluation_summary(df: DataFrame, label: str = "y_true", pred: str = "y_pred", score: str = "score",
+                       by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+    """E1/E2/E6/E8 in one read of the data: the confusion counts ride along as
+    extra aggregates of the per-(group, score) count table that the AUC/AP
+    running sums need anyway, then are summed per group."""
+    y, p = F.col(label).cast("int"), F.col(pred).cast("int")
+    raw = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score))).select(
+        *by, F.col(score).cast("double").alias("score"), y.alias("_y"), p.alias("_p"))
+    yy, pp = F.col("_y"), F.col("_p")
+    c = cumulative_counts(raw, list(by), "score", {
+        "pos": F.count_if(yy == 1), "neg": F.count_if(yy == 0),
+        "ctp": F.count_if((yy == 1) & (pp == 1)), "cfp": F.count_if((yy == 0) & (pp == 1)),
+        "cfn": F.count_if((yy == 1) & (pp == 0)), "ctn": F.count_if((yy == 0) & (pp == 0))}, buckets=buckets)
+    tp_t = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")
+    fp_t = F.col("tot_neg") - F.col("cum_neg") + F.col("neg")
+    agg = c.groupBy(*by).agg(
+        F.sum(F.col("pos") * ((F.col("cum_neg") - F.col("neg")) + F.col("neg") / 2.0)).alias("_s"),
+        F.sum(F.col("pos") * safe_div(tp_t, tp_t + fp_t)).alias("_ap"),
+        F.first("tot_pos").alias("_p"), F.first("tot_neg").alias("_n"),
+        *[F.sum(f"c{x}").alias(x) for x in ("tp", "fp", "fn", "tn")])
+    agg = agg.withColumn("n", F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    out = metrics_from_counts(agg)
+    return out.select(
+        *by, "tp", "fp", "fn", "tn", "n", "accuracy", "precision", "recall", "f1",
+        F.coalesce(F.try_divide(F.col("_s"), (F.col("_p") * F.col("_n")).cast("double")),
+                   F.lit(0.5)).alias("roc_auc"),
+        safe_div(F.col("_ap"), F.col("_p")).alias("average_precision"))
