@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibra.functions.columns import safe_div
@@ -97,18 +97,31 @@ def rolling_latency(log: DataFrame, partition: Sequence[str], order: Sequence[st
                     scale: int | None = None) -> DataFrame:
     """Mean of the last ``last`` response times at every request.
 
-    The window is partitioned (per endpoint and day), so it spreads over tasks;
-    rows frame ``last-1 preceding .. current``.  With ``scale`` (e.g. 100 for
-    values recorded to 0.01 ms) the sum runs on exact integers, so the mean
-    does not depend on the summation order.
+    A rows-frame window per (endpoint, day) would put a hot endpoint-day in one
+    task.  Instead the row rank and the running sum inside each partition come
+    from distributed prefix sums (bucketed by time, ties broken by ``order``),
+    and the sum of the last ``last`` rows is ``S(r) - S(r - last)``: an
+    equi-join of the prefix table with itself shifted by ``last`` ranks.
+    With ``scale`` (e.g. 100 for values recorded to 0.01 ms) the sums run on
+    exact integers, so the mean does not depend on the summation order.
+    ``order`` starts with the timestamp column; the rest break ties.
     """
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-(last - 1), Window.currentRow)
-    if scale is None:
-        avg = F.avg(latency).over(w)
-    else:
-        units = F.round(F.col(latency) * scale).cast("bigint")
-        avg = F.sum(units).over(w) / (F.count(F.lit(1)).over(w) * float(scale))
-    return log.select(*partition, *order, latency, avg.alias("rolling_avg_ms"))
+    from calibra.functions.prefix import running_sums
+
+    ts, tiebreak = order[0], list(order[1:])
+    units = (F.round(F.col(latency) * scale).cast("bigint") if scale is not None
+             else F.col(latency).cast("double"))
+    tt = log.schema[ts].dataType.typeName()
+    tnum = F.unix_micros(F.col(ts).cast("timestamp")) if tt.startswith("timestamp") else F.col(ts)
+    base = log.select(*partition, *order, latency, tnum.alias("_t"),
+                      F.lit(1).alias("_one"), units.alias("_u"))
+    cum = running_sums(base, list(partition), "_t", ["_one", "_u"], tiebreak=[ts, *tiebreak])
+    prev = cum.select(*partition, (F.col("cum__one") + last).alias("cum__one"), F.col("cum__u").alias("_prev"))
+    j = cum.join(prev, [*partition, "cum__one"], "left")
+    n = F.least(F.col("cum__one"), F.lit(last))
+    total = F.col("cum__u") - F.coalesce(F.col("_prev"), F.lit(0))
+    avg = total / (n * float(scale if scale is not None else 1))
+    return j.select(*partition, *order, latency, avg.alias("rolling_avg_ms"))
 
 
 def daily_predictions(log: DataFrame, ts: str = "ts", pred: str = "prediction") -> DataFrame:

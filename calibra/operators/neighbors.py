@@ -31,7 +31,7 @@ from calibra.functions.columns import u01
 from calibra.functions.frames import scalar
 
 # Upper bound on (rows x dims) of the side shipped to every task.
-MAX_SHIPPED_VALUES = 50_000_000
+MAX_SHIPPED_VALUES = 10_000_000
 
 
 def _collect_side(df: DataFrame, id_col: str, features: str, carry: Sequence[str]):

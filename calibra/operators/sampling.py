@@ -10,9 +10,10 @@ the same split, whatever the partitioning or retry.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibra.functions.columns import u01
@@ -32,32 +33,35 @@ def class_rank(df: DataFrame, label: str, keys: Sequence[str], seed: str,
     return r.withColumnRenamed("cum__one", "_rank").withColumnRenamed("tot__one", "_class_n").drop("_one")
 
 
-def class_quotas(counts: DataFrame, label: str, frac: float, n_col: str = "n") -> DataFrame:
-    """Per-class sizes of a ``frac`` share: total ceil(frac * N), floors first,
-    the remainder to the classes with the largest fractional parts (label breaks ties).
+def class_counts(df: DataFrame, label: str) -> dict:
+    """Rows per class (one row per class reaches the driver)."""
+    return {r[0]: int(r[1]) for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
+
 
-    ``counts`` has one row per class, so the window below runs over a handful of rows.
-    """
-    fl = counts.select(label, n_col,
-                       F.floor(F.lit(frac) * F.col(n_col)).alias("_f"),
-                       (F.lit(frac) * F.col(n_col) - F.floor(F.lit(frac) * F.col(n_col))).alias("_r"))
-    allw = Window.partitionBy()
-    rem = F.ceil(F.lit(frac) * F.sum(n_col).over(allw)) - F.sum("_f").over(allw)
-    pos = F.row_number().over(Window.orderBy(F.desc("_r"), F.asc(label)))
-    return fl.select(label, n_col, (F.col("_f") + F.when(pos <= rem, 1).otherwise(0)).cast("bigint").alias("quota"))
+def class_quotas(counts: dict, frac: float) -> dict:
+    """Per-class sizes of a ``frac`` share: total ceil(frac * N), floors first,
+    the remainder to the classes with the largest fractional parts (label breaks ties)."""
+    fl = {c: math.floor(frac * n) for c, n in counts.items()}
+    rem = math.ceil(frac * sum(counts.values())) - sum(fl.values())
+    order = sorted(counts, key=lambda c: (-(frac * counts[c] - fl[c]), c))
+    for c in order[:max(0, rem)]:
+        fl[c] += 1
+    return fl
 
 
-def _counts(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+def _quota_col(label: str, quotas: dict) -> Column:
+    m = F.create_map(*[x for c, q in sorted((c, q) for c, q in quotas.items() if c is not None)
+                       for x in (F.lit(c), F.lit(int(q)))])
+    return F.coalesce(F.element_at(m, F.col(label)), F.lit(0))
 
 
 def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_size: float = 0.2,
                      seed: str = "split42") -> DataFrame:
     """Adds ``split`` = 'test' for the first quota rows of every class, else 'train'."""
-    q = class_quotas(_counts(df, label), label, test_size).select(label, F.col("quota").alias("_q"))
-    r = class_rank(df, label, keys, seed).join(q, label, "left")
-    return r.withColumn("split", F.when(F.col("_rank") <= F.col("_q"), "test").otherwise("train")).drop(
-        "_u", "_rank", "_class_n", "_q")
+    q = class_quotas(class_counts(df, label), test_size)
+    r = class_rank(df, label, keys, seed)
+    return r.withColumn("split", F.when(F.col("_rank") <= _quota_col(label, q), "test").otherwise("train")).drop(
+        "_u", "_rank", "_class_n")
 
 
 def val_fraction(val_size: float, test_size: float) -> float:
@@ -68,16 +72,13 @@ def val_fraction(val_size: float, test_size: float) -> float:
 def three_way_split(df: DataFrame, label: str, keys: Sequence[str], val_size: float = 0.2,
                     test_size: float = 0.2, seed: str = "split42") -> DataFrame:
     """R2: test quota first, then the validation quota of the remainder, stratified both times."""
-    c = _counts(df, label)
-    tq = class_quotas(c, label, test_size).select(label, "n", F.col("quota").alias("_tq"))
-    rest = tq.select(label, (F.col("n") - F.col("_tq")).alias("n"), "_tq")
-    vq = class_quotas(rest, label, val_fraction(val_size, test_size)).select(
-        label, F.col("quota").alias("_vq"))
-    q = tq.select(label, "_tq").join(vq, label)
-    r = class_rank(df, label, keys, seed).join(q, label, "left")
-    split = (F.when(F.col("_rank") <= F.col("_tq"), "test")
-             .when(F.col("_rank") <= F.col("_tq") + F.col("_vq"), "val").otherwise("train"))
-    return r.withColumn("split", split).drop("_u", "_rank", "_class_n", "_tq", "_vq")
+    counts = class_counts(df, label)
+    tq = class_quotas(counts, test_size)
+    vq = class_quotas({c: n - tq[c] for c, n in counts.items()}, val_fraction(val_size, test_size))
+    r = class_rank(df, label, keys, seed)
+    t, v = _quota_col(label, tq), _quota_col(label, vq)
+    split = F.when(F.col("_rank") <= t, "test").when(F.col("_rank") <= t + v, "val").otherwise("train")
+    return r.withColumn("split", split).drop("_u", "_rank", "_class_n")
 
 
 def fold_assignment(df: DataFrame, label: str, keys: Sequence[str], k: int = 5,
@@ -94,8 +95,8 @@ def fold_assignment(df: DataFrame, label: str, keys: Sequence[str], k: int = 5,
 
 def sampling_info(before: DataFrame, after: DataFrame, label: str, method: str) -> DataFrame:
     """Counts per class before/after a resampling and rows added."""
-    b = _counts(before, label).withColumnRenamed("n", "n_before")
-    a = _counts(after, label).withColumnRenamed("n", "n_after")
+    b = before.groupBy(label).agg(F.count(F.lit(1)).alias("n_before"))
+    a = after.groupBy(label).agg(F.count(F.lit(1)).alias("n_after"))
     j = b.join(a, label, "full_outer")
     return j.select(F.lit(method).alias("method"), label,
                     F.coalesce("n_before", F.lit(0)).alias("n_before"),
