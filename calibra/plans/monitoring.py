@@ -214,8 +214,7 @@ def recommendations(spark, sf_dir):
                     MON.recommendations(F.col("drift_detected"), degraded).alias("recommendations"))
 
 
-@query("retraining_decision",
-       sql=with_views("tx", "preds") + _KS_BODY + _OVERALL_A_BODY + _DRIFT_SUM_SQL + f"""
+_RETRAIN_SQL = with_views("tx", "preds") + _KS_BODY + _OVERALL_A_BODY + _DRIFT_SUM_SQL + f"""
 , span AS (SELECT datediff('day', min(day), max(day)) AS days_since_training FROM preds),
   x AS (SELECT drift_detected, drift_percentage / 100.0 AS drift_fraction,
                {BASELINE_F1} - current_f1 > 0.05 AS degraded,
@@ -230,7 +229,11 @@ def recommendations(spark, sf_dir):
         FROM x)
 SELECT drift_fraction, degradation_fraction, days_since_training, len(reasons) > 0 AS should_retrain,
        reasons AS retraining_reasons, days_since_training > 30 AS time_based_trigger
-FROM r""",
+FROM r"""
+
+
+@query("retraining_decision",
+       sql=_RETRAIN_SQL,
        rounded="drift_fraction degradation_fraction")
 def retraining_decision(spark, sf_dir):
     """Retrain decision with reasons (fractions; time trigger over the scored period)."""
@@ -335,7 +338,14 @@ def cli_retrain_rule(spark, sf_dir):
                     *MON.cli_retrain_rule(F.col("current_f1"), F.lit(BASELINE_F1), F.col("drift_detected")))
 
 
-@query("retraining_notifications")
+@query("retraining_notifications",
+       sql=f"""
+SELECT should_retrain AS triggered,
+       CASE WHEN should_retrain THEN '{MON.NOTE_TRIGGERED[0]}' ELSE '{MON.NOTE_STABLE[0]}' END AS type,
+       CASE WHEN should_retrain THEN '{MON.NOTE_TRIGGERED[1]}' ELSE '{MON.NOTE_STABLE[1]}' END AS message,
+       CASE WHEN should_retrain THEN retraining_reasons ELSE []::VARCHAR[] END AS reasons,
+       ['log'] AS channels
+FROM ({_RETRAIN_SQL}) AS d""")
 def retraining_notifications(spark, sf_dir):
     """Trigger / notification record for the current retraining decision."""
     return MON.notification_rows(retraining_decision(spark, sf_dir), ("log",))

@@ -170,6 +170,12 @@ def stream_dedup(spark, sf_dir):
 @query("stream_sequential_ab")
 def stream_sequential_ab(spark, sf_dir):
     """Stateful sequential A/B test over the order stream."""
+    import uuid
+
+    from calibra.session import scratch_path
+
     p = V.preds_from(table_stream(spark, sf_dir, "orders"))
     r = AB.routed(p, AB.route("o_orderkey"), "y_true", "pred_a", "pred_b", "score_a", "score_b")
-    return run_available(S.sequential_ab(r, F.lit("ab")), "update", "seqab")
+    state = scratch_path(spark, f"streams/seqab-{uuid.uuid4().hex}")
+    S.sequential_ab(r, state, F.lit("ab")).awaitTermination()
+    return S.sequential_state(spark, state).drop("epoch")
