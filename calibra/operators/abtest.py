@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from calibra.functions.columns import norm_two_sided_p, safe_div, u01
 from calibra.functions.prefix import running_sums
 from calibra.operators import metrics as M
+from calibra.session import cut_lineage
 
 AB_METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
 
@@ -117,7 +118,7 @@ def sequential_batches(r: DataFrame, order_key: str, batch_size: int = 100,
         F.count_if(F.col("arm") == "A").alias("a_n"),
         F.count_if(F.col("arm") == "B").alias("b_n"))
     # one row per batch of rows: small, and reused by every later step -> cut the lineage here
-    per = per.checkpoint()
+    per = cut_lineage(per)
     cum = running_sums(per, [], "batch", ["a_correct", "b_correct", "a_n", "b_n"], buckets=buckets)
     ta, tb = F.col("cum_a_n"), F.col("cum_b_n")
     ra = safe_div(F.col("cum_a_correct"), ta)

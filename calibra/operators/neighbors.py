@@ -10,7 +10,9 @@ stays partitioned and is scanned once:
   global top-k (Spark applies a partial group limit before the shuffle, so a
   query row ships at most k candidates per task);
 * small *reference* side: every partition of the query side computes the
-  final top-k against the shipped reference directly.
+  final top-k against the shipped reference directly;
+* both sides large: the query side is covered by hash slices that each fit
+  the bound, each slice takes the first path, and the slices are unioned.
 
 Neither path forms a cartesian product in the plan, and no candidate list is
 capped: ties at the k-th distance are broken by neighbour id exactly as the
@@ -118,9 +120,17 @@ def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "id", features:
 
     nr = ref.count()
     if nr * max(dims, 1) > max_shipped_values:
-        raise ValueError(
-            f"knn: both sides exceed the shipping bound ({nq} and {nr} rows x {dims} dims > "
-            f"{max_shipped_values}); split the query side into slices and call knn per slice")
+        # Both sides are large: cover the query side with hash slices that each
+        # fit the bound; every slice is answered exactly against the whole
+        # reference side (one scan of it per slice) and the slices are unioned,
+        # so every query row gets its complete top-k.
+        n_slices = -(-nq * max(dims, 1) // max_shipped_values) + 1
+        part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_slices))
+        out = None
+        for i in range(n_slices):
+            piece = knn(query.where(part == i), ref, k, id_col, features, exclude_self, carry, max_shipped_values)
+            out = piece if out is None else out.unionByName(piece)
+        return out
     rids, rmat, rextra = _collect_side(ref, id_col, features, carry)
     br = spark.sparkContext.broadcast((rids, rmat, rextra))
 

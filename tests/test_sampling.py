@@ -55,13 +55,15 @@ def _points(spark, n=120, d=4, seed=5):
     return df, x, lab
 
 
-@pytest.mark.parametrize("mode", ["ship_query", "ship_reference"])
+@pytest.mark.parametrize("mode", ["ship_query", "ship_reference", "slices"])
 def test_knn_matches_bruteforce(spark, mode):
     df, x, _ = _points(spark)
     if mode == "ship_query":
         ref_ids, limit = np.arange(len(x)), 10 ** 9
-    else:  # query side over the bound, reference side under it
+    elif mode == "ship_reference":  # query side over the bound, reference side under it
         ref_ids, limit = np.arange(60), 300
+    else:  # both sides over the bound: the query side is processed in slices
+        ref_ids, limit = np.arange(len(x)), 200
     ref = df.where(F.col("id") < int(ref_ids.max()) + 1).repartition(3)
     got = NB.knn(df, ref, 4, "id", "features", max_shipped_values=limit)
     got = {(r.q_id, r["rank"]): r.nn_id for r in got.collect()}
