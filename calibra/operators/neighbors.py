@@ -46,36 +46,39 @@ def _collect_side(df: DataFrame, id_col: str, features: str, carry: Sequence[str
 
 def _topk_block(qmat: np.ndarray, qids: np.ndarray, rmat: np.ndarray, rids: np.ndarray,
                 k: int, exclude_self: bool):
-    """For every query row: the k nearest reference rows ordered by (distance, id)."""
+    """For every query row: the k nearest reference rows ordered by (distance, id).
+
+    Vectorised per chunk of query rows: distances for the whole chunk, the
+    k-th smallest distance per row (``np.partition``), every candidate at or
+    below it (ties kept), then one lexsort by (row, distance, id) and the first
+    k per row.
+    """
     out_q, out_r, out_d, out_rank = [], [], [], []
-    if len(rids) == 0 or len(qids) == 0:
+    if len(rids) == 0 or len(qids) == 0 or k <= 0:
         return out_q, out_r, out_d, out_rank
     dims = max(1, rmat.shape[1])
     chunk = max(1, int(4_000_000 // (len(rids) * dims)))
     for s in range(0, len(qids), chunk):
-        qm = qmat[s:s + chunk]
+        qm, qi = qmat[s:s + chunk], qids[s:s + chunk]
         diff = qm[:, None, :] - rmat[None, :, :]
         dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-        for i in range(qm.shape[0]):
-            qid = qids[s + i]
-            d = dist[i]
-            valid = np.ones(len(rids), dtype=bool)
-            if exclude_self:
-                valid &= rids != qid
-            idx = np.nonzero(valid)[0]
-            if idx.size == 0:
-                continue
-            if idx.size > k:
-                # every candidate at or below the k-th distance (ties kept), then exact order
-                kth = np.partition(d[idx], k - 1)[k - 1]
-                idx = idx[d[idx] <= kth]
-            order = np.lexsort((rids[idx], d[idx]))[:k]
-            sel = idx[order]
-            out_q.extend([qid] * len(sel))
-            out_r.extend(rids[sel].tolist())
-            out_d.extend(d[sel].tolist())
-            out_rank.extend(range(1, len(sel) + 1))
-    return out_q, out_r, out_d, out_rank
+        if exclude_self:
+            dist[qi[:, None] == rids[None, :]] = np.inf
+        kk = min(k, dist.shape[1])
+        kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
+        row, col = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
+        d = dist[row, col]
+        order = np.lexsort((rids[col], d, row))
+        row, col, d = row[order], col[order], d[order]
+        starts = np.searchsorted(row, np.arange(len(qi)))
+        rank = np.arange(len(row)) - starts[row] + 1
+        keep = rank <= k
+        out_q.append(qi[row[keep]])
+        out_r.append(rids[col[keep]])
+        out_d.append(d[keep])
+        out_rank.append(rank[keep])
+    cat = (lambda xs: np.concatenate(xs) if xs else np.array([]))
+    return cat(out_q), cat(out_r), cat(out_d), cat(out_rank)
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "id", features: str = "features",

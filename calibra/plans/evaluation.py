@@ -180,3 +180,28 @@ def metrics_rollup(spark, sf_dir):
         F.count_if((y == 1) & (q == 0)).alias("fn"), F.count_if((y == 0) & (q == 0)).alias("tn"),
         F.count(F.lit(1)).alias("n"))
     return M.metrics_from_counts(counts)
+
+
+@query("label_metrics",
+       sql=f"""
+, c AS (SELECT {_COUNTS_SQL} FROM (SELECT quality AS y_true, toxic AS y_pred FROM labels))
+SELECT tp, fp, fn, tn, n, {_METRICS_SQL} FROM c""".replace(", c AS", "WITH c AS", 1),
+       rounded="accuracy precision recall f1")
+def label_metrics(spark, sf_dir):
+    """E1/E2 on the human label table: quality as the truth, toxic as the prediction."""
+    from calibra.sources.tables import table
+
+    lab = table(spark, sf_dir, "labels").select(F.col("quality").alias("y_true"), F.col("toxic").alias("y_pred"))
+    return M.binary_metrics(lab)
+
+
+@query("unlabelled_predictions",
+       sql="""
+SELECT d.doc_id, d.lang, d.source, d.n_chars FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def unlabelled_predictions(spark, sf_dir):
+    """Anti-join: scored documents that have no label yet (left-anti on doc_id)."""
+    from calibra.sources.tables import table
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")

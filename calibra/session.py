@@ -59,3 +59,25 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_settings(input_bytes: int, executor_cores_total: int,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Suggested SQL settings for a large run (apply with ``spark.conf.set``).
+
+    Shuffle partitions are sized so that one partition of the largest shuffle
+    (at most the input size: every shuffle here is pre-aggregated) stays near
+    ``target_partition_bytes``, but never below the core count; AQE then
+    coalesces small partitions and splits skewed ones at run time.
+    """
+    parts = max(executor_cores_total, -(-int(input_bytes) // int(target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 512 << 20)),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    }
