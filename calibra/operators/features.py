@@ -8,6 +8,7 @@ scaler come from distributed ranks, not from collecting a column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.functions.columns import missing
@@ -76,32 +77,83 @@ class PopulationStandardScalerModel(Model, _ScalerParams, DefaultParamsReadable,
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    buckets: int = 32) -> DataFrame:
+                    buckets: int = 32, accuracy: int = 10000) -> DataFrame:
     """``(feature, prob, value)``: exact linear-interpolated quantiles (R-7 rule).
 
-    Values are counted per distinct value, ranked with distributed prefix
-    sums, and the two order statistics around ``(n-1) p`` are found by a join
-    with the tiny target table (equi-key ``feature`` + range on the rank).
+    Only the buckets that hold a wanted order statistic are ever sorted:
+
+    1. per-feature quantile sketches give bucket bounds (features x B numbers);
+    2. values are counted per (feature, bucket, value) - combined map-side, so a
+       hot value is one row per task - and the per-bucket totals (features x B
+       rows) tell which bucket holds rank ``floor((n-1)p)+1`` and ``ceil(..)+1``;
+    3. a window runs over those few buckets only and picks the two values.
+
+    The count table is persisted between steps 2 and 3 (it is a deterministic
+    aggregate, so a lost block is recomputed to the same rows).
     """
+    from calibra.functions.prefix import _bucket
+
+    spark = df.sparkSession
+    cols = list(cols)
     lv = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], list(cols), "feature", "value").where(~missing("value"))
-    cum = cumulative_counts(lv, ["feature"], "value", {"c": F.count(F.lit(1))}, buckets=buckets)
-    totals = cum.groupBy("feature").agg(F.first("tot_c").alias("n"))
-    tgt = totals.select("feature", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    pos = (F.col("n") - 1) * F.col("prob")
-    tgt = tgt.select("feature", "prob", pos.alias("pos"),
-                     (F.floor(pos) + 1).alias("r_lo"), (F.ceil(pos) + 1).alias("r_hi"))
-    both = tgt.select("feature", "prob", "pos", F.explode(F.array(
-        F.struct(F.lit("lo").alias("which"), F.col("r_lo").alias("r")),
-        F.struct(F.lit("hi").alias("which"), F.col("r_hi").alias("r")))).alias("_t")).select(
-        F.col("feature").alias("_tf"), "prob", "pos", "_t.which", "_t.r")
-    hit = cum.join(both, (F.col("feature") == F.col("_tf")) & (F.col("r") <= F.col("cum_c"))
-                   & (F.col("r") > F.col("cum_c") - F.col("c")))
-    vals = hit.groupBy("feature", "prob", "pos").agg(
-        F.max(F.when(F.col("which") == "lo", F.col("value"))).alias("v_lo"),
-        F.max(F.when(F.col("which") == "hi", F.col("value"))).alias("v_hi"))
-    frac = F.col("pos") - F.floor("pos")
-    return vals.select("feature", "prob", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("value"))
+        [], cols, "feature", "value").where(~missing("value"))
+    b = max(1, int(buckets))
+    bounds = {}
+    if b > 1:
+        qs = [i / b for i in range(1, b)]
+        for r in lv.groupBy("feature").agg(F.percentile_approx("value", qs, accuracy).alias("q")).collect():
+            bounds[r["feature"]] = sorted(r["q"] or [])
+    bucket = F.lit(0)
+    for f, bd in bounds.items():
+        if bd:
+            bucket = F.when(F.col("feature") == f, _bucket("value", bd, len(bd))).otherwise(bucket)
+    counts = lv.withColumn("_bucket", bucket).groupBy("feature", "_bucket", "value").agg(
+        F.count(F.lit(1)).alias("c")).persist()
+    try:
+        per = {}
+        for r in counts.groupBy("feature", "_bucket").agg(F.sum("c").alias("n")).collect():
+            per.setdefault(r["feature"], {})[r["_bucket"]] = r["n"]
+        targets, need = [], set()
+        for f, sizes in per.items():
+            order = sorted(sizes)
+            n = sum(sizes.values())
+            starts, acc = {}, 0
+            for bk in order:
+                starts[bk] = acc
+                acc += sizes[bk]
+            for p in probs:
+                pos = (n - 1) * float(p)
+                for which, rank in (("lo", math.floor(pos) + 1), ("hi", math.ceil(pos) + 1)):
+                    bk = next(x for x in order if starts[x] < rank <= starts[x] + sizes[x])
+                    targets.append((f, float(p), pos, which, bk, rank - starts[bk]))
+                    need.add((f, bk))
+        if not targets:
+            return spark.createDataFrame([], "feature string, prob double, value double")
+        sel = None
+        for f, bk in sorted(need):
+            cond = (F.col("feature") == f) & (F.col("_bucket") == bk)
+            sel = cond if sel is None else sel | cond
+        w = Window.partitionBy("feature", "_bucket").orderBy("value").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        local = counts.where(sel).withColumn("_cum", F.sum("c").over(w))
+        hit = None
+        for f, _p, _pos, _which, bk, r in targets:
+            cond = ((F.col("feature") == f) & (F.col("_bucket") == bk)
+                    & (F.col("_cum") - F.col("c") < r) & (F.col("_cum") >= r))
+            hit = cond if hit is None else hit | cond
+        rows = local.where(hit).select("feature", "_bucket", "value", "c", "_cum").collect()  # <= 2 x probs x d
+        out = []
+        by_key = {}
+        for f, p, pos, which, bk, r in targets:
+            v = next(x["value"] for x in rows if x["feature"] == f and x["_bucket"] == bk
+                     and x["_cum"] - x["c"] < r <= x["_cum"])
+            by_key.setdefault((f, p, pos), {})[which] = v
+        for (f, p, pos), v in by_key.items():
+            frac = pos - math.floor(pos)
+            out.append((f, p, v["lo"] + (v["hi"] - v["lo"]) * frac))
+        return spark.createDataFrame(out, "feature string, prob double, value double")
+    finally:
+        counts.unpersist()
 
 
 class RobustScaler(Estimator, _ScalerParams, DefaultParamsReadable, DefaultParamsWritable):
