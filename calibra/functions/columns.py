@@ -57,6 +57,13 @@ def erfc_pos(x: Column) -> Column:
     return poly * F.exp(-(x * x))
 
 
+def erfc_pos_float(x: float) -> float:
+    """The same approximation on one Python float (driver-side state updates)."""
+    t = 1.0 / (1.0 + ERF_P * x)
+    poly = t * (ERF_A1 + t * (ERF_A2 + t * (ERF_A3 + t * (ERF_A4 + t * ERF_A5))))
+    return poly * math.exp(-(x * x))
+
+
 def norm_two_sided_p(z: Column) -> Column:
     """2 * (1 - Phi(|z|)) = erfc(|z| / sqrt 2)."""
     return erfc_pos(F.abs(z) / F.lit(math.sqrt(2.0)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from calibra.operators import abtest as AB
+from calibra.plans.comparison import norm_p_sql
 from calibra.plans.registry import query
 from calibra.plans.sqlviews import with_views
 from calibra.sources import views as V
@@ -167,7 +168,27 @@ def stream_dedup(spark, sf_dir):
     return run_available(d, "append", "dedup")
 
 
-@query("stream_sequential_ab")
+@query("stream_sequential_ab",
+       sql=with_views("preds") + """
+, r AS (SELECT CASE WHEN route THEN 'B' ELSE 'A' END AS arm, y_true,
+               CASE WHEN route THEN pred_b ELSE pred_a END AS y_pred FROM preds),
+  t AS (SELECT 'ab' AS test_id, CAST(1 AS BIGINT) AS batches,
+               CAST(sum(CASE WHEN arm = 'A' AND y_true = y_pred THEN 1 ELSE 0 END) AS BIGINT) AS a_correct,
+               count_if(arm = 'A') AS a_total,
+               CAST(sum(CASE WHEN arm = 'B' AND y_true = y_pred THEN 1 ELSE 0 END) AS BIGINT) AS b_correct,
+               count_if(arm = 'B') AS b_total FROM r),
+  x AS (SELECT *, CASE WHEN a_total > 0 THEN a_correct / a_total ELSE 0.0 END AS rate_a,
+               CASE WHEN b_total > 0 THEN b_correct / b_total ELSE 0.0 END AS rate_b FROM t),
+  z AS (SELECT *, CASE WHEN a_total >= 1000 AND b_total >= 1000 THEN
+                    CASE WHEN sqrt(rate_a * (1 - rate_a) / a_total + rate_b * (1 - rate_b) / b_total) > 0
+                         THEN (rate_b - rate_a) / sqrt(rate_a * (1 - rate_a) / a_total + rate_b * (1 - rate_b) / b_total)
+                         ELSE 0.0 END END AS zz FROM x),
+  pz AS (SELECT *, CASE WHEN zz IS NOT NULL THEN """ + norm_p_sql("zz") + """ END AS p_value FROM z)
+SELECT test_id, batches, a_correct, a_total, b_correct, b_total, rate_a, rate_b, p_value,
+       coalesce(p_value < 0.050000000000000044, false) AS stopped,
+       CASE WHEN rate_b > rate_a THEN 'B' ELSE 'A' END AS decision
+FROM pz""",
+       rounded="rate_a rate_b p_value")
 def stream_sequential_ab(spark, sf_dir):
     """Stateful sequential A/B test over the order stream."""
     import uuid

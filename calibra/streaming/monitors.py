@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibra.functions.columns import safe_div
+from calibra.functions.columns import erfc_pos_float, safe_div
 from calibra.operators.quality import confidence_band, risk_score
 
 
@@ -140,7 +140,8 @@ def _seq_step(prev: dict | None, test_id: str, epoch: int, add: dict, min_sample
     if not st["stopped"] and at >= min_samples and bt >= min_samples:
         se = math.sqrt(ra * (1 - ra) / at + rb * (1 - rb) / bt)
         z = (rb - ra) / se if se > 0 else 0.0
-        st["p_value"] = math.erfc(abs(z) / math.sqrt(2.0))
+        # same tail approximation as the batch test (A3/A5), so both agree
+        st["p_value"] = erfc_pos_float(abs(z) / math.sqrt(2.0))
         st["stopped"] = st["p_value"] < alpha
     st.update(rate_a=ra, rate_b=rb, decision="B" if rb > ra else "A")
     return st
