@@ -191,6 +191,14 @@ def smote(df: DataFrame, label: str, id_col: str, features: str, k: int = 5,
                 "n_generate"))
     else:
         per_base = counts_per_base.select(id_col, "n_generate")
+    # The draws outnumber the base rows by the class ratio: spread the (small)
+    # base table over enough tasks before exploding it, ~1M draws per task.
+    total_draws = (n_max - n_min) if counts_per_base is None else None
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if total_draws:
+        parts = max(parts, -(-total_draws // 1_000_000))
+    per_base = per_base.repartition(parts, id_col)
     draws = per_base.where(F.col("n_generate") > 0).select(
         id_col, F.explode(F.sequence(F.lit(0), F.col("n_generate") - 1)).alias("draw"))
     draw_key = F.concat_ws("|", F.col(id_col).cast("string"), F.col("draw").cast("string"))
