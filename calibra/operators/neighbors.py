@@ -5,10 +5,10 @@ count is checked with a job before anything is collected); the other side
 stays partitioned and is scanned once:
 
 * small *query* side (the usual case: minority rows vs all rows): every
-  partition of the reference side computes, per query row, its local top-k
-  candidates with numpy; a ``row_number() <= k`` over the candidates picks the
-  global top-k (Spark applies a partial group limit before the shuffle, so a
-  query row ships at most k candidates per task);
+  task of the reference side keeps, per query row, a running top-k over all
+  of its Arrow batches (numpy) and emits it once; a ``row_number() <= k`` over
+  the candidates picks the global top-k (with a partial group limit before the
+  shuffle), so a query row ships at most k candidates per task;
 * small *reference* side: every partition of the query side computes the
   final top-k against the shipped reference directly;
 * both sides large: the query side is covered by hash slices that each fit
@@ -102,20 +102,51 @@ def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "id", features:
         bq = spark.sparkContext.broadcast((qids, qmat))
 
         def scan_ref(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # A running top-k per query row across every batch of this task, so
+            # the task ships k candidates per query row, not k per batch.
             q_ids, q_mat = bq.value
+            qpos = pd.Index(q_ids)
+            nq_, best_d, best_i, best_c = len(q_ids), None, None, {}
             for pdf in it:
                 if pdf.empty:
                     continue
                 rids = pdf[id_col].to_numpy(dtype=np.int64)
                 rmat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features]])
                 oq, orr, od, ork = _topk_block(q_mat, q_ids, rmat, rids, k, exclude_self)
-                res = pd.DataFrame({"q_id": oq, "nn_id": orr, "distance": od, "rank": ork})
+                if best_d is None:
+                    best_d = np.full((nq_, k), np.inf)
+                    best_i = np.full((nq_, k), -1, dtype=np.int64)
+                    best_c = {c: np.zeros((nq_, k), dtype=pdf[c].to_numpy().dtype) for c in carry}
+                bd = np.full((nq_, k), np.inf)
+                bi = np.full((nq_, k), -1, dtype=np.int64)
+                if len(oq):
+                    rows = qpos.get_indexer(np.asarray(oq, dtype=np.int64))
+                    slots = np.asarray(ork, dtype=np.int64) - 1
+                    bd[rows, slots] = od
+                    bi[rows, slots] = orr
+                bc = {}
                 if carry:
-                    pos = pd.Series(np.arange(len(rids)), index=rids)
-                    at = pos.loc[res["nn_id"].to_numpy()].to_numpy() if len(res) else np.array([], dtype=int)
+                    at = pd.Index(rids).get_indexer(bi.ravel()).reshape(bi.shape)
                     for c in carry:
-                        res[c] = pdf[c].to_numpy()[at]
-                yield res
+                        vals = pdf[c].to_numpy()
+                        bc[c] = np.where(at >= 0, vals[np.maximum(at, 0)], best_c[c][:, :1])
+                cat_d = np.concatenate([best_d, bd], axis=1)
+                cat_i = np.concatenate([best_i, bi], axis=1)
+                # order by (distance, id); empty slots (inf) sort last
+                order = np.lexsort((np.where(cat_i < 0, np.iinfo(np.int64).max, cat_i), cat_d), axis=1)[:, :k]
+                best_d = np.take_along_axis(cat_d, order, axis=1)
+                best_i = np.take_along_axis(cat_i, order, axis=1)
+                for c in carry:
+                    best_c[c] = np.take_along_axis(np.concatenate([best_c[c], bc[c]], axis=1), order, axis=1)
+            if best_d is None:
+                return
+            filled = best_i >= 0
+            r, slot = np.nonzero(filled)
+            res = pd.DataFrame({"q_id": q_ids[r], "nn_id": best_i[r, slot], "distance": best_d[r, slot],
+                                "rank": (slot + 1).astype(np.int32)})
+            for c in carry:
+                res[c] = best_c[c][r, slot]
+            yield res
 
         cand = ref.select(id_col, features, *carry).mapInPandas(scan_ref, schema)
         w = Window.partitionBy("q_id").orderBy("distance", "nn_id")

@@ -109,3 +109,25 @@ def test_sampling_info(spark):
     out = NB.smote(df, "Class", "id", "features", k=3)
     info = {r.Class: (r.n_before, r.n_after, r.added) for r in S.sampling_info(df, out, "Class", "SMOTE").collect()}
     assert info[1][1] == info[0][1] and info[0][2] == 0
+
+
+def test_knn_running_topk_across_many_batches(spark):
+    """Many Arrow batches per task: the per-task running top-k must stay exact."""
+    df, x, lab = _points(spark)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = NB.knn(df, df.coalesce(1), 5, "id", "features", carry=["Class"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    ids = np.arange(len(x))
+    by_q = {}
+    for r in got:
+        by_q.setdefault(r.q_id, []).append((r["rank"], r.nn_id, r.Class))
+    for q in range(len(x)):
+        want = ids[np.lexsort((ids, d[q]))[:5]]
+        have = sorted(by_q[q])
+        assert [h[1] for h in have] == want.tolist()
+        assert [h[2] for h in have] == lab[want].tolist()
