@@ -144,3 +144,13 @@ def request_decode(spark, sf_dir):
     r = decode_requests(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("body")))
     return r.select("event_id", "transaction_id", *Q.fill_features("features", ["k", "amount"]),
                     Q.missing_features("features", ["k", "amount"]).alias("missing_features"))
+
+
+@query("head_sample",
+       sql=with_views("tx") + f"""
+SELECT {', '.join(V.TX_KEY)}, Class FROM tx
+ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000""")
+def head_sample(spark, sf_dir):
+    """The first 1000 transactions by key (n is capped at the table size by LIMIT itself)."""
+    t = V.tx(spark, sf_dir)
+    return t.orderBy(*V.TX_KEY).limit(1000).select(*V.TX_KEY, "Class")
