@@ -207,7 +207,9 @@ def evaluation_summary(df: DataFrame, label: str = "y_true", pred: str = "y_pred
                        by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
     """E1/E2/E6/E8 in one read of the data: the confusion counts ride along as
     extra aggregates of the per-(group, score) count table that the AUC/AP
-    running sums need anyway, then are summed per group."""
+    running sums need anyway, then are summed per group.  Rows without a score
+    (NULL/NaN) are left out of every metric, so all of them describe the same
+    rows; use :func:`binary_metrics` for label/prediction-only data."""
     y, p = F.col(label).cast("int"), F.col(pred).cast("int")
     raw = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score))).select(
         *by, F.col(score).cast("double").alias("score"), y.alias("_y"), p.alias("_p"))

@@ -101,3 +101,19 @@ def test_grouped_metrics(spark):
     df = spark.createDataFrame([("A", 1, 1), ("A", 0, 1), ("B", 1, 0)], "g string, y_true int, y_pred int")
     got = {r.g: (r.tp, r.fp, r.fn) for r in M.binary_metrics(df, by=["g"]).collect()}
     assert got == {"A": (1, 1, 0), "B": (0, 0, 1)}
+
+
+def test_evaluation_summary_matches_separate_metrics(spark):
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 300).tolist()
+    s = (np.floor(rng.random(300) * 10) / 10).tolist()
+    g = ["a" if i % 3 else "b" for i in range(300)]
+    df = spark.createDataFrame([(gg, yy, ss, int(ss >= 0.5)) for gg, yy, ss in zip(g, y, s)],
+                               "g string, y_true int, score double, y_pred int").repartition(5)
+    one = {r.g: r for r in M.evaluation_summary(df, by=["g"], buckets=4).collect()}
+    sep = {r.g: r for r in M.binary_metrics(df, by=["g"]).collect()}
+    auc = {r.g: r for r in M.score_metrics(df, by=["g"], buckets=4).collect()}
+    for k in ("a", "b"):
+        assert (one[k].tp, one[k].fp, one[k].fn, one[k].tn) == (sep[k].tp, sep[k].fp, sep[k].fn, sep[k].tn)
+        assert one[k].roc_auc == pytest.approx(auc[k].roc_auc, abs=1e-12)
+        assert one[k].average_precision == pytest.approx(auc[k].average_precision, abs=1e-12)
