@@ -16,6 +16,7 @@ from calibra.plans.registry import query
 from calibra.plans.sqlviews import with_views
 from calibra.sources import views as V
 from calibra.sources.streams import run_available, table_stream
+from calibra.sources.tables import table
 from calibra.streaming import monitors as S
 
 _FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -149,7 +150,9 @@ SELECT max(abs(fr - fc)) AS ks_binned, CAST(first(n_reference) AS BIGINT) AS n_r
        rounded="ks_binned")
 def stream_binned_drift(spark, sf_dir):
     """Binned KS of the live latency stream (from mid-month) against the reference half."""
-    ref = V.log(spark, sf_dir).where(F.col("ts") < F.lit(DRIFT_FROM).cast("timestamp"))
+    # filter the raw column (before the view's cast) so the predicate reaches the parquet scan
+    events = table(spark, sf_dir, "events").where(F.col("ts") < F.lit(DRIFT_FROM).cast("timestamp_ntz"))
+    ref = V.log_from(events)
     ref_bins = S.binned_counts(ref, "processing_time_ms", DRIFT_LO, DRIFT_HI, DRIFT_BINS)
     live = _log_stream(spark, sf_dir).where(F.col("ts") >= F.lit(DRIFT_FROM).cast("timestamp"))
     cur_bins = run_available(S.binned_counts(live, "processing_time_ms", DRIFT_LO, DRIFT_HI, DRIFT_BINS),
