@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from calibra.llm import langid, rollup
 from calibra.llm.chat import format_conversations
 from calibra.llm.exact_dedup import exact_dedup
-from calibra.llm.scratch import new_path
+from calibra.llm.minhash import near_duplicates
+from calibra.llm.scratch import new_path, stored
 from calibra.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +110,12 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+@query()
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: 3-word shingles, similarity 0.85 confirmed on full sets."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 @query("""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
