@@ -91,17 +91,16 @@ FROM counted LEFT JOIN flags f USING (doc_id) GROUP BY ALL
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents come in, toxic ones are taken out
     again, low-quality ones are revised (digits removed); every batch is sent twice."""
-    docs = table(spark, sf_dir, "documents")
-    flags = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"),
-                                                                 F.max("quality").alias("quality"))
     text = F.col("text")
-    labelled = docs.join(flags, "doc_id")
+    counts = stored(rollup.counted(table(spark, sf_dir, "documents"), text,
+                                   F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]+", "")), "counts")
+    flags = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(
+        F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    labelled = counts.join(flags, "id")
     batches = {
-        "0001-insert": rollup.events(docs, "I", after=text),
-        "0002-delete": rollup.events(labelled.where("toxic = 1"), "D", before=text),
-        "0003-revise": rollup.events(
-            labelled.where("quality = 0 AND NOT toxic <=> 1"), "U", before=text,
-            after=F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]+", "")),
+        "0001-insert": rollup.events(counts, "I"),
+        "0002-delete": rollup.events(labelled.where("toxic = 1"), "D"),
+        "0003-revise": rollup.events(labelled.where("quality = 0 AND NOT toxic <=> 1"), "U"),
     }
     store = rollup.RollupStore(spark, new_path(spark, "rollup"))
     for _ in range(2):

@@ -38,24 +38,27 @@ COUNTERS = {
 }
 
 
-def token_counts(docs: DataFrame, text: F.Column, versions=tuple(COUNTERS)) -> DataFrame:
-    """``source, lang, tokenizer, tokens``: one row per document and version, from one scan."""
-    body = F.coalesce(text.cast("string"), F.lit(""))
-    counted = F.array(*[F.struct(F.lit(v).alias("tokenizer"), COUNTERS[v](body).alias("tokens")) for v in versions])
-    return docs.select("source", "lang", F.inline(counted))
-
-
-def events(docs: DataFrame, op: str, before: F.Column | None = None, after: F.Column | None = None,
-           versions=tuple(COUNTERS)) -> DataFrame:
-    """Change events of ``docs``: op and the tokens of the texts before and after."""
-    zero = F.lit(0).cast("long")
+def counted(docs: DataFrame, before: F.Column, after: F.Column, id_col: str = "doc_id",
+            versions=tuple(COUNTERS)) -> DataFrame:
+    """``id, source, lang, tokenizer, tokens_before, tokens_after`` per document and version.
 
+    One scan; later joins move these few numbers and never the texts.
+    """
     def count(version, text):
-        return zero if text is None else COUNTERS[version](F.coalesce(text.cast("string"), F.lit("")))
+        return COUNTERS[version](F.coalesce(text.cast("string"), F.lit("")))
 
     rows = F.array(*[F.struct(F.lit(v).alias("tokenizer"), count(v, before).alias("tokens_before"),
                               count(v, after).alias("tokens_after")) for v in versions])
-    return docs.select("source", "lang", F.lit(op).alias("op"), F.inline(rows))
+    return docs.select(F.col(id_col).alias("id"), F.col("source").cast("string").alias("source"),
+                       F.col("lang").cast("string").alias("lang"), F.inline(rows))
+
+
+def events(counts: DataFrame, op: str) -> DataFrame:
+    """Change events: ``I`` brings the counts before any revision, ``D`` takes them back, ``U`` revises them."""
+    before, after = F.col("tokens_before"), F.col("tokens_after")
+    old, new = {"I": (F.lit(0), before), "D": (before, F.lit(0)), "U": (before, after)}[op]
+    return counts.select(*KEYS, F.lit(op).alias("op"), old.cast("long").alias("tokens_before"),
+                         new.cast("long").alias("tokens_after"))
 
 
 def signed_totals(changes: DataFrame) -> DataFrame:
