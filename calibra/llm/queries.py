@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import langid, rollup
+from calibra.llm import bpe, langid, rollup
 from calibra.llm.chat import format_conversations
+from calibra.llm.embeddings import near_vectors
 from calibra.llm.exact_dedup import exact_dedup
 from calibra.llm.minhash import near_duplicates
 from calibra.llm.scratch import new_path, stored
@@ -109,6 +110,25 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+@query()
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 or more among all embeddings, and their components."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query()
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and the bytes that they decode to."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    digests = coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                           F.sha2(bpe.id_text(), 256).alias("ids_sha256"))
+    return bpe.decode(digests, path, pattern).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query()
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents: 3-word shingles, similarity 0.85 confirmed on full sets."""
