@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import bpe, langid, rollup
+from calibra.llm import bpe, langid, ngram_lm, rollup
 from calibra.llm.chat import format_conversations
 from calibra.llm.embeddings import near_vectors
 from calibra.llm.exact_dedup import exact_dedup
 from calibra.llm.minhash import near_duplicates
+from calibra.llm.packing import pack_documents
 from calibra.llm.scratch import new_path, stored
 from calibra.sources.tables import table
 
@@ -34,6 +35,15 @@ def remainder(id_col: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
 
 
+@query()
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under a model of the documents whose fold is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngram_lm.train(docs.where(remainder() != 1))
+    return ngram_lm.score(docs, model).select(
+        "doc_id", (remainder() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query()
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from the documents whose fold is not 0."""
@@ -43,6 +53,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (remainder() == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query(r"""
 WITH rows AS (
   SELECT conv_id, turn, role, text FROM conversations
