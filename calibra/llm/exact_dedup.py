@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.llm.scratch import stored
+from calibra.llm.scratch import free_name, stored
 
 HEAVY = 256
+#: up to here the ids of the copies that go are broadcast
+BROADCAST_BYTES = 32 << 20
 
 
 def misra_gries(batches: Iterator[np.ndarray], k: int) -> dict:
@@ -119,16 +121,19 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are found again by (id, digest); a repeated row of a winner is dropped
     by its occurrence number, so exactly one stays.
     """
-    marked = docs.withColumn("_sha", text_digest(text_col))
-    digests = stored(marked.select(F.col(id_col).alias("_id"), F.col("_sha").alias("_d")), "digests")
-    decided = decide(digests, "_id", "_d", k)
-    kept = decided.groupBy("_id", "_d").agg(F.max("kept").alias("_keep"), F.count(F.lit(1)).alias("_times"))
-    gone = kept.where(~F.col("_keep") | (F.col("_times") > 1))
-    whole = marked.join(gone.select("_id", "_d", "_keep"),
-                        F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_d")), "left")
+    sha, number, ident, digest, keep = (free_name(docs, n) for n in ("_sha", "_number", "_id", "_d", "_keep"))
+    marked = docs.withColumn(sha, text_digest(text_col))
+    digests = stored(marked.select(F.col(id_col).alias("id"), F.col(sha).alias("d")), "digests")
+    kept = decide(digests, "id", "d", k).groupBy("id", "d").agg(
+        F.max("kept").alias("keep"), F.count(F.lit(1)).alias("times"))
+    gone = kept.where(~F.col("keep") | (F.col("times") > 1)).select(
+        F.col("id").alias(ident), F.col("d").alias(digest), F.col("keep").alias(keep))
+    if gone.count() * 64 <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)            # checked size; beyond it the join shuffles
+    whole = marked.join(gone, F.col(id_col).eqNullSafe(F.col(ident)) & (F.col(sha) == F.col(digest)), "left")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    single = whole.where(F.col("_keep").isNull()).select(*names)
+    single = whole.where(F.col(keep).isNull()).select(*names)
     # winners that occur more than once are few: one row each stays
-    repeated = whole.where(F.col("_keep")).select(*names, "_id", "_d").withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_id", "_d").orderBy(F.lit(1))))
-    return single.unionByName(repeated.where("_n = 1").select(*names))
+    repeated = whole.where(F.col(keep)).withColumn(
+        number, F.row_number().over(Window.partitionBy(ident, digest).orderBy(F.lit(1))))
+    return single.unionByName(repeated.where(F.col(number) == 1).select(*names))

@@ -175,7 +175,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
 
 def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score``; other columns stay as they are."""
+    """Add ``lang_pred`` and ``score`` (columns of these names are replaced); others stay as they are."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(
         (model.languages, model.masks, model.false_rate))      # bounded: see ``train``
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema

@@ -412,9 +412,11 @@ def lookup(model: Model) -> Lookup:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
+    """Add ``n_tokens, n_known, train_tokens, base_score, score, perplexity``; columns
+    of these names are replaced."""
     added = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(),
              "score": pa.float64(), "perplexity": pa.float64()}
+    docs = docs.drop(*added)
     schema = docs.select("*", *[F.lit(0).cast("double" if t == pa.float64() else "long").alias(c)
                                 for c, t in added.items()]).schema
 

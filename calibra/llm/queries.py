@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import bpe, langid, ngram_lm, rollup
+from calibra.llm import bpe, langid, ngram_lm, pii, rollup
 from calibra.llm.chat import format_conversations
 from calibra.llm.embeddings import near_vectors
 from calibra.llm.exact_dedup import exact_dedup
@@ -161,3 +161,10 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents; the largest doc_id of each group stays."""
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that the boosted trees add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(docs)).select("doc_id", *pii.digest_columns())
