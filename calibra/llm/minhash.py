@@ -9,16 +9,21 @@
    first that is not empty.
 3. ``rows`` successive bins form a band; equal bands share a bucket.  In a bucket
    every member is paired only with one hub (a star: size - 1 pairs instead of
-   size squared).  The hub is the member with the smallest keyed hash, another
-   key for each band, so a member meets different hubs.
+   size squared).  The hub is the most central member: the one whose buckets hold
+   the most members in all.  The original of a group of copies, which is nearer
+   to each copy than the copies are to each other, is such a member, and it is
+   the same one in most buckets, so few distinct pairs arise.
 4. Pairs whose set sizes allow the threshold are confirmed on the full sets.
-5. Buckets whose members do not yet form one component go through star rounds
-   again, each with the hubs of all other components in the bucket, until a
-   round links nothing new.  So a member that fails against one hub still meets
-   the others; no bucket size or partner count is capped.
+5. Buckets whose members do not yet form one component get ``HUBS`` further stars,
+   drawn by a hash per bucket, between different components only.  So the work is
+   linear in the members of shared buckets; no bucket size or partner count is
+   capped.  A link that neither round tries in one bucket (neither end a hub
+   there) has the other buckets that its two ends share; with 8 rows a band,
+   buckets hold few members that are not near copies.
 
 Two documents with similarity ``s`` share no bucket with probability
-``(1 - s**rows)**bands``: 7e-6 at 0.85 and 2e-4 at 0.8 with 16 bands of 4 rows.
+``(1 - s**rows)**bands``: 4e-5 at 0.85 with 32 bands of 8 rows, 1e-4 at 0.8 with
+50 bands of 8 rows.
 
 Defined results: a null text or one without words has an empty set and links
 with nothing; fewer words than the shingle length make the whole sequence one
@@ -38,11 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.llm.components import components
-from calibra.llm.scratch import stored
+from calibra.llm.scratch import free_name, stored
 from calibra.llm.text import U, chunks, gram_hashes, mix, utf8, word_hashes
 
 #: up to here the ids of documents with shared buckets are broadcast
 BROADCAST_BYTES = 32 << 20
+#: stars per bucket in the second round
+HUBS = 8
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -110,8 +117,8 @@ def profiles(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for s in shingle_sets(b.column("text"), n):
                 size.append(len(s))
                 key.append(set_key(s))
-                buckets.append(bands_of(signature(s, bands * rows), bands, rows).astype(np.int64) if len(s)
-                               else np.empty(0, dtype=np.int64))
+                sig = signature(s, bands * rows) if len(s) else np.empty(0, dtype=U)
+                buckets.append(bands_of(sig, bands, rows).astype(np.int64) if len(s) else np.empty(0, dtype=np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in buckets])]).astype(np.int32)
             values = np.concatenate(buckets) if buckets else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -159,21 +166,21 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(work, "a binary, b binary")
 
 
-def _hub() -> F.Column:
-    return F.min(F.struct(F.xxhash64("bucket", "set_key").alias("h"), F.col("set_key"), F.col("size"))).alias("hub")
-
-
 def first_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """One star per bucket of ``bucket, set_key, size`` rows: every member with the bucket's hub."""
-    hubs = members.groupBy("bucket").agg(_hub())
+    """One star per bucket of ``bucket, set_key, size, weight`` rows: every member with the
+    bucket's most central one (largest weight, ties by key)."""
+    hubs = members.groupBy("bucket").agg(F.min(F.struct(
+        (-F.col("weight")).alias("w"), F.col("set_key"), F.col("size"))).alias("hub"))
     return _fit(members.join(hubs, "bucket").where("set_key <> hub.set_key"), percent)
 
 
-def later_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Each member with the hub of every other component in its bucket (``root`` names
-    components): at most members x components pairs."""
-    hubs = members.groupBy("bucket", F.col("root").alias("hub_root")).agg(_hub())
-    return _fit(members.join(hubs, "bucket").where("root <> hub_root"), percent)
+def later_pairs(members: DataFrame, percent: int, hubs: int) -> DataFrame:
+    """Stars around up to ``hubs`` members of each bucket, drawn by a hash: each with the
+    members of other components (``root`` names components)."""
+    draw = F.xxhash64("set_key", "bucket")
+    centres = members.groupBy("bucket", F.pmod(draw, F.lit(hubs)).alias("slot")).agg(
+        F.min(F.struct(draw.alias("h"), F.col("set_key"), F.col("size"), F.col("root"))).alias("hub"))
+    return _fit(members.join(centres, "bucket").where("root <> hub.root"), percent)
 
 
 def _fit(paired: DataFrame, percent: int) -> DataFrame:
@@ -184,26 +191,28 @@ def _fit(paired: DataFrame, percent: int) -> DataFrame:
 
 
 def class_roots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``node, root`` over set keys: star rounds until one links nothing new."""
-    tried = stored(first_pairs(members, percent), "pairs")
-    links = stored(confirm(tried, sets, percent), "links")
-    roots = components(links)
-    while True:
-        labelled = members.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left") \
-            .withColumn("root", F.coalesce("root", "set_key"))
-        several = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
-            .where("lo <> hi").select("bucket")
-        fresh = stored(later_pairs(labelled.join(several, "bucket"), percent)
-                       .join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stored(confirm(fresh, sets, percent), "links")
-        if found.isEmpty():
-            return roots
-        tried, links = tried.unionByName(fresh), links.unionByName(found)
-        roots = components(links)
+    """``set_key, root`` of the members' classes: two rounds of stars."""
+    alone = members.select("set_key", F.col("set_key").alias("root")).distinct()
+    found = stored(confirm(first_pairs(members, percent), sets, percent), "links")
+    roots = stored(_merge(alone, found), "roots")
+    labelled = members.join(roots, "set_key")
+    several = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
+        .where("lo <> hi").select("bucket")
+    found = stored(confirm(later_pairs(labelled.join(several, "bucket"), percent, HUBS), sets, percent), "links")
+    return _merge(roots, found)
+
+
+def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Unite the components that new links join; only their roots are contracted again."""
+    of_a = roots.select(F.col("set_key").alias("a"), F.col("root").alias("ra"))
+    of_b = roots.select(F.col("set_key").alias("b"), F.col("root").alias("rb"))
+    joined = components(links.join(of_a, "a").join(of_b, "b"), "ra", "rb")
+    return roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left") \
+        .select("set_key", F.coalesce("new", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                    percent: int = 80, bands: int = 16, rows: int = 4) -> DataFrame:
+                    percent: int = 80, bands: int = 50, rows: int = 8) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id``, ``kept``."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     all_rows = stored(profiles(source, shingle, bands, rows), "profiles")
@@ -212,12 +221,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").alias("id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("set_key", "size", "id", F.explode("bands").alias("bucket"))
     # buckets with one member propose nothing
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stored(buckets.join(shared, "bucket"), "buckets")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = stored(buckets.join(shared, "bucket"), "buckets")
+    weights = crowded.groupBy("set_key").agg(F.sum("n").alias("weight"))
+    members = stored(crowded.drop("n").join(weights, "set_key"), "members")
     sets = stored(sets_of(source, members.select("id").distinct(), shingle), "sets")
     roots = class_roots(members.drop("id"), sets, percent)
-    rooted = classes.select("set_key", "id").join(roots.withColumnRenamed("node", "set_key"), "set_key") \
-        .select("set_key", "id", "root")
+    rooted = classes.select("set_key", "id").join(roots, "set_key").select("set_key", "id", "root")
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = rooted.join(smallest, "root").select("set_key", "component_id")
     final = classes.select("set_key", "id").join(linked, "set_key", "left") \
@@ -230,6 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The documents that stay: one of each group, with all their columns."""
+    name = free_name(docs, "gone")
     gone = near_duplicates(docs, id_col, text_col, **kw).where(~F.col("kept")) \
-        .select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+        .select(F.col("doc_id").alias(name)).distinct()
+    if gone.count() * 16 <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)            # checked size; beyond it the join shuffles
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -150,7 +150,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents: 3-word shingles, similarity 0.85 confirmed on full sets."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, bands=32, rows=8)
 
 
 @query("""
