@@ -61,8 +61,8 @@ def test_patterns_hold_every_piece_and_fit():
                 got[w] += many
         assert got == counts
         total = sum(w * n for w, n in counts.items())
-        assert math.ceil(total / 2048) <= used(patterns) <= max(1.02 * total / 2048, total / 2048 + 3, sum(
-            n for w, n in counts.items() if w > 1024))
+        least = max(math.ceil(total / 2048), sum(n for w, n in counts.items() if w > 1024))
+        assert least <= used(patterns) <= 11 / 9 * least + 1
 
 
 def test_tokens_equal_the_library(spark):
