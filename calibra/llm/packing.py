@@ -31,6 +31,7 @@ neither the number of sequences nor their fill.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -45,43 +46,84 @@ from calibra.llm.scratch import stored
 
 CAPACITY = 2048
 END_ID = 0
-#: entries of a worker's table of encoded words, and the longest word that enters it
-MEMO_ENTRIES, MEMO_CHARS = 500_000, 32
+#: entries of a worker's table of encoded words, the longest word that enters it, the mark between words
+MEMO_ENTRIES, WORD_CHARS, MARK = 450_000, 64, "~"
+TAILS = (",", ".")
 
 
 # --- token ids ---------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str):
-    from tokenizers import Tokenizer
+class _Encoder:
+    """Encodes whole texts; the ids of words are kept in two bounded tables (the older one
+    is dropped when the younger is full, what is still in use moves over)."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        # Spark runs one task per core: threads inside a task would only compete
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True      # their strings in a text are ordinary text
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                      for c in TAILS}
+        (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word.  Words are encoded many at a time with a mark between them; a
+        mark stands alone between spaces, so it is one id that no other word can give."""
+        out = []
+        for lo in range(0, len(words), 256):
+            part = words[lo:lo + 256]
+            ids = np.array(self.tok.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            data, at = ids.tobytes(), 0
+            for end in ends:
+                out.append(data[4 * at:4 * end])
+                at = end + 1
+        return out
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        cuts = [t.replace("\n", " ").split(" ") for t in texts]
+        memo, older = self.memo, self.older
+        new = {c for cut in cuts for c in cut if c not in memo}
+        known = {c: older[c] for c in new if c in older}
+        new -= known.keys()
+        # a comma or full stop after a letter is always a token run of its own
+        tailed = {c for c in new if c[-1:] in TAILS and c[-2:-1].isalpha()}
+        stems = {c[:-1] for c in tailed}
+        known.update({c: memo.get(c) or older[c] for c in stems if c in memo or c in older})
+        new = (new - tailed) | (stems - known.keys())
+        plain = [c for c in new if MARK not in c and len(c) <= WORD_CHARS]
+        known.update(zip(plain, self.words(plain), strict=True))
+        known.update({c: known[c[:-1]] + self.tails[c[-1]] for c in tailed if c[:-1] in known})
+        new |= {c for c in tailed if c not in known}
+        large = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                 for c in new if c not in known}
+        if len(memo) + len(known) > MEMO_ENTRIES:
+            self.older = memo
+            self.memo = memo = {}
+            known.update({c: self.older[c] for cut in cuts for c in cut if c in self.older})
+        memo.update(known)
+        if not large:
+            return [b"".join(map(memo.__getitem__, cut)) for cut in cuts]
+        return [b"".join([large[c] if c in large else memo[c] for c in cut]) for cut in cuts]
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True      # their strings in a text are ordinary text
-    return tok, {}
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers.
+    """Ids of each whole text as little-endian unsigned 32-bit numbers.
 
     This vocabulary drops white space and never joins tokens across it, so texts
-    are cut at spaces and line ends and equal cuts are encoded once per worker.
+    are cut at spaces and line ends and equal words are encoded once.
     """
-    tok, memo = _encoder(path)
-    cuts = [t.replace("\n", " ").split(" ") for t in texts]
-    missing = [c for c in {c for cut in cuts for c in cut} if c not in memo]
-    if len(memo) + len(missing) > MEMO_ENTRIES:
-        memo.clear()
-        missing = list({c for cut in cuts for c in cut})
-    for lo in range(0, len(missing), 4096):
-        part = missing[lo:lo + 4096]
-        for cut, coded in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True):
-            memo[cut] = np.array(coded.ids, dtype="<u4").tobytes()
-    out = [b"".join(map(memo.__getitem__, cut)) for cut in cuts]
-    for cut in missing:
-        if len(cut) > MEMO_CHARS:
-            del memo[cut]
-    return out
+    return _encoder(path).texts(texts)
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -93,7 +135,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # about a megabyte of text at a time
+            # few texts at a time: the library's objects are larger than the text
             for lo in range(0, b.num_rows, 250):
                 part = b.slice(lo, 250)
                 coded = encode_texts(path, [t or "" for t in part.column("text").to_pylist()])
