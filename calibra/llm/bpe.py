@@ -12,8 +12,9 @@ merges.
 
 Texts are first cut by the tokenizer's pattern.  A space between two characters
 that are no white space always begins a piece of such a pattern, so texts are
-cut there first and the ids of each cut are memoised (a bounded table that
-starts anew when full); equal words are encoded once per worker.
+cut there first and the ids of cuts and pieces are memoised in two bounded
+tables: the older one is dropped when the younger is full, and what is still in
+use moves over.
 
 Defined results: a null text counts as empty and has no ids; decoding unknown
 ids raises an error; texts of any length are encoded whole.
@@ -22,6 +23,8 @@ ids raises an error; texts of any length are encoded whole.
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: entries of a worker's table of encoded cuts, and the longest cut that enters it
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 350_000, 64
+#: entries of a worker's table of compatible neighbours
+PAIR_ENTRIES = 1_000_000
+
+
+#: white space beside white space
+TOUCHING = re.compile(r"\s\s")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,6 +64,7 @@ class BytePairs:
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._compatible: dict[tuple[int, int], bool] = {}
         self._shorter: dict[int, int] = {}
         # a token's parts in the last merge that makes it; single bytes are their own parts
@@ -130,9 +140,21 @@ class BytePairs:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
+        n, text = len(piece), piece.decode("latin-1")
+        # the walk that never has to try a shorter entry: longest entries all along
+        greedy = [rank for _, (_, rank) in self.automaton.iter_long(text)]
+        known = self._compatible
+        for pair in zip(greedy, greedy[1:], strict=False):
+            fits = known.get(pair)
+            if fits is None:
+                fits = self.compatible(*pair)
+            if not fits:
+                break
+        else:
+            if sum([len(self.tokens[g]) for g in greedy]) == n:
+                return greedy
         longest = [-1] * n
-        for end, (length, rank) in self.automaton.iter(piece.decode("latin-1")):
+        for end, (length, rank) in self.automaton.iter(text):
             longest[end - length + 1] = rank        # ends ascend: the last one is the longest
         tokens, out, open_place = self.tokens, [], bytearray(b"\x01") * (n + 1)
         compatible, shorter = self.compatible, self._next_shorter
@@ -152,23 +174,32 @@ class BytePairs:
                 token = out.pop()
                 at -= len(tokens[token])
 
+    def _keep(self, text: str, ids: bytes) -> None:
+        if len(text) <= MEMO_CHARS:
+            if len(self._memo) >= MEMO_ENTRIES:
+                self._memo, self._older = {}, self._memo
+            self._memo[text] = ids
+
     def _encode_cut(self, cut: str) -> bytes:
-        ids = [i for piece in self.pattern.findall(cut) for i in self.encode_piece(piece.encode())]
-        return np.array(ids, dtype=np.uint32).tobytes()
+        """Ids of a cut that is not in the younger table."""
+        ids = self._older.get(cut)
+        if ids is None:
+            pieces = self.pattern.findall(cut)
+            if len(pieces) == 1:
+                ids = array("I", self.encode_piece(cut.encode())).tobytes()
+            else:
+                ids = b"".join([self._memo.get(p) or self._encode_cut(p) for p in pieces])
+        self._keep(cut, ids)
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit numbers."""
-        memo, out = self._memo, []
+        out = []
         for cut in safe_cuts(text):
-            ids = memo.get(cut)
-            if ids is None:
-                ids = self._encode_cut(cut)
-                if len(cut) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                        self._compatible.clear()
-                    memo[cut] = ids
-            out.append(ids)
+            ids = self._memo.get(cut)
+            out.append(self._encode_cut(cut) if ids is None else ids)
+        if len(self._compatible) > PAIR_ENTRIES:
+            self._compatible.clear()
         return b"".join(out)
 
     def decode(self, ids) -> bytes:
@@ -182,6 +213,8 @@ def safe_cuts(text: str) -> list[str]:
     the cuts are the pieces of the text.
     """
     parts = text.split(" ")
+    if not TOUCHING.search(text) and parts[0] and parts[-1]:
+        return [parts[0], *[" " + p for p in parts[1:]]]
     out = [parts[0]] if parts[0] else []
     for part in parts[1:]:
         # a part that is empty or touches other white space belongs to a run: join it
@@ -202,6 +235,7 @@ def tokenizer(path: str, pattern: str) -> BytePairs:
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the token ids of each text (array of int); the file must lie at ``path`` on the workers."""
+    docs = docs.drop(ids_col)
     schema = docs.select("*", F.array(F.lit(0)).alias(ids_col)).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +257,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
 def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for (binary); null ids give empty bytes."""
+    rows = rows.drop(bytes_col)
     schema = rows.select("*", F.lit(b"").alias(bytes_col)).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
