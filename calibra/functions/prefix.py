@@ -11,9 +11,9 @@ one task.  Instead:
 3. the running sum inside each (group, bucket) window plus the offset is the
    exact running sum.
 
-Parallelism is groups x B.  The bounds and offsets tables hold groups x B rows;
-joins to them are equi-joins on the group keys, so AQE broadcasts them when
-their measured size is small and falls back to a shuffle join otherwise.
+Parallelism is groups x B.  The bounds are broadcast behind a count of
+the groups, so raw rows are never shuffled by their group alone; the offsets
+table (groups x B rows) is an equi-join that AQE broadcasts when it is small.
 Without group columns the bounds (B-1 numbers) and offsets (B numbers) are
 fetched as literals, so the plan has no join at all.
 """
@@ -27,6 +27,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: up to so many groups the bucket bounds are fetched and broadcast; beyond, they are joined
+MAX_SHIPPED_GROUPS = 10_000
+
+
+def bucket_count(df: DataFrame, buckets: int | None) -> int:
+    """The asked-for number, or as many buckets as there are shuffle partitions (32 at least)."""
+    return max(1, int(buckets)) if buckets else max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _with_bounds(df: DataFrame, group_cols: Sequence[str], value_col: str, b: int, accuracy: int) -> DataFrame:
+    """``df`` with its group's ``_bounds``.  The bounds are sketched with map-side
+    combination; while the groups are few (counted, not guessed) they are broadcast, so
+    the rows of ``df`` are not shuffled by their group."""
+    probs = [i / b for i in range(1, b)]
+    bounds = df.groupBy(*group_cols).agg(
+        F.percentile_approx(F.col(value_col), probs, accuracy).alias("_bounds"))
+    found = bounds.limit(MAX_SHIPPED_GROUPS + 1).collect()
+    if len(found) > MAX_SHIPPED_GROUPS:
+        return df.join(bounds, list(group_cols), "left")
+    small = df.sparkSession.createDataFrame(found, bounds.schema)
+    # null groups keep their rows: the join is null-safe
+    names = [f"_g{i}" for i in range(len(group_cols))]
+    small = small.select(*[F.col(c).alias(n) for c, n in zip(group_cols, names, strict=True)], "_bounds")
+    same = [df[c].eqNullSafe(small[n]) for c, n in zip(group_cols, names, strict=True)]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return df.join(F.broadcast(small), on, "left").drop(*names)
+
+
 def _bucket(value_col: str, bounds, n: int) -> F.Column:
     """Number of the ``n`` sorted bounds strictly below the value (equal values
     share a bucket), as a binary search of nested CASE expressions: log2(n)
@@ -45,7 +75,7 @@ def _bucket(value_col: str, bounds, n: int) -> F.Column:
 
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                 count_cols: Sequence[str], buckets: int = 32,
+                 count_cols: Sequence[str], buckets: int | None = None,
                  accuracy: int = 10000, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_<c>`` (sum of c over rows with value <= this value, same group)
     and ``tot_<c>`` (group total) for every ``c`` in ``count_cols``.
@@ -62,12 +92,9 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
     group_cols = list(group_cols)
     if not group_cols:
         return _running_sums_global(df, value_col, count_cols, buckets, accuracy, tiebreak)
-    b = max(1, int(buckets))
+    b = bucket_count(df, buckets)
     if b > 1:
-        probs = [i / b for i in range(1, b)]
-        bounds = df.groupBy(*group_cols).agg(
-            F.percentile_approx(F.col(value_col), probs, accuracy).alias("_bounds"))
-        with_b = df.join(bounds, group_cols, "left").withColumn(
+        with_b = _with_bounds(df, group_cols, value_col, b, accuracy).withColumn(
             "_bucket", _bucket(value_col, F.col("_bounds"), b - 1)).drop("_bounds")
     else:
         with_b = df.withColumn("_bucket", F.lit(0))
@@ -96,10 +123,10 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
         *[F.col(f"tot_{c}") for c in count_cols])
 
 
-def _running_sums_global(df: DataFrame, value_col: str, count_cols: Sequence[str], buckets: int,
+def _running_sums_global(df: DataFrame, value_col: str, count_cols: Sequence[str], buckets: int | None,
                          accuracy: int, tiebreak: Sequence[str]) -> DataFrame:
     """One group: bounds and bucket offsets are a few numbers, used as literals."""
-    b = max(1, int(buckets))
+    b = bucket_count(df, buckets)
     bounds: list = []
     if b > 1:
         probs = [i / b for i in range(1, b)]
@@ -127,7 +154,7 @@ def _running_sums_global(df: DataFrame, value_col: str, count_cols: Sequence[str
 
 
 def cumulative_counts(raw: DataFrame, group_cols: Sequence[str], value_col: str,
-                      aggs: dict, buckets: int = 32, accuracy: int = 10000) -> DataFrame:
+                      aggs: dict, buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
     """Per (group, distinct value): the aggregates ``aggs`` (name -> Column),
     their running sums ``cum_<name>`` over values <= this value and group
     totals ``tot_<name>`` - computed straight from the raw rows.
@@ -140,15 +167,14 @@ def cumulative_counts(raw: DataFrame, group_cols: Sequence[str], value_col: str,
     """
     group_cols = list(group_cols)
     names = list(aggs)
-    b = max(1, int(buckets))
+    b = bucket_count(raw, buckets)
     probs = [i / b for i in range(1, b)]
     if not group_cols:
         bounds = sorted(set(raw.agg(F.percentile_approx(F.col(value_col), probs, accuracy)).first()[0] or [])) \
             if b > 1 else []
         rb = raw.withColumn("_bucket", _bucket(value_col, bounds, len(bounds)) if bounds else F.lit(0))
     elif b > 1:
-        bnd = raw.groupBy(*group_cols).agg(F.percentile_approx(F.col(value_col), probs, accuracy).alias("_bounds"))
-        rb = raw.join(bnd, group_cols, "left").withColumn(
+        rb = _with_bounds(raw, group_cols, value_col, b, accuracy).withColumn(
             "_bucket", _bucket(value_col, F.col("_bounds"), b - 1)).drop("_bounds")
     else:
         rb = raw.withColumn("_bucket", F.lit(0))

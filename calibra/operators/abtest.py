@@ -32,7 +32,7 @@ def routed(df: DataFrame, arm: Column, label: str, pred_a: str, pred_b: str,
         F.when(arm == "B", F.col(score_b)).otherwise(F.col(score_a)).alias("score"))
 
 
-def arm_metrics(r: DataFrame, buckets: int = 32) -> DataFrame:
+def arm_metrics(r: DataFrame, buckets: int | None = None) -> DataFrame:
     """A1: metrics per arm: accuracy, precision, recall, f1_score, roc_auc, confusion, size."""
     s = M.evaluation_summary(r, "y_true", "y_pred", "score", ["arm"], buckets)
     return s.select("arm", "accuracy", "precision", "recall", F.col("f1").alias("f1_score"), "roc_auc",
@@ -100,7 +100,7 @@ def simple_decision(r: DataFrame) -> DataFrame:
 
 def sequential_batches(r: DataFrame, order_key: str, batch_size: int = 100,
                        min_samples: int = 1000, confidence: float = 0.95,
-                       buckets: int = 32) -> DataFrame:
+                       buckets: int | None = None) -> DataFrame:
     """A5: cumulative correct/total per arm after each batch of ``batch_size`` rows
     in ``order_key`` order (unique key), with z/p once both arms reach
     ``min_samples``; rows up to the first significant batch are kept.

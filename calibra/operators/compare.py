@@ -22,7 +22,7 @@ OVERALL_WEIGHTS = {"f1_score": 0.4, "roc_auc": 0.3, "precision": 0.15, "recall":
 
 
 def model_metrics(long: DataFrame, model: str = "model", label: str = "y_true",
-                  pred: str = "y_pred", score: str = "score", buckets: int = 32) -> DataFrame:
+                  pred: str = "y_pred", score: str = "score", buckets: int | None = None) -> DataFrame:
     """Accuracy, precision, recall, f1_score, roc_auc, avg_precision per model."""
     s = M.evaluation_summary(long, label, pred, score, [model], buckets)
     return s.select(model, "accuracy", "precision", "recall", F.col("f1").alias("f1_score"), "roc_auc",
@@ -97,7 +97,7 @@ def mcnemar(wide: DataFrame, pred_cols: Mapping[str, str], on: str = "prediction
         bb, cc = F.col(f"_b_{a}_{b}"), F.col(f"_c_{a}_{b}")
         complete = ((F.col(f"_z_{a}") > 0) & (F.col(f"_o_{a}") > 0)
                     & (F.col(f"_z_{b}") > 0) & (F.col(f"_o_{b}") > 0))
-        stat = F.when(bb + cc > 0, safe_div((bb - cc) * (bb - cc), bb + cc)).otherwise(F.lit(0.0))
+        stat = F.when(bb + cc > 0, safe_div((bb - cc).cast("double") * (bb - cc).cast("double"), bb + cc)).otherwise(F.lit(0.0))
         stat = F.when(complete, stat)
         rows.append(F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"),
                              bb.alias("b"), cc.alias("c"), complete.alias("complete"),

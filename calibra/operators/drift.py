@@ -26,7 +26,7 @@ def long_values(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
 
 def ks_two_sample(df: DataFrame, features: Sequence[str], side: str = "side",
                   reference: str = "reference", current: str = "current",
-                  alpha: float = 0.05, buckets: int = 32) -> DataFrame:
+                  alpha: float = 0.05, buckets: int | None = None) -> DataFrame:
     """``feature, ks_statistic, p_value, drift_detected, n_reference, n_current``.
 
     D = max |F_ref(v) - F_cur(v)| over all distinct values v; p from the

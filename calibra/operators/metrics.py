@@ -150,7 +150,7 @@ def _cumulative(df: DataFrame, label: str, score: str, by: Sequence[str], bucket
 
 
 def roc_curve(df: DataFrame, label: str = "y_true", score: str = "score",
-              by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+              by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """E5: ``(by..., threshold, fpr, tpr)`` at every distinct score (no point dropped)."""
     c = _cumulative(df, label, score, by, buckets)
     return c.select(*by, F.col("score").alias("threshold"),
@@ -159,7 +159,7 @@ def roc_curve(df: DataFrame, label: str = "y_true", score: str = "score",
 
 
 def pr_curve(df: DataFrame, label: str = "y_true", score: str = "score",
-             by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+             by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """``(by..., threshold, precision, recall)`` at every distinct score."""
     c = _cumulative(df, label, score, by, buckets)
     return c.select(*by, F.col("score").alias("threshold"),
@@ -168,18 +168,18 @@ def pr_curve(df: DataFrame, label: str = "y_true", score: str = "score",
 
 
 def roc_auc(df: DataFrame, label: str = "y_true", score: str = "score",
-            by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+            by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Tie-exact AUC = sum pos_i (neg_below_i + neg_i / 2) / (P N); 0.5 for one class."""
     c = _cumulative(df, label, score, by, buckets)
     agg = c.groupBy(*by).agg(
         F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("_s"),
         F.first("tot_pos").alias("_p"), F.first("tot_neg").alias("_n"))
-    return agg.select(*by, F.coalesce(F.try_divide(F.col("_s"), (F.col("_p") * F.col("_n")).cast("double")),
+    return agg.select(*by, F.coalesce(F.try_divide(F.col("_s"), F.col("_p").cast("double") * F.col("_n").cast("double")),
                                       F.lit(0.5)).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str = "y_true", score: str = "score",
-                      by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+                      by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """AP = sum over thresholds of (delta recall) * precision = sum pos_i / P * P_i."""
     c = _cumulative(df, label, score, by, buckets)
     agg = c.groupBy(*by).agg(
@@ -189,7 +189,7 @@ def average_precision(df: DataFrame, label: str = "y_true", score: str = "score"
 
 
 def score_metrics(df: DataFrame, label: str = "y_true", score: str = "score",
-                  by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+                  by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """AUC and AP from one cumulative pass (used by model comparison)."""
     c = _cumulative(df, label, score, by, buckets)
     agg = c.groupBy(*by).agg(
@@ -198,24 +198,24 @@ def score_metrics(df: DataFrame, label: str = "y_true", score: str = "score",
         F.first("tot_pos").alias("_p"), F.first("tot_neg").alias("_n"))
     return agg.select(
         *by,
-        F.coalesce(F.try_divide(F.col("_s"), (F.col("_p") * F.col("_n")).cast("double")),
+        F.coalesce(F.try_divide(F.col("_s"), F.col("_p").cast("double") * F.col("_n").cast("double")),
                    F.lit(0.5)).alias("roc_auc"),
         safe_div(F.col("_ap"), F.col("_p")).alias("average_precision"))
 
 
 def evaluation_summary(df: DataFrame, label: str = "y_true", pred: str = "y_pred", score: str = "score",
-                       by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+                       by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """E1/E2/E6/E8 in one read of the data: the confusion counts ride along as
     extra aggregates of the per-(group, score) count table that the AUC/AP
     running sums need anyway, then are summed per group.  Rows without a score
-    (NULL/NaN) are left out of every metric, so all of them describe the same
-    rows; use :func:`binary_metrics` for label/prediction-only data."""
+    (NULL/NaN) count in the confusion counts and what follows from them; only AUC
+    and AP, which need an order, leave them out."""
     y, p = F.col(label).cast("int"), F.col(pred).cast("int")
-    raw = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score))).select(
-        *by, F.col(score).cast("double").alias("score"), y.alias("_y"), p.alias("_p"))
-    yy, pp = F.col("_y"), F.col("_p")
+    value = F.col(score).cast("double")
+    raw = df.select(*by, F.when(~F.isnan(value), value).alias("score"), y.alias("_y"), p.alias("_p"))
+    yy, pp, scored = F.col("_y"), F.col("_p"), F.col("score").isNotNull()
     c = cumulative_counts(raw, list(by), "score", {
-        "pos": F.count_if(yy == 1), "neg": F.count_if(yy == 0),
+        "pos": F.count_if((yy == 1) & scored), "neg": F.count_if((yy == 0) & scored),
         "ctp": F.count_if((yy == 1) & (pp == 1)), "cfp": F.count_if((yy == 0) & (pp == 1)),
         "cfn": F.count_if((yy == 1) & (pp == 0)), "ctn": F.count_if((yy == 0) & (pp == 0))}, buckets=buckets)
     tp_t = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")
@@ -229,6 +229,6 @@ def evaluation_summary(df: DataFrame, label: str = "y_true", pred: str = "y_pred
     out = metrics_from_counts(agg)
     return out.select(
         *by, "tp", "fp", "fn", "tn", "n", "accuracy", "precision", "recall", "f1",
-        F.coalesce(F.try_divide(F.col("_s"), (F.col("_p") * F.col("_n")).cast("double")),
+        F.coalesce(F.try_divide(F.col("_s"), F.col("_p").cast("double") * F.col("_n").cast("double")),
                    F.lit(0.5)).alias("roc_auc"),
         safe_div(F.col("_ap"), F.col("_p")).alias("average_precision"))

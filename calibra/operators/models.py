@@ -58,6 +58,15 @@ def with_class_weights(df: DataFrame, label: str, weight_col: str = "weight") ->
     return df.join(F.broadcast(w), label, "left")
 
 
+#: model types whose C multiplies an un-averaged loss: Spark's penalty is 1 / (C n)
+PENALISED = ("logistic_regression", "svm")
+
+
+def row_weight(df: DataFrame, weight_col: str | None = "weight") -> int:
+    """n of the penalty: the sum of the weights, or the row count without any."""
+    return round((df.agg(F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()[0]) or 1)
+
+
 def make_estimator(kind: str, label: str = "label", weight_col: str | None = "weight",
                    seed: int = 42, **params):
     """M1-M4: a pyspark.ml classifier configured like the reference model types."""
@@ -87,6 +96,8 @@ def make_estimator(kind: str, label: str = "label", weight_col: str | None = "we
 def fit_model(df: DataFrame, features: Sequence[str], label: str, kind: str,
               weight_col: str | None = "weight", **params) -> PipelineModel:
     """Assemble features and fit one model type (weights must already be attached)."""
+    if kind in PENALISED and "n" not in params:
+        params["n"] = row_weight(df, weight_col)
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     return Pipeline(stages=[asm, make_estimator(kind, label, weight_col, **params)]).fit(df)
 
@@ -194,15 +205,16 @@ def random_grid(kind: str, est, n_trials: int = 50, seed: int = 42) -> list:
 
 def tune(train: DataFrame, features: Sequence[str], label: str, kind: str, param_maps: list | None = None,
          fold_col: str = "fold", parallelism: int = 2, values: Mapping[str, Sequence] | None = None):
-    """M8/M9: CrossValidator on a stratified fold column, scored by weighted F1."""
-    est = make_estimator(kind, label)
+    """M8/M9: CrossValidator on a stratified fold column, scored by the F1 of class 1."""
+    est = make_estimator(kind, label, **({"n": row_weight(train)} if kind in PENALISED else {}))
     maps = param_maps if param_maps is not None else grid(kind, est, values or {})
     asm = VectorAssembler(inputCols=list(features), outputCol="features")
     # Folds are a deterministic function of the key, so a lost cached block is
     # recomputed to the same rows; caching avoids re-running the split per fit.
     assembled = asm.transform(train).select("features", label, fold_col, "weight").persist()
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps,
-                        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="weightedFMeasure"),
+                        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel",
+                                                                  metricLabel=1.0),
                         foldCol=fold_col, parallelism=parallelism)
     try:
         return cv.fit(assembled)

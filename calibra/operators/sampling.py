@@ -26,7 +26,7 @@ def row_uniform(keys: Sequence[str], seed: str) -> Column:
 
 
 def class_rank(df: DataFrame, label: str, keys: Sequence[str], seed: str,
-               buckets: int = 32) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """Adds ``_u`` and ``_rank`` (1-based rank of (u, key) inside the class)."""
     d = df.withColumn("_u", row_uniform(keys, seed)).withColumn("_one", F.lit(1))
     r = running_sums(d, [label], "_u", ["_one"], buckets=buckets, tiebreak=list(keys))

@@ -43,6 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="calibra-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -55,6 +58,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+
+
+def path_exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path matches; errors of the file system are raised."""
+    fs, hpath = _hadoop(spark, pattern)
+    return len(fs.globStatus(hpath) or []) > 0
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, hpath = _hadoop(spark, path)
+    fs.delete(hpath, True)
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -38,6 +38,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.globStatus(hpath)) and len(fs.globStatus(hpath)) > 0
 
 
+def _by_header(reader, spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The schema's columns, found by the header's names in any order; other columns are
+    not read.  Files whose headers differ from the first one's fail (enforceSchema off)."""
+    header = spark.read.option("header", True).csv(path).columns
+    wanted = {f.name: f for f in schema.fields}
+    lacking = [n for n in wanted if n not in header]
+    if lacking:
+        raise ValueError(f"missing columns: {lacking}")
+    in_file = T.StructType([wanted.get(n, T.StructField(n, T.StringType())) for n in header])
+    return reader.option("enforceSchema", False).schema(in_file).csv(path).select(*wanted)
+
+
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = TRANSACTION_SCHEMA,
              check_empty: bool = True) -> DataFrame:
     """CSV with header and an explicit schema, FAILFAST on malformed rows.
@@ -49,7 +61,7 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = TRANS
         raise FileNotFoundError(path)
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
     try:
-        df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
+        df = _by_header(reader, spark, path, schema) if schema is not None else reader.csv(path)
         # parse the first row completely: an empty file or a broken layout fails here
         if check_empty and not df.limit(1).collect():
             raise EmptyDataError(f"No rows in {path}")

@@ -12,8 +12,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from calibra.session import scratch_path
+from calibra.session import path_exists, remove_path, scratch_path
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
@@ -24,13 +25,18 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
             .parquet(sf_dir))
 
 
-def run_available(sdf: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
+def run_available(sdf: DataFrame, mode: str = "append", name: str = "stream",
+                  keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a streaming query over everything available, return its output as a batch frame.
 
     ``append``: parquet file sink (exactly-once through its commit log).
-    ``complete``/``update``: each micro-batch rewrites the result table via
-    ``foreachBatch`` (complete mode always carries the whole result).
+    ``complete``: each micro-batch rewrites the result table, which it carries whole.
+    ``update``: each micro-batch is kept under its epoch (a replay rewrites its own) and
+    the result holds the last row of every value of ``keys``.
+    The query's checkpoint is removed when it has ended.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the result's key columns")
     spark = sdf.sparkSession
     base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
     out, ckpt = f"{base}/out", f"{base}/checkpoint"
@@ -39,11 +45,15 @@ def run_available(sdf: DataFrame, mode: str = "append", name: str = "stream") ->
         q = w.format("parquet").option("path", out).start()
     else:
         def write(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={_epoch}" if mode == "update" else out)
 
         q = w.foreachBatch(write).start()
     q.awaitTermination()
-    try:
-        return spark.read.schema(sdf.schema).parquet(out)
-    except Exception:  # noqa: BLE001 - no file was written: the result is empty
+    remove_path(spark, ckpt)
+    if not path_exists(spark, out):
         return spark.createDataFrame([], sdf.schema)
+    if mode != "update":
+        return spark.read.schema(sdf.schema).parquet(out)
+    rows = spark.read.parquet(out)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*sdf.columns), "epoch").alias("_last"))
+    return last.select("_last.*")

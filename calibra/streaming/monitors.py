@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from calibra.session import path_exists
 from calibra.functions.columns import erfc_pos_float, safe_div
 from calibra.operators.quality import confidence_band, risk_score
 
@@ -186,10 +187,9 @@ def sequential_ab(routed: DataFrame, state_path: str, test_id: Column | str = "t
 
 
 def _latest_state(spark, state_path: str, before: int | None = None) -> DataFrame:
-    try:
-        st = spark.read.schema(SEQ_STATE_SCHEMA).parquet(f"{state_path}/epoch=*")
-    except Exception:  # noqa: BLE001 - no epoch written yet
+    if not path_exists(spark, f"{state_path}/epoch=*"):
         return spark.createDataFrame([], SEQ_STATE_SCHEMA)
+    st = spark.read.schema(SEQ_STATE_SCHEMA).parquet(f"{state_path}/epoch=*")
     if before is not None:
         st = st.where(F.col("epoch") < before)
     return st.groupBy("test_id").agg(F.max_by(F.struct(*[c for c in SEQ_STATE_SCHEMA.fieldNames()]),
