@@ -84,11 +84,14 @@ def signature(hashes: np.ndarray, bins: int) -> np.ndarray:
     ends = np.append(at[1:], len(hashes))
     filled = ends > at
     out = hashes[np.minimum(at, len(hashes) - 1)]
-    empty = np.flatnonzero(~filled)
-    if len(empty):
-        table = probes(bins)[empty]
-        source = table[np.arange(len(empty)), filled[table].argmax(axis=1)]
-        out[empty] = out[source]
+    empty, table, lo, width = np.flatnonzero(~filled), probes(bins), 0, 8
+    while len(empty):
+        # the first filled bin of each one's probes; most have one among the first few
+        tried = table[empty, lo:lo + width]
+        hits = filled[tried]
+        found = hits.any(axis=1)
+        out[empty[found]] = out[tried[found, hits[found].argmax(axis=1)]]
+        empty, lo, width = empty[~found], lo + width, 2 * width
     return out
 
 
