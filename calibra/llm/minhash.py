@@ -140,10 +140,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(shingle_sets(b.column("text"), n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s) for s in sets], pa.binary()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "members"])
+            # a set takes several times its text: few at a time
+            for lo in range(0, b.num_rows, 500):
+                sets = list(shingle_sets(b.slice(lo, 500).column("text"), n))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([set_key(s) for s in sets], pa.binary()),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "members"])
 
     return docs.join(ids, "id", "left_semi").select("text").mapInArrow(
         work, "set_key binary, members binary").groupBy("set_key").agg(F.first("members").alias("members"))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 U = np.uint64
 
 # white space of the word rule: space and 0x09-0x0D; only A-Z are lower-cased
