@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from calibra.llm.components import components
 from calibra.llm.scratch import free_name, stored
-from calibra.llm.text import U, chunks, gram_hashes, mix, utf8, word_hashes
+from calibra.llm.text import U, chunks, gram_hashes, mix, tidy, utf8, word_hashes
 
 #: up to here the ids of documents with shared buckets are broadcast
 BROADCAST_BYTES = 32 << 20
@@ -130,7 +130,7 @@ def profiles(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 names=["id", "n_shingles", "set_key", "bands"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"id {kind}, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInArrow(tidy(work), f"id {kind}, n_shingles long, set_key binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -148,7 +148,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                      pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "members"])
 
     return docs.join(ids, "id", "left_semi").select("text").mapInArrow(
-        work, "set_key binary, members binary").groupBy("set_key").agg(F.first("members").alias("members"))
+        tidy(work), "set_key binary, members binary").groupBy("set_key").agg(F.first("members").alias("members"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,7 +168,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = sets.select(F.col("set_key").alias("a"), F.col("members").alias("x"))
     second = sets.select(F.col("set_key").alias("b"), F.col("members").alias("y"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y") \
-        .mapInArrow(work, "a binary, b binary")
+        .mapInArrow(tidy(work), "a binary, b binary")
 
 
 def first_pairs(members: DataFrame, percent: int) -> DataFrame:

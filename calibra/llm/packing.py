@@ -43,11 +43,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.llm.scratch import stored
+from calibra.llm.text import tidy
 
 CAPACITY = 2048
 END_ID = 0
 #: entries of a worker's table of encoded words, the longest word that enters it, the mark between words
-MEMO_ENTRIES, WORD_CHARS, MARK = 450_000, 64, "~"
+MEMO_ENTRIES, WORD_CHARS, MARK = 300_000, 64, "~"
 TAILS = (",", ".")
 
 
@@ -159,7 +160,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     columns, names = [*columns, pa.array(rows["ids"], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    return source.mapInArrow(tidy(work), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
                              + (", ids binary" if with_ids else ""))
 
 

@@ -6,7 +6,7 @@ become 64-bit hashes without making a Python object per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)), offs
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work``, with the memory that Arrow keeps for reuse given back after every batch:
+    Python workers live on from task to task beside the executor's heap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in work(batches):
+            yield b
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def chunks(offsets: np.ndarray, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [lo, hi) of at most ``max_bytes`` of text each; a longer text stands alone."""
     n, lo = len(offsets) - 1, 0
