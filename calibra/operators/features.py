@@ -157,22 +157,29 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 class RobustScaler(Estimator, _ScalerParams, DefaultParamsReadable, DefaultParamsWritable):
-    """(x - median) / (q75 - q25) with exact interpolated quantiles; IQR 0 -> 1."""
+    """(x - median) / (q75 - q25) with exact interpolated quantiles; IQR 0 -> 1.
 
-    def __init__(self, inputCols: Sequence[str] | None = None):
+    Missing values are an error, excluded columns stay as they are.
+    """
+
+    def __init__(self, inputCols: Sequence[str] | None = None, excludeCols: Sequence[str] = ()):
         super().__init__()
         self._setDefault(excludeCols=[])
         if inputCols is not None:
             self._set(inputCols=list(inputCols))
+        if excludeCols:
+            self._set(excludeCols=list(excludeCols))
 
     def _fit(self, df: DataFrame) -> PopulationStandardScalerModel:
-        cols = self.getOrDefault("inputCols")
+        excl = self.getOrDefault("excludeCols")
+        cols = [c for c in self.getOrDefault("inputCols") if c not in excl]
+        assert_no_missing(df.select(*cols))
         q = {(r["feature"], r["prob"]): r["value"]
              for r in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).collect()}  # 3 x d rows
         med = [float(q[(c, 0.5)]) for c in cols]
         iqr = [float(q[(c, 0.75)] - q[(c, 0.25)]) or 1.0 for c in cols]
         m = PopulationStandardScalerModel()
-        m._set(inputCols=list(cols), centers=med, scales=iqr, excludeCols=[])
+        m._set(inputCols=list(cols), centers=med, scales=iqr, excludeCols=list(excl))
         return m
 
 

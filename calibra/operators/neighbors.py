@@ -22,6 +22,7 @@ final window orders them.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -90,15 +91,22 @@ def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "id", features:
     ``carry`` are numeric reference columns copied onto each neighbour row
     (e.g. its label).
     """
-    dims = len(query.select(features).first()[0] or []) if k > 0 else 0
-    nq = query.count()
     schema = T.StructType([
         T.StructField("q_id", T.LongType()), T.StructField("nn_id", T.LongType()),
         T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType()),
         *[T.StructField(c, ref.schema[c].dataType) for c in carry]])
     spark = query.sparkSession
-    if nq * max(dims, 1) <= max_shipped_values:
-        qids, qmat, _ = _collect_side(query, id_col, features, ())
+    one = query.select(features).first() if k > 0 else None
+    if one is None:
+        return spark.createDataFrame([], schema)
+    dims = max(1, len(one[0] or []))
+    nq = query.count()
+
+    def scan_reference(side: DataFrame) -> DataFrame:
+        """The answer for the query rows of ``side``, which fit the bound."""
+        qids, qmat, _ = _collect_side(side, id_col, features, ())
+        if not len(qids):
+            return spark.createDataFrame([], schema)
         bq = spark.sparkContext.broadcast((qids, qmat))
 
         def scan_ref(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,19 +160,17 @@ def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "id", features:
         w = Window.partitionBy("q_id").orderBy("distance", "nn_id")
         return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
+    if nq * dims <= max_shipped_values:
+        return scan_reference(query)
     nr = ref.count()
-    if nr * max(dims, 1) > max_shipped_values:
-        # Both sides are large: cover the query side with hash slices that each
-        # fit the bound; every slice is answered exactly against the whole
-        # reference side (one scan of it per slice) and the slices are unioned,
-        # so every query row gets its complete top-k.
-        n_slices = -(-nq * max(dims, 1) // max_shipped_values) + 1
-        part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_slices))
-        out = None
-        for i in range(n_slices):
-            piece = knn(query.where(part == i), ref, k, id_col, features, exclude_self, carry, max_shipped_values)
-            out = piece if out is None else out.unionByName(piece)
-        return out
+    if nr * dims > max_shipped_values:
+        # Both sides are large: hash slices of the query side, about half the bound
+        # each; every slice is answered exactly against the whole reference side
+        # (one scan of it per slice) and the slices are unioned, so every query row
+        # gets its complete top-k.
+        n_slices = -(-2 * nq * dims // max_shipped_values)
+        part = F.pmod(F.xxhash64(F.lit("slice"), F.col(id_col)), F.lit(n_slices))
+        return reduce(DataFrame.unionByName, [scan_reference(query.where(part == i)) for i in range(n_slices)])
     rids, rmat, rextra = _collect_side(ref, id_col, features, carry)
     br = spark.sparkContext.broadcast((rids, rmat, rextra))
 
@@ -194,42 +200,66 @@ def _class_counts(df: DataFrame, label: str) -> dict:
     return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
 
 
+def class_targets(counts: dict, strategy: str = "auto") -> dict:
+    """Rows to add per class, up to the largest class.  ``auto`` and ``not majority``
+    raise every class but the largest, ``minority`` the smallest one, ``not minority``
+    every class but that, ``all`` every class."""
+    smallest = min(counts, key=lambda c: (counts[c], c))
+    largest = max(counts, key=lambda c: (counts[c], c))
+    chosen = {
+        "auto": lambda c: c != largest, "not majority": lambda c: c != largest,
+        "minority": lambda c: c == smallest, "not minority": lambda c: c != smallest, "all": lambda c: True,
+    }
+    if strategy not in chosen:
+        raise ValueError(f"sampling strategy must be one of {sorted(chosen)}, not {strategy!r}")
+    return {c: counts[largest] - n for c, n in counts.items() if chosen[strategy](c) and n < counts[largest]}
+
+
+def spread_evenly(bases: DataFrame, id_col: str, n_bases: int, n_new: int) -> DataFrame:
+    """``id_col, n_generate``: ``n_new`` draws dealt to the base rows, the rest to the smallest ids."""
+    more = F.when(F.col("_r") <= F.lit(n_new % n_bases), 1).otherwise(0)
+    return running_sums_rank(bases.select(id_col), id_col).select(
+        id_col, (F.lit(n_new // n_bases) + more).alias("n_generate"))
+
+
 def smote(df: DataFrame, label: str, id_col: str, features: str, k: int = 5,
           seed: str = "smote", counts_per_base: DataFrame | None = None,
-          neighbours: DataFrame | None = None) -> DataFrame:
-    """Oversample the minority class to parity.
+          neighbours: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
+    """Oversample the classes that ``strategy`` names to the size of the largest.
 
-    Each synthetic row is ``x + g * (nn - x)`` for a minority row x, one of its
-    k nearest minority neighbours nn and g in [0,1), all three drawn from a
+    Each synthetic row is ``x + g * (nn - x)`` for a row x of the class, one of its
+    k nearest neighbours nn in the class and g in [0,1), all three drawn from a
     hash of (base id, draw number), so the output is reproducible.  Draws are
-    spread evenly over the minority rows (or follow ``counts_per_base`` with
-    columns ``id_col, n_generate`` as in ADASYN).  Output: original rows
-    (``synthetic`` false) then synthetic rows with ``base_id``, ``neighbour_id``, ``gap``.
+    spread evenly over the class's rows; with ``counts_per_base`` (columns
+    ``id_col, n_generate``, as in ADASYN) or ``neighbours`` only the smallest class
+    is raised.  Output: original rows (``synthetic`` false) then synthetic rows with
+    ``base_id``, ``neighbour_id``, ``gap``.  A class to raise needs more than k rows.
     """
     counts = _class_counts(df, label)
+    out = df.select(id_col, label, features).withColumns({
+        "synthetic": F.lit(False), "base_id": F.lit(None).cast("bigint"),
+        "neighbour_id": F.lit(None).cast("bigint"), "gap": F.lit(None).cast("double")})
     if len(counts) < 2:
-        return df.withColumn("synthetic", F.lit(False))
-    minority = min(counts, key=lambda c: (counts[c], c))
-    n_min, n_max = counts[minority], max(counts.values())
-    m = df.where(F.col(label) == minority).select(id_col, features)
-    nn = neighbours if neighbours is not None else knn(m, m, k, id_col, features)
+        return out
+    single = counts_per_base is not None or neighbours is not None
+    for cls, n_new in class_targets(counts, "minority" if single else strategy).items():
+        if counts[cls] <= k:
+            raise ValueError(f"class {cls!r} has {counts[cls]} rows, {k} neighbours need at least {k + 1}")
+        m = df.where(F.col(label) == cls).select(id_col, features)
+        nn = neighbours if neighbours is not None else knn(m, m, k, id_col, features)
+        per_base = counts_per_base if counts_per_base is not None else spread_evenly(m, id_col, counts[cls], n_new)
+        out = out.unionByName(_synthetic(df, m, nn, per_base, cls, n_new, label, id_col, features, seed))
+    return out
+
+
+def _synthetic(df: DataFrame, m: DataFrame, nn: DataFrame, per_base: DataFrame, cls, n_new: int,
+               label: str, id_col: str, features: str, seed: str) -> DataFrame:
+    """The synthetic rows of one class."""
     n_nn = nn.groupBy("q_id").agg(F.max("rank").alias("_nk"))
-    if counts_per_base is None:
-        n_new = n_max - n_min
-        ranked = running_sums_rank(m, id_col)
-        per_base = ranked.select(
-            id_col, (F.lit(n_new // n_min) + F.when(F.col("_r") <= (n_new % n_min), 1).otherwise(0)).alias(
-                "n_generate"))
-    else:
-        per_base = counts_per_base.select(id_col, "n_generate")
     # The draws outnumber the base rows by the class ratio: spread the (small)
     # base table over enough tasks before exploding it, ~1M draws per task.
-    total_draws = (n_max - n_min) if counts_per_base is None else None
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if total_draws:
-        parts = max(parts, -(-total_draws // 1_000_000))
-    per_base = per_base.repartition(parts, id_col)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_new // 1_000_000))
+    per_base = per_base.select(id_col, "n_generate").repartition(parts, id_col)
     draws = per_base.where(F.col("n_generate") > 0).select(
         id_col, F.explode(F.sequence(F.lit(0), F.col("n_generate") - 1)).alias("draw"))
     draw_key = F.concat_ws("|", F.col(id_col).cast("string"), F.col("draw").cast("string"))
@@ -242,15 +272,30 @@ def smote(df: DataFrame, label: str, id_col: str, features: str, k: int = 5,
     nb_f = m.select(F.col(id_col).alias("nn_id"), F.col(features).alias("_y"))
     syn = picked.withColumnRenamed(id_col, "base_id").join(base_f, "base_id").join(nb_f, "nn_id")
     new_x = F.zip_with("_x", "_y", lambda a, b: a + F.col("gap") * (b - a))
-    synthetic = syn.select(
+    return syn.select(
         F.lit(None).cast(df.schema[id_col].dataType).alias(id_col),
-        F.lit(minority).cast(df.schema[label].dataType).alias(label),
+        F.lit(cls).cast(df.schema[label].dataType).alias(label),
         new_x.alias(features), F.lit(True).alias("synthetic"),
         "base_id", F.col("nn_id").alias("neighbour_id"), "gap")
-    orig = df.select(id_col, label, features).withColumns({
-        "synthetic": F.lit(False), "base_id": F.lit(None).cast("bigint"),
-        "neighbour_id": F.lit(None).cast("bigint"), "gap": F.lit(None).cast("double")})
-    return orig.unionByName(synthetic)
+
+
+def borderline_smote(df: DataFrame, label: str, id_col: str, features: str, k: int = 5, m: int = 10,
+                     seed: str = "borderline") -> DataFrame:
+    """SMOTE whose bases are the minority rows in danger; without any, nothing is added."""
+    counts = _class_counts(df, label)
+    n_new = max(counts.values(), default=0) - min(counts.values(), default=0)
+    danger = borderline_danger(df, label, id_col, features, m).where("in_danger").select(id_col) \
+        if len(counts) > 1 else None
+    n_danger = danger.count() if danger is not None else 0
+    bases = spread_evenly(danger, id_col, n_danger, n_new) if n_danger else df.select(
+        id_col, F.lit(0).alias("n_generate")).limit(0)
+    return smote(df, label, id_col, features, k, seed, counts_per_base=bases)
+
+
+def adasyn(df: DataFrame, label: str, id_col: str, features: str, k: int = 5, seed: str = "adasyn") -> DataFrame:
+    """SMOTE with more draws where more of a row's neighbours are of other classes."""
+    counts = adasyn_counts(df, label, id_col, features, k) if len(_class_counts(df, label)) > 1 else None
+    return smote(df, label, id_col, features, k, seed, counts_per_base=counts)
 
 
 def running_sums_rank(df: DataFrame, id_col: str) -> DataFrame:

@@ -151,11 +151,69 @@ def sampling_info(spark, sf_dir):
     return S.sampling_info(e, NB.smote(e, "Class", "vec_id", "features", k=5), "Class", "SMOTE")
 
 
-@query("smote_rows")
+def _long_features(rows):
+    """One row per row and dimension: ``dim``, ``value``."""
+    return rows.select("vec_id", "Class", "synthetic", "base_id", "neighbour_id", "gap",
+                       F.posexplode("features").alias("dim", "value"))
+
+
+def _resampled_sql(seed: str, bases: str) -> str:
+    """Originals and synthetic rows; ``bases`` is a CTE body of ``vec_id, n_generate``."""
+    return _NMAJ_SQL + f"""
+, c AS (SELECT count_if(Class = 1) AS n_min, count_if(Class = 0) - count_if(Class = 1) AS n_new FROM imbalanced),
+  own AS (SELECT a.vec_id AS q_id, b.vec_id AS nn_id, {_DIST_SQL} AS distance
+          FROM imbalanced a JOIN imbalanced b ON a.vec_id <> b.vec_id AND a.Class = 1 AND b.Class = 1),
+  nn AS (SELECT q_id, nn_id, row_number() OVER (PARTITION BY q_id ORDER BY distance, nn_id) AS rank
+         FROM own QUALIFY rank <= 5),
+  bases AS ({bases}),
+  draws AS (SELECT vec_id, unnest(range(n_generate)) AS draw FROM bases),
+  keyed AS (SELECT vec_id, concat_ws('|', CAST(vec_id AS VARCHAR), CAST(draw AS VARCHAR)) AS key FROM draws),
+  picked AS (SELECT vec_id, {U(seed + ':gap', 'key')} AS gap,
+                    CAST(floor({U(seed + ':nn', 'key')} * 5) AS BIGINT) + 1 AS rank FROM keyed),
+  synthetic AS (
+    SELECT a.vec_id AS base_id, b.vec_id AS neighbour_id, p.gap,
+           list_transform(list_zip(a.features, b.features), lambda x: x[1] + p.gap * (x[2] - x[1])) AS features
+    FROM picked p JOIN nn ON nn.q_id = p.vec_id AND nn.rank = p.rank
+    JOIN imbalanced a ON a.vec_id = p.vec_id JOIN imbalanced b ON b.vec_id = nn.nn_id),
+  rows AS (
+    SELECT vec_id, Class, false AS synthetic, NULL::BIGINT AS base_id, NULL::BIGINT AS neighbour_id,
+           NULL::DOUBLE AS gap, features FROM imbalanced
+    UNION ALL SELECT NULL, 1, true, base_id, neighbour_id, gap, features FROM synthetic)
+SELECT vec_id, Class, synthetic, base_id, neighbour_id, gap,
+       unnest(range(len(features)))::INTEGER AS dim, unnest(features) AS value FROM rows"""
+
+
+_EVEN_SQL = """SELECT vec_id, CAST(n_new // count(*) OVER ()
+         + CASE WHEN row_number() OVER (ORDER BY vec_id) <= n_new % count(*) OVER () THEN 1 ELSE 0 END AS BIGINT)
+         AS n_generate
+         FROM {rows}, c WHERE {cond}"""
+
+
+@query("smote_rows",
+       sql=_resampled_sql("smote", _EVEN_SQL.format(rows="imbalanced", cond="Class = 1")).format(dist=_DIST_SQL, m=5),
+       rounded="gap value")
 def smote_rows(spark, sf_dir):
-    """The oversampled table itself (originals + synthetic rows)."""
-    e = V.imbalanced(spark, sf_dir)
-    return NB.smote(e, "Class", "vec_id", "features", k=5).drop("features")
+    """The oversampled table itself (originals + synthetic rows), a row per dimension."""
+    return _long_features(NB.smote(V.imbalanced(spark, sf_dir), "Class", "vec_id", "features", k=5))
+
+
+@query("borderline_rows",
+       sql=_resampled_sql("borderline", _EVEN_SQL.format(rows="nm", cond="n_majority >= 5.0 AND n_majority < 10"))
+       .format(dist=_DIST_SQL, m=10),
+       rounded="gap value")
+def borderline_rows(spark, sf_dir):
+    """The table oversampled from the minority rows in danger, a row per dimension."""
+    return _long_features(NB.borderline_smote(V.imbalanced(spark, sf_dir), "Class", "vec_id", "features"))
+
+
+@query("adasyn_rows",
+       sql=_resampled_sql("adasyn", """SELECT vec_id, CAST(coalesce(round_even((n_majority / 5.0)
+         / NULLIF((SELECT sum(n_majority / 5.0) FROM nm), 0) * n_new, 0), 0.0) AS INTEGER) AS n_generate FROM nm, c""")
+       .format(dist=_DIST_SQL, m=5),
+       rounded="gap value")
+def adasyn_rows(spark, sf_dir):
+    """The table oversampled by ADASYN, a row per dimension."""
+    return _long_features(NB.adasyn(V.imbalanced(spark, sf_dir), "Class", "vec_id", "features"))
 
 
 # ---------------------------------------------------------------- scaling / PCA

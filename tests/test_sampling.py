@@ -131,3 +131,35 @@ def test_knn_running_topk_across_many_batches(spark):
         have = sorted(by_q[q])
         assert [h[1] for h in have] == want.tolist()
         assert [h[2] for h in have] == lab[want].tolist()
+
+
+def test_knn_slices_and_empty_sides_give_the_same_rows(spark):
+    import numpy as np
+
+    from calibra.operators.neighbors import knn
+
+    x = np.random.default_rng(3).normal(size=(120, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    want = sorted(map(tuple, knn(df, df, 3).collect()))
+    assert len(want) == 360
+    for bound in (100, 60):
+        assert sorted(map(tuple, knn(df, df, 3, max_shipped_values=bound).collect())) == want
+    assert knn(df.limit(0), df, 3).count() == 0
+    assert knn(df, df.limit(0), 3).count() == 0
+
+
+def test_smote_strategies_and_too_few_rows(spark):
+    import pytest
+
+    from calibra.operators.neighbors import class_targets, smote
+
+    counts = {"a": 3, "b": 7, "c": 10}
+    assert class_targets(counts) == {"a": 7, "b": 3} == class_targets(counts, "all")
+    assert class_targets(counts, "minority") == {"a": 7}
+    assert class_targets(counts, "not minority") == {"b": 3}
+    rows = [(i, "abc"[(i > 2) + (i > 9)], [float(i), float(i * i)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, y string, features array<double>")
+    out = smote(df, "y", "id", "features", k=2)
+    assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {"a": 10, "b": 10, "c": 10}
+    with pytest.raises(ValueError, match="neighbours"):
+        smote(df, "y", "id", "features", k=5)
