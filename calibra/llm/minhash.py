@@ -134,7 +134,7 @@ def profiles(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """``set_key, members`` (sorted uint64 as bytes) of the documents named in ``ids``."""
+    """``set_key, members`` (hashes as signed numbers) of the documents named in ``ids``."""
     if ids.count() * 16 <= BROADCAST_BYTES:
         ids = F.broadcast(ids)              # checked size; beyond it the join shuffles
 
@@ -143,32 +143,25 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             # a set takes several times its text: few at a time
             for lo in range(0, b.num_rows, 500):
                 sets = list(shingle_sets(b.slice(lo, 500).column("text"), n))
+                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                values = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([set_key(s) for s in sets], pa.binary()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "members"])
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["set_key", "members"])
 
     return docs.join(ids, "id", "left_semi").select("text").mapInArrow(
-        tidy(work), "set_key binary, members binary").groupBy("set_key").agg(F.first("members").alias("members"))
+        tidy(work), "set_key binary, members array<long>").groupBy("set_key").agg(F.first("members").alias("members"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set keys whose full sets reach the similarity:
-    100 * common >= percent * union."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                p, q = (np.frombuffer(s.as_buffer(), dtype=U) for s in (x, y))
-                both = np.sort(np.concatenate([p, q]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
+    100 * common >= percent * union.  The sets stay in the JVM, a pair at a time."""
     first = sets.select(F.col("set_key").alias("a"), F.col("members").alias("x"))
     second = sets.select(F.col("set_key").alias("b"), F.col("members").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y") \
-        .mapInArrow(tidy(work), "a binary, b binary")
+    common = F.size(F.array_intersect("x", "y")).cast("long")
+    sizes = (F.size("x") + F.size("y")).cast("long")
+    # union = sizes - common
+    return pairs.join(first, "a").join(second, "b").where((100 + percent) * common >= percent * sizes).select("a", "b")
 
 
 def first_pairs(members: DataFrame, percent: int) -> DataFrame:
