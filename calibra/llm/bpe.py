@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calibra.llm.text import map_batches
+
 #: entries of a worker's table of encoded cuts, and the longest cut that enters it
 MEMO_ENTRIES, MEMO_CHARS = 350_000, 64
 #: entries of a worker's table of compatible neighbours
@@ -252,7 +254,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
                     [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
                     names=[*part.schema.names, ids_col])
 
-    return docs.mapInArrow(work, schema)
+    return map_batches(docs, work, schema)
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -270,7 +272,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())],
                                                  names=[*part.schema.names, bytes_col])
 
-    return rows.mapInArrow(work, schema)
+    return map_batches(rows, work, schema)
 
 
 def id_text(ids_col: str = "ids") -> F.Column:

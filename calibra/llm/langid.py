@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.text import LOWER, U, chunks, mix, utf8
+from calibra.llm.text import LOWER, U, chunks, map_batches, mix, utf8
 
 GRAM = 4
 HASHES = 2
@@ -162,7 +162,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                     "lang": pa.array(names[(packed >> U(32)).astype(np.int64)].tolist(), pa.string()),
                     "gram": (packed & U(0xFFFFFFFF)).astype(np.int64), "n": n.astype(np.int64)})
 
-    counts = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long") \
+    counts = map_batches(sample.select("lang", "text"), count, "lang string, gram long, n long") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     per_lang = counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()
     least = F.create_map(*[F.lit(x) for r in per_lang for x in (r["lang"], max(2.0, min_share * r["n"]))]) \
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") ->
                 [*b.columns, pa.array(pred_all, pa.string()), pa.array(score_all, pa.float64())],
                 names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(predict, schema)
+    return map_batches(docs, predict, schema)
 
 
 def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from calibra.llm.components import components
 from calibra.llm.scratch import free_name, stored
-from calibra.llm.text import U, chunks, gram_hashes, mix, tidy, utf8, word_hashes
+from calibra.llm.text import U, chunks, gram_hashes, map_batches, mix, utf8, word_hashes
 
 #: up to here the ids of documents with shared buckets are broadcast
 BROADCAST_BYTES = 32 << 20
@@ -130,7 +130,7 @@ def profiles(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 names=["id", "n_shingles", "set_key", "bands"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(tidy(work), f"id {kind}, n_shingles long, set_key binary, bands array<long>")
+    return map_batches(docs, work, f"id {kind}, n_shingles long, set_key binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -149,8 +149,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                     [pa.array([set_key(s) for s in sets], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["set_key", "members"])
 
-    return docs.join(ids, "id", "left_semi").select("text").mapInArrow(
-        tidy(work), "set_key binary, members array<long>").groupBy("set_key").agg(F.first("members").alias("members"))
+    texts = docs.join(ids, "id", "left_semi").select("text")
+    return map_batches(texts, work, "set_key binary, members array<long>") \
+        .groupBy("set_key").agg(F.first("members").alias("members"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.llm.scratch import stored
-from calibra.llm.text import tidy
+from calibra.llm.text import map_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -160,8 +160,8 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     columns, names = [*columns, pa.array(rows["ids"], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(tidy(work), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-                             + (", ids binary" if with_ids else ""))
+    return map_batches(source, work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+                       + (", ids binary" if with_ids else ""))
 
 
 # --- the instance: a histogram of lengths ------------------------------------------

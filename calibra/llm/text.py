@@ -10,8 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
+#: bytes of a batch that Spark hands to a task's Python, and the setting that bounds them
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 U = np.uint64
 
 # white space of the word rule: space and 0x09-0x0D; only A-Z are lower-cased
@@ -32,15 +35,25 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)), offs
 
 
-def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``work``, with the memory that Arrow keeps for reuse given back after every batch:
-    Python workers live on from task to task beside the executor's heap."""
+def map_batches(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                schema) -> DataFrame:
+    """``frame.mapInArrow`` in bounded memory.
+
+    Spark's batches are cut at ``BATCH_BYTES`` as well as by row count, so very long texts do not
+    add up (the session's own setting wins where there is one; a longer text is a batch of its
+    own).  The memory that Arrow keeps for reuse is given back after every batch: Python workers
+    live on from task to task beside the executor's heap.
+    """
+    spark = frame.sparkSession
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in work(batches):
             yield b
             pa.default_memory_pool().release_unused()
 
-    return run
+    return frame.mapInArrow(run, schema)
 
 
 def chunks(offsets: np.ndarray, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from calibra.llm import bpe, chat, langid, ngram_lm, pii, rollup
+from calibra.llm.text import BATCH_BYTES, map_batches
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, score string, ids string, pii string"
@@ -254,3 +256,16 @@ def test_pii_without_anything_to_learn(spark):
     judge = pii.train(docs_of(spark, ["no numbers here", None]))
     assert pii.find(docs_of(spark, []), judge).count() == 0
     assert pii.find(docs_of(spark, ["a@b.co"]), judge).first()["redacted"] == "[EMAIL]"
+
+
+def test_batches_are_bounded_by_bytes_and_keep_every_row(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    texts = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("0123456789"), 10_000).alias("text"))
+    found = map_batches(texts, sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 300
+    assert len(found) > 1 and max(r["size"] for r in found) < 2 * BATCH_BYTES
+    longer = spark.range(1).select(F.repeat(F.lit("0123456789"), BATCH_BYTES // 5).alias("text"))
+    assert [r["n"] for r in map_batches(longer, sizes, "n long, size long").collect()] == [1]
