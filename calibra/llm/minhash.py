@@ -14,12 +14,15 @@
    to each copy than the copies are to each other, is such a member, and it is
    the same one in most buckets, so few distinct pairs arise.
 4. Pairs whose set sizes allow the threshold are confirmed on the full sets.
-5. Buckets whose members do not yet form one component get ``HUBS`` further stars,
-   drawn by a hash per bucket, between different components only.  So the work is
-   linear in the members of shared buckets; no bucket size or partner count is
-   capped.  A link that neither round tries in one bucket (neither end a hub
-   there) has the other buckets that its two ends share; with 8 rows a band,
-   buckets hold few members that are not near copies.
+5. Buckets whose members do not yet form one component get further stars, between
+   different components only: around every member of a bucket of at most ``HUBS``
+   (which settles it), else around ``HUBS`` members drawn by a hash per bucket.
+6. The members of larger buckets that still hold several components are compared
+   exactly: two sets that reach the threshold share a shingle among the rarest
+   ``size - ceil(threshold * size) + 1`` of each (prefix filter), so pairs of
+   different components that share such a shingle, and that sizes and places in
+   the order do not rule out, are confirmed.  No bucket size or partner count is
+   capped: every link within a bucket is found, or its ends are joined already.
 
 Two documents with similarity ``s`` share no bucket with probability
 ``(1 - s**rows)**bands``: 4e-5 at 0.85 with 32 bands of 8 rows, 1e-4 at 0.8 with
@@ -50,6 +53,10 @@ from calibra.llm.text import U, chunks, gram_hashes, map_batches, mix, utf8, wor
 BROADCAST_BYTES = 32 << 20
 #: stars per bucket in the second round
 HUBS = 8
+#: counters (by the shingle's hash) that say which shingles are rare
+SLOTS = 1 << 20
+#: holders of one rare shingle that one task compares with the others
+CELL = 1024
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -174,10 +181,11 @@ def first_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def later_pairs(members: DataFrame, percent: int, hubs: int) -> DataFrame:
-    """Stars around up to ``hubs`` members of each bucket, drawn by a hash: each with the
-    members of other components (``root`` names components)."""
+    """Stars around all members of buckets of at most ``hubs`` (``n`` is the bucket's size), around up
+    to ``hubs`` drawn by a hash of others: each with the members of other components (``root``)."""
     draw = F.xxhash64("set_key", "bucket")
-    centres = members.groupBy("bucket", F.pmod(draw, F.lit(hubs)).alias("slot")).agg(
+    slot = F.when(F.col("n") <= hubs, F.col("set_key")).otherwise(F.pmod(draw, F.lit(hubs)).cast("string").cast("binary"))
+    centres = members.groupBy("bucket", slot.alias("slot")).agg(
         F.min(F.struct(draw.alias("h"), F.col("set_key"), F.col("size"), F.col("root"))).alias("hub"))
     return _fit(members.join(centres, "bucket").where("root <> hub.root"), percent)
 
@@ -189,18 +197,98 @@ def _fit(paired: DataFrame, percent: int) -> DataFrame:
         F.least("set_key", "hub.set_key").alias("a"), F.greatest("set_key", "hub.set_key").alias("b")).distinct()
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many members of the sets fall on each of ``SLOTS`` counters."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, dtype=np.int64)
+        for b in batches:
+            n += np.bincount(_slots(b.column("members").flatten().to_numpy()), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"slot": at.astype(np.int64), "n": n[at]})
+
+    found = map_batches(sets.select("members"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = found.toArrow()                 # at most SLOTS rows
+    out = np.zeros(SLOTS, dtype=np.int64)
+    out[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def _slots(members: np.ndarray) -> np.ndarray:
+    return (members.view(U) & U(SLOTS - 1)).astype(np.int64)
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """``set_key, root, size, place, shingle``: the rarest shingles of each set, as many as a set of
+    that similarity cannot avoid.  The order (by counter, then hash) is the same for all sets."""
+    shared = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))       # SLOTS numbers
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for b in batches:
+            sizes = np.asarray(b.column("members").value_lengths()).astype(np.int64)
+            kept = sizes + (-sizes * percent) // 100 + 1
+            values = b.column("members").flatten().to_numpy()
+            rare = []
+            for members, k in zip(np.split(values, np.cumsum(sizes)[:-1]), kept.tolist(), strict=True):
+                rare.append(members[np.lexsort((members, often[_slots(members)]))[:k]])
+            row = pa.array(np.repeat(np.arange(len(sizes)), kept))
+            place = np.concatenate([np.arange(k) for k in kept]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("set_key").take(row), b.column("root").take(row), pa.array(sizes).take(row),
+                 pa.array(place), pa.array(np.concatenate(rare))], names=["set_key", "root", "size", "place", "shingle"])
+
+    return map_batches(sets.select("set_key", "root", "members"), work,
+                       "set_key binary, root binary, size long, place long, shingle long")
+
+
+def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair of ``set_key, root, members`` rows of different components that may reach the similarity.
+
+    A shingle's holders are compared with those outside its largest component, so holders that
+    are joined already cost nothing; holders of a frequent shingle are cut into cells.
+    """
+    rare = stored(rare_shingles(sets, percent), "rare")
+    holders = rare.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(
+        F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")) \
+        .where("roots > 1").select("shingle", F.col("top.root").alias("top"),
+                                   F.ceil(F.col("n") / F.lit(CELL)).cast("int").alias("cells"))
+    held = stored(rare.join(holders, "shingle"), "holders")
+    left = held.withColumn("cell", F.pmod(F.xxhash64("set_key"), F.col("cells")).cast("int")).alias("x")
+    right = held.where("root <> top").drop("top") \
+        .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("y")
+    # the first common shingle in the order leaves this many that can be common
+    most = F.least(F.expr("x.size - x.place"), F.expr("y.size - y.place"))
+    both = left.join(right, ["shingle", "cell"]).where("x.root <> y.root AND (x.root = x.top OR x.set_key < y.set_key)")
+    return both.where((100 + percent) * most >= percent * F.expr("x.size + y.size")).select(
+        F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b")).distinct()
+
+
 def class_roots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``set_key, root`` of the members' classes: two rounds of stars."""
+    """``set_key, root`` of the members' classes: two rounds of stars, then what these leave open."""
     alone = members.select("set_key", F.col("set_key").alias("root")).distinct()
     found = stored(confirm(first_pairs(members, percent), sets, percent), "links")
     roots = stored(_merge(alone, found), "roots")
     labelled = members.join(roots, "set_key")
-    several = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
-        .where("lo <> hi").select("bucket")
-    found = stored(confirm(later_pairs(labelled.join(several, "bucket"), percent, HUBS), sets, percent), "links")
+    found = stored(confirm(later_pairs(labelled.join(_several(labelled), "bucket"), percent, HUBS), sets, percent), "links")
+    roots = stored(_merge(roots, found), "roots")
+    labelled = members.join(roots, "set_key")
+    # smaller buckets have been compared in full
+    left = _several(labelled).where(F.col("n") > HUBS)
+    left = stored(labelled.join(left, "bucket").select("set_key", "root").distinct(), "left")
+    if left.isEmpty():
+        return roots
+    found = stored(confirm(rare_pairs(left.join(sets, "set_key"), percent), sets, percent), "links")
     return _merge(roots, found)
 
 
+def _several(labelled: DataFrame) -> DataFrame:
+    """``bucket, n`` (members) of the buckets that hold several components."""
+    return labelled.groupBy("bucket").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")) \
+        .where("lo <> hi").select("bucket", "n")
+
+
 def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
     """Unite the components that new links join; only their roots are contracted again."""
     of_a = roots.select(F.col("set_key").alias("a"), F.col("root").alias("ra"))

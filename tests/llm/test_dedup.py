@@ -98,6 +98,26 @@ def test_near_duplicates_equal_brute_force(spark, n, percent):
     assert {r["doc_id"] for r in drop_near_copies(docs, shingle=n, percent=percent).collect()} == set(want.values())
 
 
+def test_near_duplicates_of_a_large_family_equal_brute_force(spark):
+    # members of one template, every fifth word in one of two forms: about 0.63 to each other, and twins
+    # of about 0.86; every shingle has many holders, and buckets have hundreds of members
+    rng = random.Random(11)
+    words = [["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)] for _ in range(2)]
+    texts = []
+    for _ in range(300):
+        form = [int(rng.random() < 0.25) for _ in range(80)]
+        twin = list(form)
+        for i in rng.sample(range(80), 10):
+            twin[i] = 1 - twin[i]
+        texts += [" ".join(words[f[i // 5] if i % 5 == 2 else 0][i] for i in range(400)) for f in (form, twin)]
+    docs = spark.createDataFrame([(i, t, None, 0) for i, t in enumerate(texts)], DOCS).repartition(5)
+    sets = [shingles(t, 3) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i)
+             if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    got = near_duplicates(docs, shingle=3, percent=85, bands=16, rows=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == roots(range(len(sets)), links)
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f", None, 0), (1, "a b c d e f", None, 0), (2, "a b c d e f", None, 0), (2, "x y z", None, 0)]
     got = near_duplicates(spark.createDataFrame(rows, DOCS), shingle=3, percent=85).collect()
