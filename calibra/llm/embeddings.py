@@ -1,27 +1,27 @@
-"""Embedding near-dedup (operator 6): sorted projection passes.
+"""Embedding near-dedup (operator 6): projection passes.
 
 Each pass draws its own random hyperplanes; a vector's key is the concatenation
-of its sign bits.  The vectors are ordered lexicographically by that key (ties
-by the vector's class), and every vector is compared with the neighbours in a
-bounded window: the order is cut into blocks of ``window`` places, and a block's
-vectors are compared with each other and with those of the next block, so every
-vector meets at least the ``window`` next ones.  Pairs are verified by cosine in
-double precision; the verified links of all passes are united.
+of its first ``bits`` sign bits.  All vectors of one key are compared with each
+other, however many they are: a group of more than ``BLOCK`` is cut into blocks by
+a hash, and every pair of blocks is a task of its own.  Pairs are verified by
+cosine in double precision; the verified links of all passes are united.
 
 Exact copies are taken out first: one class per distinct vector with its number
 of copies, so a vector that a third of all rows share costs one comparison and
 its links are still counted in full.
 
-A pair compared in several passes counts once: every class carries its place in
+A pair compared in several passes counts once: every class carries its keys of
 all passes, so a later pass can see that an earlier one has compared the pair.
 Only counts and star-shaped union edges (at most one per vector and block) leave
 a task, never the pairs.
 
 Number of passes.  Two vectors at cosine ``c`` agree in one sign bit with
-``p = 1 - acos(c)/pi``.  To stand in the same window of ``n`` vectors they should
-agree in ``log2(n / window)`` bits, so a pass finds them with about
-``p ** bits`` and ``passes_for`` takes as many passes as the wanted recall needs.
-The number grows slowly with n and depends on nothing else.
+``p = 1 - acos(c)/pi``, so a pass finds them with ``p ** bits`` wherever they lie,
+and ``passes_for`` takes as many passes as the wanted recall needs.  At most
+``log2(n / window)`` bits are used; how many is chosen by the measured sizes of
+the groups, as the least number of pairs over all passes: where the data is so
+dense that more bits hardly divide it, few bits and passes (at 0 bits one pass
+that compares all) cost less than many passes over groups that stay large.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components link with nothing; vectors of different lengths never link; rows with
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.llm.components import components
@@ -44,6 +44,8 @@ from calibra.llm.scratch import stored
 
 BITS = 62
 WINDOW = 1024
+#: about the most vectors on each side of a task
+BLOCK = 4096
 RECALL = 0.9999
 
 
@@ -90,46 +92,48 @@ def project(classes: DataFrame, passes: int) -> DataFrame:
     return classes.select("node", "vec").mapInArrow(work, "node long, pass int, key long")
 
 
-def places(keys: DataFrame, passes: int, n: int, window: int) -> DataFrame:
-    """``node, blocks``: the block of every class in every pass, by its exact place in the order.
-
-    Key ranges of about 16 blocks are cut at approximate quantiles; a place is
-    the number in its range plus the sizes of the ranges before (a table of
-    ranges, joined, not collected).
-    """
-    ranges = max(1, n // (16 * window))
-    if ranges > 1:
-        cuts = keys.groupBy("pass").agg(F.percentile_approx(
-            "key", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts"))
-        keys = keys.join(F.broadcast(cuts), "pass").select(       # passes x ranges numbers
-            "node", "pass", "key", F.size(F.filter("cuts", lambda c: c < F.col("key"))).alias("range"))
-    else:
-        keys = keys.withColumn("range", F.lit(0))
-    keys = stored(keys, "keys")
-    sizes = keys.groupBy("pass", "range").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.select("pass", "range", F.coalesce(F.sum("size").over(
-        Window.partitionBy("pass").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("pass", "range").orderBy("key", "node"))
-    block = ((within - 1 + F.col("before")) / F.lit(window)).cast("long")
-    # one number per pass; sorted by the pass
-    return keys.join(before, ["pass", "range"]).select("node", "pass", block.alias("block")) \
-        .groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pass", "block"))).alias("b")) \
-        .select("node", F.col("b.block").alias("blocks"))
+def bits_for(keys: DataFrame, n: int, window: int, cosine: float, recall: float) -> int:
+    """The number of bits that leaves the fewest pairs to compare, by the groups of the first pass."""
+    most = max(0, min(BITS, int(math.log2(max(1, n) / window))))
+    groups = keys.where("pass = 0").groupBy(F.shiftright("key", BITS - most).alias("key")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    at = F.expr(f"shiftright(key, {most} - bits)")
+    squares = groups.groupBy("bits", at.alias("key")).agg(F.sum("n").cast("double").alias("n")) \
+        .groupBy("bits").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).collect()      # at most BITS rows
+    # besides its pairs, a pass projects and deals out every vector
+    cost = {r["bits"]: (r["pairs"] + n * window) * passes_for(window << r["bits"], window, cosine, recall) for r in squares}
+    return min(cost, key=lambda b: (cost[b], b), default=0)
+
+
+def tasks(keys: DataFrame, bits: int) -> DataFrame:
+    """``node, groups, pass, at, a, b, side``: the pairs of blocks (a, b) that every class takes part in, in
+    the group ``at`` of each pass; ``groups`` are the class's groups of all passes."""
+    keys = keys.select("node", "pass", F.shiftright("key", BITS - bits).alias("at"))
+    groups = keys.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pass", "at"))).alias("g")) \
+        .select("node", F.col("g.at").alias("groups"))
+    large = keys.groupBy("pass", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK) \
+        .select("pass", "at", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("k"))
+    k = F.coalesce("k", F.lit(1))
+    own = F.pmod(F.xxhash64("node", "pass"), k).cast("int")
+    dealt = keys.join(large, ["pass", "at"], "left").select("node", "pass", "at", own.alias("own"), k.alias("k")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return dealt.select("node", "pass", "at", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+                        (F.col("own") > F.col("other")).alias("second")).join(groups, "node")
 
 
 def compare(placed: DataFrame, cosine: float) -> DataFrame:
     """``node, other, links``: links newly found for ``node``, and a union edge node - other.
 
-    Groups are (pass, block); each holds its own vectors and those of the next
-    block, at most 2 * window rows.
+    Tasks are (pass, group, block, block): a block within itself, or two blocks
+    (``second`` marks the other one's vectors), about 2 * BLOCK rows at most.
     """
 
     def one(table: pa.Table) -> pa.Table:
-        p, at = table.column("pass")[0].as_py(), table.column("at")[0].as_py()
+        p, within = table.column("pass")[0].as_py(), table.column("a")[0].as_py() == table.column("b")[0].as_py()
         nodes = table.column("node").to_numpy()
         copies = table.column("copies").to_numpy()
-        blocks = np.stack([x.values.to_numpy() for c in table.column("blocks").chunks for x in c])
+        groups = np.stack([x.values.to_numpy() for c in table.column("groups").chunks for x in c])
+        second = table.column("second").to_numpy()
         lengths = np.concatenate([np.asarray(c.value_lengths()) for c in table.column("vec").chunks])
         out = {"node": [], "other": [], "links": []}
         for dims in np.unique(lengths):
@@ -139,18 +143,18 @@ def compare(placed: DataFrame, cosine: float) -> DataFrame:
             # scaled by the largest component first: lengths neither overflow nor vanish
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            own = blocks[which, p] == at
-            left, right = np.flatnonzero(own), np.arange(len(which))
+            left = np.flatnonzero(~second[which])
+            right = left if within else np.flatnonzero(second[which])
             for lo in range(0, len(left), 256):
                 rows = left[lo:lo + 256]
                 i, j = np.nonzero(x[rows] @ x[right].T >= cosine)
-                i = rows[i]
-                # inside the block a pair appears twice, and each row meets itself
-                keep = ~own[j] | (j > i)
-                i, j = i[keep], j[keep]
+                i, j = rows[i], right[j]
+                if within:      # a pair appears twice, and each row meets itself
+                    keep = j > i
+                    i, j = i[keep], j[keep]
                 seen = np.zeros(len(i), dtype=bool)
                 for earlier in range(p):
-                    seen |= np.abs(blocks[which[i], earlier] - blocks[which[j], earlier]) <= 1
+                    seen |= groups[which[i], earlier] == groups[which[j], earlier]
                 i, j = i[~seen], j[~seen]
                 if not len(i):
                     continue
@@ -170,7 +174,7 @@ def compare(placed: DataFrame, cosine: float) -> DataFrame:
         cat = {k: (np.concatenate(v) if v else np.empty(0, dtype=np.int64)).astype(np.int64) for k, v in out.items()}
         return pa.table(cat)
 
-    return placed.groupBy("pass", "at").applyInArrow(one, "node long, other long, links long")
+    return placed.groupBy("pass", "at", "a", "b").applyInArrow(one, "node long, other long, links long")
 
 
 def _more_edges(i, j, partner, names, out) -> None:
@@ -220,13 +224,11 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
         F.first("vec").alias("vec"), F.min("row_id").alias("id"), F.count(F.lit(1)).alias("copies"))
         .withColumn("node", F.monotonically_increasing_id()), "classes")
     n = classes.count()
-    passes = passes_for(n, window, cosine, recall)
-    blocks = places(project(classes, passes), passes, n, window)
-    body = stored(classes.select("node", "vec", "copies").join(blocks, "node"), "placed")
-    # a vector goes to its own block and, as a neighbour, to the block before
-    block = F.posexplode("blocks").alias("pass", "block")
-    placed = body.select("*", block).withColumn("at", F.explode(F.array("block", F.col("block") - 1))) \
-        .where("at >= 0").select("node", "vec", "copies", "blocks", "pass", "at")
+    # bits are chosen by one pass; fewer bits need no more passes than that many
+    bits = bits_for(project(classes, 1), n, window, cosine, recall)
+    passes = passes_for(window << bits, window, cosine, recall)
+    dealt = tasks(stored(project(classes, passes), "keys"), bits)
+    placed = dealt.join(classes.select("node", "vec", "copies"), "node")
     found = stored(compare(placed, cosine), "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found, "node", "other")

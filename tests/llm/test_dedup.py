@@ -165,6 +165,23 @@ def test_near_vectors_equal_brute_force(spark):
         assert all(r["n_links"] == sum(i in x for x in links) for i, r in got.items())
 
 
+def test_near_vectors_in_dense_regions_equal_brute_force(spark, monkeypatch):
+    # almost equal vectors (all sign bits tie) and a region of cosine about 0.93, both larger than the windows
+    monkeypatch.setattr("calibra.llm.embeddings.BLOCK", 100)
+    rng = np.random.default_rng(8)
+    jitter = rng.standard_normal(16) + 1e-6 * rng.standard_normal((300, 16))
+    region = rng.standard_normal(16) + 0.27 * rng.standard_normal((300, 16))
+    x = np.concatenate([jitter, region, rng.standard_normal((900, 16))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = roots(range(len(x)), np.argwhere(near).tolist())
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, links int")
+    got = {r["vec_id"]: r for r in near_vectors(df, window=32, recall=1 - 1e-9).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(axis=1).tolist()
+    assert {i: r["component_id"] for i, r in got.items()} == want
+
+
 def test_passes_grow_slowly():
     assert passes_for(500, 1024, 0.95, 0.9999) == 1
     assert passes_for(51_282, 1024, 0.95, 0.9999) < passes_for(10**9, 1024, 0.95, 0.9999) < 100
