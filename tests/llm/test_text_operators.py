@@ -269,3 +269,14 @@ def test_batches_are_bounded_by_bytes_and_keep_every_row(spark):
     assert len(found) > 1 and max(r["size"] for r in found) < 2 * BATCH_BYTES
     longer = spark.range(1).select(F.repeat(F.lit("0123456789"), BATCH_BYTES // 5).alias("text"))
     assert [r["n"] for r in map_batches(longer, sizes, "n long, size long").collect()] == [1]
+
+
+def test_pii_proposes_every_number_of_a_list():
+    numbers = [f"555-123-{4567 + i}" for i in range(40)]
+    text = ", ".join(numbers)
+    assert set(numbers) <= {text[s:e] for k, s, e in pii.candidates(text) if k == "phone"}
+    text = "5551234567,5551234568/4111111111111111.4012888888881881"
+    found = {(k, text[s:e]) for k, s, e in pii.candidates(text)}
+    assert {("phone", "5551234567"), ("phone", "5551234568"), ("card", "4111111111111111"), ("card", "4012888888881881")} <= found
+    text = "call (555) 123-4567, (555) 123-4568"
+    assert {"(555) 123-4567", "(555) 123-4568"} <= {text[s:e] for _, s, e in pii.candidates(text)}
