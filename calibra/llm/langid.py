@@ -15,7 +15,7 @@ scripts) stay.  So the n-grams see words, their ends and their accents.
 
 Defined results: a null text or one without any letter gives ``und`` and score
 0; so does every text when nothing could be learned.  Ties go to the language
-that sorts first.  Texts of any length are read whole, in chunks of bounded
+that sorts first; a text too short for an n-gram (one letter) is such a tie, with score 0.  Texts of any length are read whole, in chunks of bounded
 bytes.  Rows with a null language or text train nothing.
 """
 
@@ -115,7 +115,7 @@ class LanguageFilter:
         return out
 
     def decide(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(language index, or -1 where there is no n-gram; score 0 to 1) per text."""
+        """(language index; score 0 to 1) per text; without an n-gram all languages tie at 0."""
         n = len(offsets) - 1
         gram, owner = grams(data, offsets)
         count = np.bincount(owner, minlength=n).astype(float)
@@ -123,7 +123,7 @@ class LanguageFilter:
         corrected = np.clip((self.hits(gram, owner, n) - count[:, None] * f) / (1 - np.minimum(f, 0.999)), 0, None)
         best = corrected.argmax(axis=1)
         share = corrected[np.arange(n), best] / np.maximum(count, 1)
-        return np.where(count > 0, best, -1), np.clip(share, 0, 1)
+        return best, np.clip(share, 0, 1)
 
 
 def has_letter(text: bytes) -> bool:

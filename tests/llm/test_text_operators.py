@@ -280,3 +280,10 @@ def test_pii_proposes_every_number_of_a_list():
     assert {("phone", "5551234567"), ("phone", "5551234568"), ("card", "4111111111111111"), ("card", "4012888888881881")} <= found
     text = "call (555) 123-4567, (555) 123-4568"
     assert {"(555) 123-4567", "(555) 123-4568"} <= {text[s:e] for _, s, e in pii.candidates(text)}
+
+
+def test_language_of_texts_shorter_than_an_ngram(spark):
+    model = langid.LanguageFilter.build({"en": np.array([1], dtype=np.uint32), "es": np.array([2], dtype=np.uint32)})
+    docs = spark.createDataFrame([(1, "I"), (2, "a 1."), (3, "7"), (4, None)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect()}
+    assert got == {1: ("en", 0.0), 2: ("en", 0.0), 3: ("und", 0.0), 4: ("und", 0.0)}
