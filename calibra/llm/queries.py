@@ -13,6 +13,7 @@ from calibra.llm.embeddings import near_vectors
 from calibra.llm.exact_dedup import exact_dedup
 from calibra.llm.minhash import near_duplicates
 from calibra.llm.packing import pack_documents
+from calibra.llm.repair import repair_conversations
 from calibra.llm.scratch import new_path, stored
 from calibra.sources.tables import table
 
@@ -168,3 +169,90 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and those that the boosted trees add."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find(docs, pii.train(docs)).select("doc_id", *pii.digest_columns())
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows with ``here``; crc32 of ``conv_id:turn`` modulo 20 says which are dropped (not here),
+    emptied, cut off, repeated or given the user's role.  Nulls become one space."""
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fate = F.pmod(F.crc32(name.cast("binary")), F.lit(20))
+    return rows.select(
+        "conv_id", "turn", F.when(fate == 4, "user").otherwise(role).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        (fate != 0).alias("here"),
+        F.explode(F.when(fate == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+
+
+@query(r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(str_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':'
+                                                  || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+             lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS fate
+  FROM conversations, crc),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM named, LATERAL (SELECT unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM numbered),
+ends AS (SELECT conv_id, max(i) AS n FROM placed GROUP BY conv_id),
+insertion(x, y, cost, letters, body) AS (VALUES
+  ('0', '0', 0, '', ''), ('s', 's', 0, '', ''), ('u', 'u', 0, '', ''), ('a', 'a', 0, '', ''),
+  ('0', 'u', 3, 'I', chr(10) || 'user:'), ('s', 'u', 3, 'I', chr(10) || 'user:'), ('a', 'u', 3, 'I', chr(10) || 'user:'),
+  ('u', 'a', 3, 'I', chr(10) || 'assistant:'),
+  ('0', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('s', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+legal(x, c, y) AS (VALUES ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')),
+edit AS (
+  SELECT p.conv_id, p.i, l.x, l.y, CASE WHEN cut THEN 3 ELSE 0 END AS cost, 'K' AS letters,
+         chr(10) || role || ':' || text AS body
+  FROM placed p JOIN legal l ON l.c = role[1] WHERE NOT blank AND NOT again
+  UNION ALL
+  SELECT p.conv_id, p.i, l.x, l.y, CASE WHEN cut THEN 6 ELSE 3 END, 'R',
+         chr(10) || CASE l.c WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text
+  FROM placed p JOIN legal l ON l.c <> 's' WHERE NOT blank AND NOT again
+  UNION ALL
+  SELECT p.conv_id, p.i, d.x, d.x, 4, 'D', '' FROM placed p, (VALUES ('0'), ('s'), ('u'), ('a')) d(x)),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '0' AS place, 0 AS cost, '' AS audit, '' AS body FROM ends
+  UNION ALL
+  SELECT conv_id, i, place, cost, audit, body FROM (
+    SELECT w.conv_id, w.i + 1 AS i, e.y AS place, w.cost + n.cost + e.cost AS cost,
+           w.audit || n.letters || e.letters AS audit, w.body || n.body || e.body AS body
+    FROM walk w JOIN insertion n ON n.x = w.place
+    JOIN edit e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.x = n.y
+    QUALIFY row_number() OVER (PARTITION BY w.conv_id, e.y ORDER BY w.cost + n.cost + e.cost,
+                                            w.audit || n.letters || e.letters) = 1)),
+fixed AS (
+  SELECT w.conv_id, w.cost + n.cost AS cost, w.audit || n.letters AS audit, w.body || n.body AS body
+  FROM walk w JOIN ends d ON d.conv_id IS NOT DISTINCT FROM w.conv_id AND d.n = w.i
+  JOIN insertion n ON n.x = w.place AND n.y IN ('0', 'a')
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + n.cost, w.audit || n.letters) = 1),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+         count_if(again AND NOT blank) AS duplicate, count_if(cut AND NOT blank AND NOT again) AS truncated,
+         count_if(before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM placed GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(body[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN fixed f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+""")
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a rule and repaired at the least cost."""
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    return repair_conversations(rows, F.col("here")).drop("n_rows")
