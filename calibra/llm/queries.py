@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import bpe, langid, ngram_lm, pii, rollup
+from calibra.llm import alignment, bpe, langid, ngram_lm, pii, rollup
 from calibra.llm.chat import format_conversations
 from calibra.llm.embeddings import near_vectors
 from calibra.llm.exact_dedup import exact_dedup
@@ -171,6 +171,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs)).select("doc_id", *pii.digest_columns())
 
 
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of every document on which a byte-level BPE and a sentencepiece model agree, and
+    how well the linked ids fit the corpus' counts."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Rows with ``here``; crc32 of ``conv_id:turn`` modulo 20 says which are dropped (not here),
     emptied, cut off, repeated or given the user's role.  Nulls become one space."""
