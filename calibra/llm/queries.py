@@ -15,6 +15,7 @@ from calibra.llm.minhash import near_duplicates
 from calibra.llm.packing import pack_documents
 from calibra.llm.repair import repair_conversations
 from calibra.llm.scratch import new_path, stored
+from calibra.llm.url_tree import judge_urls
 from calibra.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,6 +172,75 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs)).select("doc_id", *pii.digest_columns())
 
 
+#: rules of the URL filter: verdict, host, beginning of the path
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
+             ("allow", "org", "/fr/")]
+
+
+def _url_sql(levels: int = 8) -> str:
+    """The tree's levels written out one by one; paths of the test tables have at most 3 segments."""
+    out = [r"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule FROM parts),
+named AS (
+  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS label
+  FROM ruled),
+active0 AS (
+  SELECT DISTINCT host, path, label, '' AS node, CASE path WHEN '' THEN [] ELSE str_split(path, '/')[2:] END AS segments
+  FROM named)"""]
+    for i in range(levels):
+        out.append(f"""
+going{i} AS (SELECT *, segments[{i + 1}] AS segment FROM active{i} WHERE len(segments) > {i}),
+child{i} AS (
+  SELECT host, node, segment, count(*) AS c, count(*) FILTER (label = 'block') AS b, count(*) FILTER (label = 'allow') AS a
+  FROM going{i} GROUP BY ALL),
+node{i} AS (SELECT host, node, sum(c) AS m FROM child{i} GROUP BY ALL HAVING sum(c) >= 4),
+literal{i} AS (
+  SELECT child{i}.*, lag(c) OVER w AS lc, lag(b) OVER w AS lb, lag(a) OVER w AS la
+  FROM child{i} JOIN node{i} USING (host, node) WHERE c >= 2 AND c * c >= m
+  WINDOW w AS (PARTITION BY host, node ORDER BY b / c, a / c, segment)),
+chi{i} AS (
+  SELECT *, lc IS NULL OR
+    CASE WHEN b + lb > 0 THEN (lc * b - c * lb) ** 2 / (c * lc * (b + lb)) ELSE 0 END
+    + CASE WHEN a + la > 0 THEN (lc * a - c * la) ** 2 / (c * lc * (a + la)) ELSE 0 END
+    + CASE WHEN c - a - b + lc - la - lb > 0
+           THEN (lc * (c - a - b) - c * (lc - la - lb)) ** 2 / (c * lc * (c - a - b + lc - la - lb)) ELSE 0 END > 5.991 AS apart
+  FROM literal{i}),
+part{i} AS (
+  SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY host, node ORDER BY b / c, a / c, segment) AS part FROM chi{i}),
+branch{i} AS (
+  SELECT host, node, segment, min(segment) OVER g || CASE WHEN count(*) OVER g > 1 THEN '?' ELSE '' END AS branch
+  FROM part{i} WINDOW g AS (PARTITION BY host, node, part)),
+ended{i} AS (
+  SELECT host, path, label, node AS template FROM active{i} WHERE len(segments) <= {i}
+  UNION ALL SELECT host, path, label, node || '/??' FROM going{i} ANTI JOIN node{i} USING (host, node)),
+active{i + 1} AS (
+  SELECT g.host, g.path, g.label, g.node || '/' || coalesce(branch, '?') AS node, segments
+  FROM going{i} g JOIN node{i} USING (host, node) LEFT JOIN branch{i} USING (host, node, segment))""")
+    tree = " UNION ALL ".join(f"SELECT * FROM ended{i}" for i in range(levels))
+    return ",".join(out) + f""",
+tree AS ({tree}),
+judged AS (
+  SELECT host, template, (count(*) FILTER (label = 'block') + 1) / (count(label) + 2) AS purity FROM tree GROUP BY ALL)
+SELECT page_id, host, path, rule, template, purity,
+       coalesce(n.label, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict
+FROM named n JOIN tree USING (host, path) JOIN judged USING (host, template)
+"""
+
+
+@query(_url_sql())
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL, by rule or by the templates of its host."""
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 @query()
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of every document on which a byte-level BPE and a sentencepiece model agree, and
