@@ -1,196 +1,38 @@
 """Exact k-nearest neighbours and minority oversampling.
 
-kNN is exact.  One side must be small enough to ship to every task (its row
-count is checked with a job before anything is collected); the other side
-stays partitioned and is scanned once:
-
-* small *query* side (the usual case: minority rows vs all rows): every
-  task of the reference side keeps, per query row, a running top-k over all
-  of its Arrow batches (numpy) and emits it once; a ``row_number() <= k`` over
-  the candidates picks the global top-k (with a partial group limit before the
-  shuffle), so a query row ships at most k candidates per task;
-* small *reference* side: every partition of the query side computes the
-  final top-k against the shipped reference directly;
-* both sides large: the query side is covered by hash slices that each fit
-  the bound, each slice takes the first path, and the slices are unioned.
-
-Neither path forms a cartesian product in the plan, and no candidate list is
-capped: ties at the k-th distance are broken by neighbour id exactly as the
-final window orders them.
+kNN is the pivot join of :mod:`calibra.operators.pivots`; the oversamplers draw
+their synthetic rows from its result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from calibra.functions.columns import u01
 from calibra.functions.frames import scalar
+from calibra.operators.pivots import BLOCK_ROWS, knn_join
 
-# Upper bound on (rows x dims) of the side shipped to every task.
-MAX_SHIPPED_VALUES = 10_000_000
-
-
-def _collect_side(df: DataFrame, id_col: str, features: str, carry: Sequence[str]):
-    rows = df.select(id_col, features, *carry).collect()
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows], dtype=np.float64)
-    extra = {c: np.array([r[2 + i] for r in rows]) for i, c in enumerate(carry)}
-    return ids, mat, extra
-
-
-def _topk_block(qmat: np.ndarray, qids: np.ndarray, rmat: np.ndarray, rids: np.ndarray,
-                k: int, exclude_self: bool):
-    """For every query row: the k nearest reference rows ordered by (distance, id).
-
-    Vectorised per chunk of query rows: distances for the whole chunk, the
-    k-th smallest distance per row (``np.partition``), every candidate at or
-    below it (ties kept), then one lexsort by (row, distance, id) and the first
-    k per row.
-    """
-    out_q, out_r, out_d, out_rank = [], [], [], []
-    if len(rids) == 0 or len(qids) == 0 or k <= 0:
-        return out_q, out_r, out_d, out_rank
-    dims = max(1, rmat.shape[1])
-    chunk = max(1, int(4_000_000 // (len(rids) * dims)))
-    for s in range(0, len(qids), chunk):
-        qm, qi = qmat[s:s + chunk], qids[s:s + chunk]
-        diff = qm[:, None, :] - rmat[None, :, :]
-        dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-        if exclude_self:
-            dist[qi[:, None] == rids[None, :]] = np.inf
-        kk = min(k, dist.shape[1])
-        kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
-        row, col = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
-        d = dist[row, col]
-        order = np.lexsort((rids[col], d, row))
-        row, col, d = row[order], col[order], d[order]
-        starts = np.searchsorted(row, np.arange(len(qi)))
-        rank = np.arange(len(row)) - starts[row] + 1
-        keep = rank <= k
-        out_q.append(qi[row[keep]])
-        out_r.append(rids[col[keep]])
-        out_d.append(d[keep])
-        out_rank.append(rank[keep])
-    cat = (lambda xs: np.concatenate(xs) if xs else np.array([]))
-    return cat(out_q), cat(out_r), cat(out_d), cat(out_rank)
+# Upper bound on (rows x dims) of a block that a task holds.
+MAX_SHIPPED_VALUES = 1_000_000
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "id", features: str = "features",
         exclude_self: bool = True, carry: Sequence[str] = (),
-        max_shipped_values: int = MAX_SHIPPED_VALUES) -> DataFrame:
+        max_shipped_values: int = MAX_SHIPPED_VALUES, report: dict | None = None) -> DataFrame:
     """``(q_id, nn_id, distance, rank, <carry>...)`` - the exact k nearest
     reference rows of every query row (Euclidean; ties by neighbour id).
 
-    ``carry`` are numeric reference columns copied onto each neighbour row
-    (e.g. its label).
+    ``carry`` are reference columns copied onto each neighbour row (e.g. its label).
+    ``max_shipped_values`` bounds rows x dims of the blocks that tasks hold; rows
+    without a vector are nobody's neighbours and have none.
     """
-    schema = T.StructType([
-        T.StructField("q_id", T.LongType()), T.StructField("nn_id", T.LongType()),
-        T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType()),
-        *[T.StructField(c, ref.schema[c].dataType) for c in carry]])
-    spark = query.sparkSession
-    one = query.select(features).first() if k > 0 else None
-    if one is None:
-        return spark.createDataFrame([], schema)
-    dims = max(1, len(one[0] or []))
-    nq = query.count()
-
-    def scan_reference(side: DataFrame) -> DataFrame:
-        """The answer for the query rows of ``side``, which fit the bound."""
-        qids, qmat, _ = _collect_side(side, id_col, features, ())
-        if not len(qids):
-            return spark.createDataFrame([], schema)
-        bq = spark.sparkContext.broadcast((qids, qmat))
-
-        def scan_ref(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            # A running top-k per query row across every batch of this task, so
-            # the task ships k candidates per query row, not k per batch.
-            q_ids, q_mat = bq.value
-            qpos = pd.Index(q_ids)
-            nq_, best_d, best_i, best_c = len(q_ids), None, None, {}
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                rids = pdf[id_col].to_numpy(dtype=np.int64)
-                rmat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features]])
-                oq, orr, od, ork = _topk_block(q_mat, q_ids, rmat, rids, k, exclude_self)
-                if best_d is None:
-                    best_d = np.full((nq_, k), np.inf)
-                    best_i = np.full((nq_, k), -1, dtype=np.int64)
-                    best_c = {c: np.zeros((nq_, k), dtype=pdf[c].to_numpy().dtype) for c in carry}
-                bd = np.full((nq_, k), np.inf)
-                bi = np.full((nq_, k), -1, dtype=np.int64)
-                if len(oq):
-                    rows = qpos.get_indexer(np.asarray(oq, dtype=np.int64))
-                    slots = np.asarray(ork, dtype=np.int64) - 1
-                    bd[rows, slots] = od
-                    bi[rows, slots] = orr
-                bc = {}
-                if carry:
-                    at = pd.Index(rids).get_indexer(bi.ravel()).reshape(bi.shape)
-                    for c in carry:
-                        vals = pdf[c].to_numpy()
-                        bc[c] = np.where(at >= 0, vals[np.maximum(at, 0)], best_c[c][:, :1])
-                cat_d = np.concatenate([best_d, bd], axis=1)
-                cat_i = np.concatenate([best_i, bi], axis=1)
-                # order by (distance, id); empty slots (inf) sort last
-                order = np.lexsort((np.where(cat_i < 0, np.iinfo(np.int64).max, cat_i), cat_d), axis=1)[:, :k]
-                best_d = np.take_along_axis(cat_d, order, axis=1)
-                best_i = np.take_along_axis(cat_i, order, axis=1)
-                for c in carry:
-                    best_c[c] = np.take_along_axis(np.concatenate([best_c[c], bc[c]], axis=1), order, axis=1)
-            if best_d is None:
-                return
-            filled = best_i >= 0
-            r, slot = np.nonzero(filled)
-            res = pd.DataFrame({"q_id": q_ids[r], "nn_id": best_i[r, slot], "distance": best_d[r, slot],
-                                "rank": (slot + 1).astype(np.int32)})
-            for c in carry:
-                res[c] = best_c[c][r, slot]
-            yield res
-
-        cand = ref.select(id_col, features, *carry).mapInPandas(scan_ref, schema)
-        w = Window.partitionBy("q_id").orderBy("distance", "nn_id")
-        return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    if nq * dims <= max_shipped_values:
-        return scan_reference(query)
-    nr = ref.count()
-    if nr * dims > max_shipped_values:
-        # Both sides are large: hash slices of the query side, about half the bound
-        # each; every slice is answered exactly against the whole reference side
-        # (one scan of it per slice) and the slices are unioned, so every query row
-        # gets its complete top-k.
-        n_slices = -(-2 * nq * dims // max_shipped_values)
-        part = F.pmod(F.xxhash64(F.lit("slice"), F.col(id_col)), F.lit(n_slices))
-        return reduce(DataFrame.unionByName, [scan_reference(query.where(part == i)) for i in range(n_slices)])
-    rids, rmat, rextra = _collect_side(ref, id_col, features, carry)
-    br = spark.sparkContext.broadcast((rids, rmat, rextra))
-
-    def scan_query(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r_ids, r_mat, r_extra = br.value
-        pos = pd.Series(np.arange(len(r_ids)), index=r_ids)
-        for pdf in it:
-            if pdf.empty:
-                continue
-            qids = pdf[id_col].to_numpy(dtype=np.int64)
-            qmat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features]])
-            oq, orr, od, ork = _topk_block(qmat, qids, r_mat, r_ids, k, exclude_self)
-            res = pd.DataFrame({"q_id": oq, "nn_id": orr, "distance": od, "rank": ork})
-            if carry:
-                at = pos.loc[res["nn_id"].to_numpy()].to_numpy() if len(res) else np.array([], dtype=int)
-                for c in carry:
-                    res[c] = np.asarray(r_extra[c])[at]
-            yield res
-
-    return query.select(id_col, features).mapInPandas(scan_query, schema)
+    one = ref.where(F.col(features).isNotNull()).select(F.size(features)).first()
+    dims = max(1, one[0] if one else 1)
+    rows = max(1, min(BLOCK_ROWS, max_shipped_values // dims))
+    return knn_join(query, ref, k, id_col, features, exclude_self, carry, rows, report)
 
 
 # ---------------------------------------------------------------- oversampling
