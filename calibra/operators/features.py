@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.functions.columns import missing
-from calibra.functions.prefix import cumulative_counts
+from calibra.functions.selection import order_statistics
 from calibra.operators.quality import _is_missing
 
 
@@ -28,7 +28,11 @@ def assert_no_missing(df: DataFrame, cols: Sequence[str] | None = None) -> None:
     """Raise ``ValueError`` when any column holds NULL/NaN (F1 fit rule: all columns)."""
     cols = list(cols or df.columns)
     row = df.agg(*[F.count_if(_is_missing(df, c)).alias(c) for c in cols]).first()
-    bad = [c for c in cols if row[c]]
+    raise_missing({c: row[c] for c in cols})
+
+
+def raise_missing(counts: dict) -> None:
+    bad = [c for c, n in counts.items() if n]
     if bad:
         raise ValueError(f"Input contains NaN values in columns: {bad}")
 
@@ -58,9 +62,11 @@ class PopulationStandardScaler(Estimator, _ScalerParams, DefaultParamsReadable,
         excl = set(self.getOrDefault("excludeCols"))
         cols = [c for c in (self.getOrDefault("inputCols") if self.isDefined("inputCols") else df.columns)
                 if c not in excl]
-        assert_no_missing(df)
-        row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+        # one pass: missing values of all columns, means and deviations of the scaled ones
+        row = df.agg(*[F.count_if(_is_missing(df, c)).alias(f"n_{c}") for c in df.columns],
+                     *[F.avg(c).alias(f"m_{c}") for c in cols],
                      *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+        raise_missing({c: row[f"n_{c}"] for c in df.columns})
         means = [float(row[f"m_{c}"]) for c in cols]
         stds = [float(row[f"s_{c}"]) if row[f"s_{c}"] else 1.0 for c in cols]
         m = PopulationStandardScalerModel()
@@ -76,84 +82,16 @@ class PopulationStandardScalerModel(Model, _ScalerParams, DefaultParamsReadable,
         return df.withColumns(repl)
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    buckets: int = 32, accuracy: int = 10000) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(feature, prob, value)``: exact linear-interpolated quantiles (R-7 rule).
 
-    Only the buckets that hold a wanted order statistic are ever sorted:
-
-    1. per-feature quantile sketches give bucket bounds (features x B numbers);
-    2. values are counted per (feature, bucket, value) - combined map-side, so a
-       hot value is one row per task - and the per-bucket totals (features x B
-       rows) tell which bucket holds rank ``floor((n-1)p)+1`` and ``ceil(..)+1``;
-    3. a window runs over those few buckets only and picks the two values.
-
-    The count table is persisted between steps 2 and 3 (it is a deterministic
-    aggregate, so a lost block is recomputed to the same rows).
+    The order statistics are found by narrowing intervals over the scan
+    (:func:`calibra.functions.selection.order_statistics`): no value is shuffled or
+    persisted, only counts of cells.  A feature without values has no row.
     """
-    from calibra.functions.prefix import _bucket
-
-    spark = df.sparkSession
-    cols = list(cols)
-    lv = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "feature", "value").where(~missing("value"))
-    b = max(1, int(buckets))
-    bounds = {}
-    if b > 1:
-        qs = [i / b for i in range(1, b)]
-        for r in lv.groupBy("feature").agg(F.percentile_approx("value", qs, accuracy).alias("q")).collect():
-            bounds[r["feature"]] = sorted(r["q"] or [])
-    bucket = F.lit(0)
-    for f, bd in bounds.items():
-        if bd:
-            bucket = F.when(F.col("feature") == f, _bucket("value", bd, len(bd))).otherwise(bucket)
-    counts = lv.withColumn("_bucket", bucket).groupBy("feature", "_bucket", "value").agg(
-        F.count(F.lit(1)).alias("c")).persist()
-    try:
-        per = {}
-        for r in counts.groupBy("feature", "_bucket").agg(F.sum("c").alias("n")).collect():
-            per.setdefault(r["feature"], {})[r["_bucket"]] = r["n"]
-        targets, need = [], set()
-        for f, sizes in per.items():
-            order = sorted(sizes)
-            n = sum(sizes.values())
-            starts, acc = {}, 0
-            for bk in order:
-                starts[bk] = acc
-                acc += sizes[bk]
-            for p in probs:
-                pos = (n - 1) * float(p)
-                for which, rank in (("lo", math.floor(pos) + 1), ("hi", math.ceil(pos) + 1)):
-                    bk = next(x for x in order if starts[x] < rank <= starts[x] + sizes[x])
-                    targets.append((f, float(p), pos, which, bk, rank - starts[bk]))
-                    need.add((f, bk))
-        if not targets:
-            return spark.createDataFrame([], "feature string, prob double, value double")
-        sel = None
-        for f, bk in sorted(need):
-            cond = (F.col("feature") == f) & (F.col("_bucket") == bk)
-            sel = cond if sel is None else sel | cond
-        w = Window.partitionBy("feature", "_bucket").orderBy("value").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        local = counts.where(sel).withColumn("_cum", F.sum("c").over(w))
-        hit = None
-        for f, _p, _pos, _which, bk, r in targets:
-            cond = ((F.col("feature") == f) & (F.col("_bucket") == bk)
-                    & (F.col("_cum") - F.col("c") < r) & (F.col("_cum") >= r))
-            hit = cond if hit is None else hit | cond
-        rows = local.where(hit).select("feature", "_bucket", "value", "c", "_cum").collect()  # <= 2 x probs x d
-        out = []
-        by_key = {}
-        for f, p, pos, which, bk, r in targets:
-            v = next(x["value"] for x in rows if x["feature"] == f and x["_bucket"] == bk
-                     and x["_cum"] - x["c"] < r <= x["_cum"])
-            by_key.setdefault((f, p, pos), {})[which] = v
-        for (f, p, pos), v in by_key.items():
-            frac = pos - math.floor(pos)
-            out.append((f, p, v["lo"] + (v["hi"] - v["lo"]) * frac))
-        return spark.createDataFrame(out, "feature string, prob double, value double")
-    finally:
-        counts.unpersist()
+    found, _ = order_statistics(df, {c: [float(p) for p in probs] for c in cols})
+    rows = [(c, p, lower + (upper - lower) * fraction) for c, by in found.items() for p, (lower, upper, fraction) in by.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, prob double, value double")
 
 
 class RobustScaler(Estimator, _ScalerParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -173,11 +111,12 @@ class RobustScaler(Estimator, _ScalerParams, DefaultParamsReadable, DefaultParam
     def _fit(self, df: DataFrame) -> PopulationStandardScalerModel:
         excl = self.getOrDefault("excludeCols")
         cols = [c for c in self.getOrDefault("inputCols") if c not in excl]
-        assert_no_missing(df.select(*cols))
-        q = {(r["feature"], r["prob"]): r["value"]
-             for r in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).collect()}  # 3 x d rows
-        med = [float(q[(c, 0.5)]) for c in cols]
-        iqr = [float(q[(c, 0.75)] - q[(c, 0.25)]) or 1.0 for c in cols]
+        # the pass that counts the values counts the missing ones too
+        found, missing_values = order_statistics(df, dict.fromkeys(cols, (0.25, 0.5, 0.75)))
+        raise_missing(missing_values)
+        q = {c: {p: lower + (upper - lower) * f for p, (lower, upper, f) in by.items()} for c, by in found.items()}
+        med = [float(q[c][0.5]) for c in cols]
+        iqr = [float(q[c][0.75] - q[c][0.25]) or 1.0 for c in cols]
         m = PopulationStandardScalerModel()
         m._set(inputCols=list(cols), centers=med, scales=iqr, excludeCols=list(excl))
         return m

@@ -1,23 +1,25 @@
 """Exact stratified splits, k-fold assignment and class rebalancing.
 
 Splits are exact and reproducible: every row gets a uniform number
-``u = md5(seed, key)``; inside each class rows are ranked by ``(u, key)`` with
-the distributed rank of :mod:`calibra.functions.prefix` (no task holds a whole
-class, even when one class is a third of the table); per-class quotas come
-from the class-count table (one row per class).  The same key always lands in
-the same split, whatever the partitioning or retry.
+``u = md5(seed, key)``, and inside each class the rows are ordered by ``(u, key)``.
+The quotas come from the class-count table (one row per class); the rows at which
+a quota ends are found by counting passes over the scan
+(:mod:`calibra.functions.selection`), and the split itself is a projection that
+compares each row with those cuts.  No row is shuffled.  The same key always lands
+in the same split, whatever the partitioning or retry; rows of one key stay together.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibra.functions.columns import u01
-from calibra.functions.prefix import running_sums
+from calibra.functions.columns import TWO_POW_32, u01
+from calibra.functions.selection import beyond, key_cuts
 
 
 def row_uniform(keys: Sequence[str], seed: str) -> Column:
@@ -25,12 +27,33 @@ def row_uniform(keys: Sequence[str], seed: str) -> Column:
     return u01(seed, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
 
 
-def class_rank(df: DataFrame, label: str, keys: Sequence[str], seed: str,
-               buckets: int | None = None) -> DataFrame:
-    """Adds ``_u`` and ``_rank`` (1-based rank of (u, key) inside the class)."""
-    d = df.withColumn("_u", row_uniform(keys, seed)).withColumn("_one", F.lit(1))
-    r = running_sums(d, [label], "_u", ["_one"], buckets=buckets, tiebreak=list(keys))
-    return r.withColumnRenamed("cum__one", "_rank").withColumnRenamed("tot__one", "_class_n").drop("_one")
+def row_u32(keys: Sequence[str], seed: str) -> Column:
+    """``row_uniform`` as the whole number it is made of (32 bits)."""
+    return (row_uniform(keys, seed) * TWO_POW_32).cast("long")
+
+
+def after_cuts(df: DataFrame, label: str, keys: Sequence[str], seed: str, ends: dict) -> Column:
+    """How many of its class's cuts a row lies beyond.
+
+    ``ends``: per class the ranks at which its parts end, ascending; a part that ends
+    at rank 0 is empty.  Rows of classes that are not listed lie beyond none.
+    """
+    u = row_u32(keys, seed)
+    known = {c: ranks for c, ranks in ends.items() if c is not None}
+    cuts = key_cuts(df, label, u, keys, {c: sorted({r for r in ranks if r > 0}) for c, ranks in known.items()})
+    out = F.lit(0)
+    for c, ranks in known.items():
+        passed = F.lit(0)
+        for r in ranks:
+            passed = passed + beyond(df, F.col("_u"), keys, cuts[c][r] if r > 0 else None).cast("int")
+        out = F.when(F.col(label) == F.lit(c), passed).otherwise(out)
+    return out
+
+
+def _with_part(df: DataFrame, label: str, keys: Sequence[str], seed: str, ends: dict, name: str, part) -> DataFrame:
+    """``df`` with ``name`` made of the number of cuts that a row lies beyond."""
+    passed = after_cuts(df, label, keys, seed, ends)
+    return df.withColumn("_u", row_u32(keys, seed)).withColumn(name, part(passed)).drop("_u")
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
@@ -49,19 +72,13 @@ def class_quotas(counts: dict, frac: float) -> dict:
     return fl
 
 
-def _quota_col(label: str, quotas: dict) -> Column:
-    m = F.create_map(*[x for c, q in sorted((c, q) for c, q in quotas.items() if c is not None)
-                       for x in (F.lit(c), F.lit(int(q)))])
-    return F.coalesce(F.element_at(m, F.col(label)), F.lit(0))
-
-
 def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_size: float = 0.2,
                      seed: str = "split42") -> DataFrame:
     """Adds ``split`` = 'test' for the first quota rows of every class, else 'train'."""
     q = class_quotas(class_counts(df, label), test_size)
-    r = class_rank(df, label, keys, seed)
-    return r.withColumn("split", F.when(F.col("_rank") <= _quota_col(label, q), "test").otherwise("train")).drop(
-        "_u", "_rank", "_class_n")
+    listed = F.col(label).isin([c for c in q if c is not None])
+    return _with_part(df, label, keys, seed, {c: [n] for c, n in q.items()}, "split",
+                      lambda passed: F.when(listed & (passed == 0), "test").otherwise("train"))
 
 
 def val_fraction(val_size: float, test_size: float) -> float:
@@ -75,22 +92,20 @@ def three_way_split(df: DataFrame, label: str, keys: Sequence[str], val_size: fl
     counts = class_counts(df, label)
     tq = class_quotas(counts, test_size)
     vq = class_quotas({c: n - tq[c] for c, n in counts.items()}, val_fraction(val_size, test_size))
-    r = class_rank(df, label, keys, seed)
-    t, v = _quota_col(label, tq), _quota_col(label, vq)
-    split = F.when(F.col("_rank") <= t, "test").when(F.col("_rank") <= t + v, "val").otherwise("train")
-    return r.withColumn("split", split).drop("_u", "_rank", "_class_n")
+    ends = {c: [tq[c], tq[c] + vq[c]] for c in counts}
+    listed = F.col(label).isin([c for c in counts if c is not None])
+    return _with_part(df, label, keys, seed, ends, "split", lambda passed: F.when(listed & (passed == 0), "test").when(
+        listed & (passed == 1), "val").otherwise("train"))
 
 
 def fold_assignment(df: DataFrame, label: str, keys: Sequence[str], k: int = 5,
                     seed: str = "split42") -> DataFrame:
     """Stratified ``fold`` in 0..k-1; per class the first n % k folds hold one extra row."""
-    r = class_rank(df, label, keys, seed)
-    n, i = F.col("_class_n"), F.col("_rank") - 1
-    q = F.floor(n / k)
-    rem = n - q * k
-    big = (q + 1) * rem
-    fold = F.when(i < big, F.floor(i / (q + 1))).otherwise(rem + F.floor((i - big) / q))
-    return r.withColumn("fold", fold.cast("int")).drop("_u", "_rank", "_class_n")
+    ends = {}
+    for c, n in class_counts(df, label).items():
+        sizes = [n // k + (i < n % k) for i in range(k)]
+        ends[c] = list(accumulate(sizes))[:-1]
+    return _with_part(df, label, keys, seed, ends, "fold", lambda passed: passed)
 
 
 def sampling_info(before: DataFrame, after: DataFrame, label: str, method: str) -> DataFrame:
