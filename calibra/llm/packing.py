@@ -17,7 +17,8 @@ whatever the corpus, and is solved with multiplicities:
 2. What remains goes best-fit decreasing: each length into the open sequences with
    the least room that still holds it, opening new ones when none does.
 
-The solution is a list of patterns (lengths) with multiplicities.  Spark then
+The solution is a list of patterns (lengths) with multiplicities.  Token ids come from a table of the corpus' frequent words, each encoded once and
+mapped into memory by the workers (:mod:`calibra.llm.unit_table`).  Spark then
 numbers the pieces of each length and looks every number up in the patterns:
 sequence ids and offsets are assigned without any sequence or length being
 gathered in one task (numbers within a length come from salted shares and their
@@ -42,22 +43,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.llm.scratch import stored
-from calibra.llm.text import map_batches
+from calibra.llm import unit_table
+from calibra.llm.scratch import free_name, stored
+from calibra.llm.text import chunks, map_batches, utf8
 
 CAPACITY = 2048
 END_ID = 0
-#: entries of a worker's table of encoded words, the longest word that enters it, the mark between words
-MEMO_ENTRIES, WORD_CHARS, MARK = 450_000, 64, "~"
-TAILS = (",", ".")
+#: the mark between words that are encoded together
+MARK = "~"
 
 
 # --- token ids ---------------------------------------------------------------------
 
 
 class _Encoder:
-    """Encodes whole texts; the ids of words are kept in two bounded tables (the older one
-    is dropped when the younger is full, what is still in use moves over)."""
+    """Ids of words, which this vocabulary never joins: it drops white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,65 +66,36 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True      # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                      for c in TAILS}
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word.  Words are encoded many at a time with a mark between them; a
+    def words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word.  Short words are encoded many at a time with a mark between them; a
         mark stands alone between spaces, so it is one id that no other word can give."""
-        out = []
-        for lo in range(0, len(words), 256):
-            part = words[lo:lo + 256]
-            ids = np.array(self.tok.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            data, at = ids.tobytes(), 0
-            for end in ends:
-                out.append(data[4 * at:4 * end])
-                at = end + 1
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if MARK not in w and len(w) <= unit_table.LONGEST]
+        for lo in range(0, len(plain), 256):
+            part = plain[lo:lo + 256]
+            ids = np.array(self.tok.encode(f" {MARK} ".join([words[i] for i in part]), add_special_tokens=False).ids,
+                           dtype=np.uint32)
+            for i, one in zip(part, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
+                out[i] = one
+            # every part but the first begins with the mark
+            for i in part[1:]:
+                out[i] = out[i][1:]
+        for i, one in enumerate(out):
+            if one is None:
+                out[i] = np.array(self.tok.encode(words[i], add_special_tokens=False).ids, dtype=np.uint32)
         return out
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        cuts = [t.replace("\n", " ").split(" ") for t in texts]
-        memo, older = self.memo, self.older
-        new = {c for cut in cuts for c in cut if c not in memo}
-        known = {c: older[c] for c in new if c in older}
-        new -= known.keys()
-        # a comma or full stop after a letter is always a token run of its own
-        tailed = {c for c in new if c[-1:] in TAILS and c[-2:-1].isalpha()}
-        stems = {c[:-1] for c in tailed}
-        known.update({c: memo.get(c) or older[c] for c in stems if c in memo or c in older})
-        new = (new - tailed) | (stems - known.keys())
-        plain = [c for c in new if MARK not in c and len(c) <= WORD_CHARS]
-        known.update(zip(plain, self.words(plain), strict=True))
-        known.update({c: known[c[:-1]] + self.tails[c[-1]] for c in tailed if c[:-1] in known})
-        new |= {c for c in tailed if c not in known}
-        large = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                 for c in new if c not in known}
-        if len(memo) + len(known) > MEMO_ENTRIES:
-            self.older = memo
-            self.memo = memo = {}
-            known.update({c: self.older[c] for cut in cuts for c in cut if c in self.older})
-        memo.update(known)
-        if not large:
-            return [b"".join(map(memo.__getitem__, cut)) for cut in cuts]
-        return [b"".join([large[c] if c in large else memo[c] for c in cut]) for cut in cuts]
-
-
-@lru_cache(maxsize=2)
+
+@lru_cache(maxsize=1)
 def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each whole text as little-endian unsigned 32-bit numbers.
-
-    This vocabulary drops white space and never joins tokens across it, so texts
-    are cut at spaces and line ends and equal words are encoded once.
-    """
-    return _encoder(path).texts(texts)
+def word_table(docs: DataFrame, path: str, text_col: str = "text") -> unit_table.UnitTable:
+    """The ids of the documents' frequent words; a word's ids do not depend on the words beside it."""
+    return unit_table.build(docs, text_col, unit_table.word_runs, lambda: _encoder(path).words)
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -132,32 +103,31 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids`` as bytes if asked for)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    end = np.array([END_ID], dtype="<u4").tobytes()
+    table = word_table(source, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(path).words
         for b in batches:
-            # few texts at a time: the library's objects are larger than the text
-            for lo in range(0, b.num_rows, 250):
-                part = b.slice(lo, 250)
-                coded = encode_texts(path, [t or "" for t in part.column("text").to_pylist()])
-                rows: dict = {"at": [], "piece": [], "start": [], "length": [], "crc": [], "ids": []}
-                for at, ids in enumerate(coded):
-                    ids += end
-                    for number, first in enumerate(range(0, len(ids), 4 * capacity)):
-                        body = ids[first:first + 4 * capacity]
-                        rows["at"].append(at)
-                        rows["piece"].append(number)
-                        rows["start"].append(first // 4)
-                        rows["length"].append(len(body) // 4)
-                        rows["crc"].append(zlib.crc32(body))
-                        if with_ids:
-                            rows["ids"].append(body)
-                columns = [part.column("doc_id").take(pa.array(rows["at"], pa.int64())),
-                           pa.array(rows["piece"], pa.int32()), pa.array(rows["start"], pa.int64()),
-                           pa.array(rows["length"], pa.int64()), pa.array(rows["crc"], pa.int64())]
+            data, offsets = utf8(b.column(1))
+            for lo, hi in chunks(offsets):
+                raw = data[offsets[lo]:offsets[hi]]
+                ids, sizes = unit_table.text_ids(table, raw, offsets[lo:hi + 1] - offsets[lo], encode)
+                # one end id after each text
+                ids = np.insert(ids, np.cumsum(sizes), END_ID).astype("<u4")
+                sizes = sizes + 1
+                begin = np.cumsum(sizes) - sizes
+                count = -(-sizes // capacity)
+                at = np.repeat(np.arange(hi - lo), count)
+                number = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+                start = number * capacity
+                length = np.minimum(sizes[at] - start, capacity)
+                body, first = ids.tobytes(), 4 * (begin[at] + start)
+                own = [body[f:f + 4 * n] for f, n in zip(first.tolist(), length.tolist(), strict=True)]
+                columns = [b.column(0).slice(lo, hi - lo).take(pa.array(at)), pa.array(number.astype(np.int32)),
+                           pa.array(start), pa.array(length), pa.array([zlib.crc32(o) for o in own], pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    columns, names = [*columns, pa.array(rows["ids"], pa.binary())], [*names, "ids"]
+                    columns, names = [*columns, pa.array(own, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_batches(source, work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
@@ -232,12 +202,10 @@ def dominant_set(left: _Counts, w: int, capacity: int) -> list[int] | None:
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[list[int], int]], dict[int, int]]:
     """(fixed patterns with multiplicity, the remaining histogram)."""
     left, fixed = _Counts(counts), []
-    undecided: list[int] = []
     for w in sorted(counts, reverse=True):
         while left.n.get(w):
             others = dominant_set(left, w, capacity)
             if others is None:
-                undecided.append(w)
                 break
             pattern = [w, *others]
             need = {x: pattern.count(x) for x in pattern}
@@ -326,23 +294,22 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = slots(solve(counts, capacity))
     # numbers within a length: dealt to shares by a hash, numbered there, moved by the shares before
     keys = [c for c in items.columns if c != "length"]
-    share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keys]), F.lit(shares))
-    dealt = items.withColumn("_share", share)
-    before = dealt.groupBy("length", "_share").agg(F.count(F.lit(1)).alias("_n")).select(
-        "length", "_share", (F.sum("_n").over(Window.partitionBy("length").orderBy("_share")) - F.col("_n"))
-        .alias("_before"))
-    order = Window.partitionBy("length", "_share").orderBy(*[F.col(f"`{c}`") for c in keys])
-    numbered = dealt.withColumn("_k", F.row_number().over(order) - 1).join(before, ["length", "_share"]) \
-        .withColumn("_k", F.col("_k") + F.col("_before"))
-    # the slots of a length as sorted arrays: a number finds its slot by a binary search
+    share, k, here, before_ = (free_name(items, n) for n in ("share", "number", "slots", "before"))
+    dealt = items.withColumn(share, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keys]), F.lit(shares)))
+    before = dealt.groupBy("length", share).agg(F.count(F.lit(1)).alias("_n")).select(
+        "length", share, (F.sum("_n").over(Window.partitionBy("length").orderBy(share)) - F.col("_n")).alias(before_))
+    order = Window.partitionBy("length", share).orderBy(*[F.col(f"`{c}`") for c in keys])
+    numbered = dealt.withColumn(k, F.row_number().over(order) - 1).join(before, ["length", share]) \
+        .withColumn(k, F.col(k) + F.col(before_))
+    # the slots of a length, of which a number fits exactly one
     names = "length long, first long, last long, sequence long, place long"
     by_length = spark.createDataFrame(table or [], names).groupBy("length").agg(
-        F.sort_array(F.collect_list(F.struct("first", "last", "sequence", "place"))).alias("_slots"))
+        F.sort_array(F.collect_list(F.struct("first", "last", "sequence", "place"))).alias(here))
     found = numbered.join(F.broadcast(by_length), "length") \
-        .withColumn("_s", F.filter("_slots", lambda s: (s["first"] <= F.col("_k")) & (F.col("_k") < s["last"]))[0])
+        .withColumn(here, F.filter(here, lambda s: (s["first"] <= F.col(k)) & (F.col(k) < s["last"]))[0])
     return found.select(*[F.col(f"`{c}`") for c in items.columns],
-                        (F.col("_s.sequence") + F.col("_k") - F.col("_s.first")).alias("sequence_id"),
-                        F.col("_s.place").alias("offset"))
+                        (F.col(f"{here}.sequence") + F.col(k) - F.col(f"{here}.first")).alias("sequence_id"),
+                        F.col(f"{here}.place").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
