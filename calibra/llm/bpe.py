@@ -10,11 +10,10 @@ to be a dead end keeps the whole walk linear.  Compatibility of two adjacent
 tokens depends on nothing else, so it is memoised.  The result equals the exact
 merges.
 
-Texts are first cut by the tokenizer's pattern.  A space between two characters
-that are no white space always begins a piece of such a pattern, so texts are
-cut there first and the ids of cuts and pieces are memoised in two bounded
-tables: the older one is dropped when the younger is full, and what is still in
-use moves over.
+Texts are first cut by the tokenizer's pattern.  A space after a character that is
+no white space always begins a piece of such a pattern, so texts are cut there;
+the cuts that are frequent in the corpus are encoded once, and texts look their ids
+up in a table that workers map into memory (:mod:`calibra.llm.unit_table`).
 
 Defined results: a null text counts as empty and has no ids; decoding unknown
 ids raises an error; texts of any length are encoded whole.
@@ -23,8 +22,8 @@ ids raises an error; texts of any length are encoded whole.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.text import map_batches
+from calibra.llm import unit_table
+from calibra.llm.text import chunks, map_batches, utf8
+from calibra.llm.unit_table import spread
 
-#: entries of a worker's table of encoded cuts, and the longest cut that enters it
-MEMO_ENTRIES, MEMO_CHARS = 350_000, 64
 #: entries of a worker's table of compatible neighbours
 PAIR_ENTRIES = 1_000_000
 
@@ -65,8 +64,7 @@ class BytePairs:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self._memo: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._flat: tuple | None = None
         self._compatible: dict[tuple[int, int], bool] = {}
         self._shorter: dict[int, int] = {}
         # a token's parts in the last merge that makes it; single bytes are their own parts
@@ -176,33 +174,39 @@ class BytePairs:
                 token = out.pop()
                 at -= len(tokens[token])
 
-    def _keep(self, text: str, ids: bytes) -> None:
-        if len(text) <= MEMO_CHARS:
-            if len(self._memo) >= MEMO_ENTRIES:
-                self._memo, self._older = {}, self._memo
-            self._memo[text] = ids
-
-    def _encode_cut(self, cut: str) -> bytes:
-        """Ids of a cut that is not in the younger table."""
-        ids = self._older.get(cut)
-        if ids is None:
-            pieces = self.pattern.findall(cut)
-            if len(pieces) == 1:
-                ids = array("I", self.encode_piece(cut.encode())).tobytes()
-            else:
-                ids = b"".join([self._memo.get(p) or self._encode_cut(p) for p in pieces])
-        self._keep(cut, ids)
-        return ids
+    def encode_cut(self, cut: str) -> np.ndarray:
+        """Ids of a text or a part of one, piece by piece of the pattern."""
+        out: list[int] = []
+        for piece in self.pattern.findall(cut):
+            out += self.encode_piece(piece.encode())
+        if len(self._compatible) > PAIR_ENTRIES:
+            self._compatible.clear()
+        return np.array(out, dtype=np.uint32)
+
+    def cuts(self, cuts: list[str]) -> list[np.ndarray]:
+        """Ids of each of many parts that no piece reaches over."""
+        return [self.encode_cut(c) for c in cuts]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit numbers."""
-        out = []
-        for cut in safe_cuts(text):
-            ids = self._memo.get(cut)
-            out.append(self._encode_cut(cut) if ids is None else ids)
-        if len(self._compatible) > PAIR_ENTRIES:
-            self._compatible.clear()
-        return b"".join(out)
+        return np.concatenate([np.empty(0, np.uint32), *self.cuts(safe_cuts(text))]).astype("<u4").tobytes()
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that many ids stand for, one after another."""
+        if self._flat is None:
+            sizes = np.zeros(max(self.tokens, default=-1) + 1, dtype=np.int64)
+            for rank, token in self.tokens.items():
+                sizes[rank] = len(token)
+            body = b"".join(self.tokens.get(r, b"") for r in range(len(sizes)))
+            self._flat = (np.frombuffer(body, dtype=np.uint8), np.cumsum(sizes) - sizes, sizes)
+        body, begin, sizes = self._flat
+        if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= len(sizes) or not sizes[ids].all()):
+            raise KeyError("an id that the vocabulary does not hold")
+        return body[spread(begin[ids], sizes[ids])]
+
+    def sizes(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of each id's token (after ``joined``)."""
+        return self._flat[2][ids]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -235,23 +239,33 @@ def tokenizer(path: str, pattern: str) -> BytePairs:
     return BytePairs(path, pattern)
 
 
+def cut_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> unit_table.UnitTable:
+    """The ids of the documents' frequent cuts."""
+    return unit_table.build(docs.select(F.col(text_col).cast("string").alias(text_col)), text_col, unit_table.spaced_runs,
+                            lambda: tokenizer(path, pattern).cuts)
+
+
+def _coded(table, pairs: BytePairs, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, ids of these texts one after another, number of ids of each)."""
+    data, offsets = utf8(column)
+    for lo, hi in chunks(offsets):
+        yield lo, hi, *unit_table.text_ids(table, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], pairs.cuts)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the token ids of each text (array of int); the file must lie at ``path`` on the workers."""
     docs = docs.drop(ids_col)
     schema = docs.select("*", F.array(F.lit(0)).alias(ids_col)).schema
+    table = cut_table(docs, path, pattern, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = tokenizer(path, pattern)
         for b in batches:
-            # a few hundred rows at a time: their ids and texts are small beside the batch
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-                coded = [pairs.encode(t or "") for t in texts]
-                offsets = np.cumsum([0, *[len(c) // 4 for c in coded]]).astype(np.int32)
-                values = np.frombuffer(b"".join(coded), dtype=np.uint32).astype(np.int32)
+            for lo, hi, ids, sizes in _coded(table, pairs, b.column(b.schema.get_field_index(text_col))):
+                part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                    [*part.columns, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)),
+                                                             pa.array(ids.astype(np.int32)))],
                     names=[*part.schema.names, ids_col])
 
     return map_batches(docs, work, schema)
@@ -265,16 +279,46 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = tokenizer(path, pattern)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                lists = part.column(part.schema.get_field_index(ids_col))
-                found = [pairs.decode(x.values.to_pylist()) if x.is_valid else b"" for x in lists]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())],
-                                                 names=[*part.schema.names, bytes_col])
+            lists = b.column(b.schema.get_field_index(ids_col))
+            found = [pairs.joined(x.values.to_numpy()).tobytes() if x.is_valid else b"" for x in lists]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, bytes_col])
 
     return map_batches(rows, work, schema)
 
 
+DIGESTS = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+
+
+def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """Encode each text and decode its ids again in one pass: ``docs`` without the text, with the number
+    of ids and the digests of the ids (decimal, joined by one space) and of the decoded bytes."""
+    kept = [c for c in docs.columns if c != text_col and c.lower() not in DIGESTS]
+    schema = docs.select(*kept, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"),
+                         F.lit("").alias("decoded_sha256")).schema
+    table = cut_table(docs, path, pattern, text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = tokenizer(path, pattern)
+        # every id as a decimal number and a space, cut out of one buffer
+        names = [b"%d " % i for i in range(max(pairs.tokens, default=-1) + 1)]
+        letters, width = np.frombuffer(b"".join(names), dtype=np.uint8), np.array([len(n) for n in names], dtype=np.int64)
+        place = np.cumsum(width) - width
+        for b in batches:
+            for lo, hi, ids, sizes in _coded(table, pairs, b.column(b.schema.get_field_index(text_col))):
+                part, upto = b.slice(lo, hi - lo), np.append(0, np.cumsum(sizes))
+                out = []
+                for body, length in ((letters[spread(place[ids], width[ids])], width[ids]), (pairs.joined(ids), pairs.sizes(ids))):
+                    ends = np.append(0, np.cumsum(length))[upto].tolist()
+                    drop = 1 if not out else 0        # the space after the last id
+                    view = memoryview(body)
+                    out.append([hashlib.sha256(view[x:max(x, y - drop)]).hexdigest() for x, y in zip(ends, ends[1:], strict=False)])
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(part.schema.get_field_index(c)) for c in kept], pa.array(sizes, pa.int64()),
+                     *[pa.array(o, pa.string()) for o in out]], names=[*kept, *DIGESTS])
+
+    return map_batches(docs, work, schema)
+
+
 def id_text(ids_col: str = "ids") -> F.Column:
     """The ids as decimal numbers joined by one space."""
     return F.array_join(F.col(ids_col).cast("array<string>"), " ")

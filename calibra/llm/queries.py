@@ -141,12 +141,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and the bytes that they decode to."""
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    digests = coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-                           F.sha2(bpe.id_text(), 256).alias("ids_sha256"))
-    return bpe.decode(digests, path, pattern).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                       public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @query()
