@@ -1,9 +1,10 @@
-"""Streaming queries (T1-T9): each drains a file stream of a test table with
-``availableNow`` and returns the sink; the oracle is the equivalent batch SQL.
+"""Streaming queries (T1-T9): each reads a test table as a file stream and returns the
+sink; the oracle is batch SQL.
 
-Aggregations run in complete mode here so that windows the watermark has not
-closed yet are part of the result (append mode holds them back until the
-watermark passes; that behaviour is covered in the tests).
+Windows, sessions and the outer join run in append mode over several deliveries of the
+table (time slices, some rows held back until the next one), so their state lives on
+between runs, the watermark closes it, and late rows are counted.  A last delivery of one
+marker row far in the future moves the watermark past all real data.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from calibra.plans.comparison import norm_p_sql
 from calibra.plans.registry import query
 from calibra.plans.sqlviews import with_views
 from calibra.sources import views as V
-from calibra.sources.streams import run_available, table_stream
+from calibra.sources.streams import run_available, run_deliveries, slices, table_stream
 from calibra.sources.tables import table
 from calibra.streaming import monitors as S
 
@@ -49,16 +50,54 @@ def stream_latency_alerts(spark, sf_dir):
     return run_available(latency_alerts(_log_stream(spark, sf_dir), 300.0), "append", "latency")
 
 
+#: deliveries of a table, and which keys are held back until the next one
+DELIVERIES, HELD_BACK = 3, 17
+
+
+def _arrivals(df, ts: str, key: str | None, **marked):
+    """The table's time slices as frames in order of arrival, and a marker row that closes everything
+    (nulls but for its time and ``marked``; a join key must not be null, or the row is dropped too early)."""
+    at, _, high = slices(df, ts, DELIVERIES)
+    if key:
+        held = (F.col(key) % HELD_BACK == 0) & (at < DELIVERIES - 1)
+        at = at + held.cast("int")
+    parts = [df.where(at == i) for i in range(DELIVERIES)]
+    far = F.timestamp_micros(F.lit((high or 0) + 90 * 86_400_000_000)).cast(df.schema[ts].dataType)
+    marker = df.sparkSession.range(1).select(*[
+        (far if f.name == ts else F.lit(marked.get(f.name)).cast(f.dataType)).alias(f.name) for f in df.schema])
+    return [*parts, marker]
+
+
+def _arrived_sql(source: str, ts: str, key: str | None) -> str:
+    """CTE ``arrived``: rows of ``source`` with the watermark's newest time ``seen`` when they arrive."""
+    held = f"CASE WHEN {key} % {HELD_BACK} = 0 AND s < {DELIVERIES - 1} THEN 1 ELSE 0 END" if key else "0"
+    return f"""
+, lim AS (SELECT min(epoch_us({ts})) AS lo, max(epoch_us({ts})) AS hi FROM {source}),
+  cut AS (SELECT {source}.*, least({DELIVERIES - 1}, (epoch_us({ts}) - lo) * {DELIVERIES} // greatest(hi - lo, 1)) AS s
+          FROM {source}, lim),
+  come AS (SELECT *, s + {held} AS d FROM cut),
+  per AS (SELECT d, max({ts}) AS newest FROM come GROUP BY d),
+  arrived AS (SELECT come.*, (SELECT max(newest) FROM per WHERE per.d < come.d) AS seen FROM come)"""
+
+
 @query("stream_daily_counts",
-       sql=with_views("log") + f"""
+       sql=with_views("log") + _arrived_sql("log", "ts", "request_id") + f"""
 SELECT strftime(date_trunc('day', ts), {_FMT}) AS window_start,
-       strftime(date_trunc('day', ts) + INTERVAL 1 DAY, {_FMT}) AS window_end,
-       event_type, count(*) AS n, CAST(sum(prediction) AS BIGINT) AS sum_prediction
-FROM log GROUP BY ALL""")
+       strftime(date_trunc('day', ts) + INTERVAL 1 DAY, {_FMT}) AS window_end, event_type,
+       count(*) FILTER (NOT late) AS n, CAST(sum(prediction) FILTER (NOT late) AS BIGINT) AS sum_prediction,
+       count(*) FILTER (late) AS n_late
+FROM (SELECT *, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= seen - INTERVAL 1 HOUR, false) AS late FROM arrived)
+GROUP BY ALL""")
 def stream_daily_counts(spark, sf_dir):
-    """Tumbling one-day windows per event type (watermark 1 hour)."""
-    s = S.windowed_counts(_log_stream(spark, sf_dir), "ts", "1 day", by=["event_type"], value="prediction")
-    return run_available(s, "complete", "daily")
+    """Closed one-day windows per event type (watermark 1 hour), with the rows that came too late."""
+    keys = ["window_start", "window_end", "event_type"]
+
+    def count(events):
+        return S.windowed_counts(V.log_from(events), "ts", "1 day", by=["event_type"], value="prediction")
+
+    events = table(spark, sf_dir, "events")
+    closed = run_deliveries(count, {"events": _arrivals(events, "ts", "event_id")}, "daily")
+    return S.late_counts(count(events), closed, keys)
 
 
 @query("stream_sliding_counts",
@@ -67,28 +106,36 @@ def stream_daily_counts(spark, sf_dir):
 SELECT strftime(ws, {_FMT}) AS window_start, strftime(ws + INTERVAL 7 DAY, {_FMT}) AS window_end, count(*) AS n
 FROM w GROUP BY ws""")
 def stream_sliding_counts(spark, sf_dir):
-    """Sliding 7-day windows every day."""
-    s = S.windowed_counts(_log_stream(spark, sf_dir), "ts", "7 days", "1 day")
-    return run_available(s, "complete", "sliding")
+    """Closed sliding 7-day windows every day; a window spans deliveries."""
+    return run_deliveries(lambda events: S.windowed_counts(V.log_from(events), "ts", "7 days", "1 day"),
+                          {"events": _arrivals(table(spark, sf_dir, "events"), "ts", None)}, "sliding")
 
 
 @query("stream_window_metrics",
-       sql=with_views("preds") + f"""
-, b AS (SELECT to_timestamp(floor(epoch(CAST(day AS TIMESTAMP)) / 2592000) * 2592000)::TIMESTAMP AS ws,
-               y_true, pred_a FROM preds),
-  c AS (SELECT ws, count_if(y_true = 1 AND pred_a = 1) AS tp, count_if(y_true = 0 AND pred_a = 1) AS fp,
-               count_if(y_true = 1 AND pred_a = 0) AS fn, count_if(y_true = 0 AND pred_a = 0) AS tn
-        FROM b GROUP BY ws)
+       sql=with_views("preds") + """
+, o AS (SELECT *, CAST(day AS TIMESTAMP) AS ets FROM preds)""" + _arrived_sql("o", "ets", "o_orderkey") + f"""
+, b AS (SELECT *, to_timestamp(floor(epoch(ets) / 2592000) * 2592000)::TIMESTAMP AS ws FROM arrived),
+  l AS (SELECT *, coalesce(ws + INTERVAL 30 DAY <= seen - INTERVAL 30 DAY, false) AS late FROM b),
+  c AS (SELECT ws, count(*) FILTER (NOT late AND y_true = 1 AND pred_a = 1) AS tp,
+               count(*) FILTER (NOT late AND y_true = 0 AND pred_a = 1) AS fp,
+               count(*) FILTER (NOT late AND y_true = 1 AND pred_a = 0) AS fn,
+               count(*) FILTER (NOT late AND y_true = 0 AND pred_a = 0) AS tn, count(*) FILTER (late) AS n_late
+        FROM l GROUP BY ws)
 SELECT strftime(ws, {_FMT}) AS window_start, tp, fp, fn, tn,
        coalesce(2.0 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0) AS f1,
-       coalesce(2.0 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0) < 0.8 AS alert
+       coalesce(2.0 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0) < 0.8 AS alert, n_late
 FROM c""",
        rounded="f1")
 def stream_window_metrics(spark, sf_dir):
-    """T4: F1 per 30-day event-time window of the order stream, with alert flag."""
-    p = V.preds_from(table_stream(spark, sf_dir, "orders")).withColumn("ets", F.col("day").cast("timestamp"))
-    s = S.windowed_metrics(p, "ets", "30 days", "y_true", "pred_a", "30 days")
-    return run_available(s, "complete", "winmetrics")
+    """T4: F1 per closed 30-day event-time window of the order stream, alert flag, late rows."""
+    def metrics(orders):
+        p = V.preds_from(orders).withColumn("ets", F.col("day").cast("timestamp"))
+        return S.windowed_metrics(p, "ets", "30 days", "y_true", "pred_a", "30 days")
+
+    orders = table(spark, sf_dir, "orders")
+    total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    closed = run_deliveries(metrics, {"orders": _arrivals(orders, "o_orderdate", "o_orderkey")}, "winmetrics")
+    return S.late_counts(metrics(orders).withColumn("n", total), closed.withColumn("n", total), ["window_start"]).drop("n")
 
 
 @query("stream_sessions",
@@ -102,13 +149,14 @@ SELECT user_id, strftime(min(ts), {_FMT}) AS session_start,
        strftime(max(ts) + INTERVAL 30 MINUTE, {_FMT}) AS session_end, count(*) AS events
 FROM s GROUP BY user_id, sid""")
 def stream_sessions(spark, sf_dir):
-    """T5: per-user sessions with a 30-minute gap."""
-    return run_available(S.sessions(_log_stream(spark, sf_dir), "user_id", "ts"), "complete", "sessions")
+    """T5: closed per-user sessions with a 30-minute gap; sessions span deliveries."""
+    return run_deliveries(lambda events: S.sessions(V.log_from(events), "user_id", "ts"),
+                          {"events": _arrivals(table(spark, sf_dir, "events"), "ts", None)}, "sessions")
 
 
-def _labels_from(events):
-    """Labels of the scored requests: a purchase confirms fraud; they arrive k minutes later."""
-    k = F.get_json_object("props", "$.k").cast("int")
+def _labels_from(events, delay: int = 1):
+    """Labels of the scored requests: a purchase confirms fraud; they arrive ``delay`` x k minutes later."""
+    k = F.get_json_object("props", "$.k").cast("int") * delay
     return events.select(F.col("event_id").alias("request_id"),
                          (F.col("event_type") == "purchase").cast("int").alias("label"),
                          (F.col("ts").cast("timestamp") + F.make_dt_interval(mins=k)).alias("label_ts"))
@@ -131,6 +179,33 @@ def stream_late_labels(spark, sf_dir):
     return run_available(out, "append", "latelabels")
 
 
+@query("stream_unlabelled",
+       sql=with_views("log") + f"""
+, lab AS (SELECT event_id AS rid, CAST(event_type = 'purchase' AS INTEGER) AS label,
+                 CAST(ts AS TIMESTAMP) + 4 * CAST(json_extract_string(props, '$.k') AS INTEGER) * INTERVAL 1 MINUTE
+                   AS label_ts FROM events)
+SELECT request_id, prediction, label, strftime(ts, {_FMT}) AS ts, strftime(label_ts, {_FMT}) AS label_ts
+FROM log LEFT JOIN lab ON request_id = rid AND label_ts >= ts AND label_ts <= ts + INTERVAL 1 HOUR""")
+def stream_unlabelled(spark, sf_dir):
+    """Every prediction with its label, or without one when both watermarks have passed its hour.
+
+    Labels come 4 k minutes after their prediction, so some miss the hour; both inputs are
+    delivered in time slices of their own.
+    """
+    events = table(spark, sf_dir, "events")
+    labels = _labels_from(events, 4)
+
+    def join(log, labels):
+        p = V.log_from(log).select("request_id", "prediction", "ts")
+        return S.late_labels(p, labels, "request_id", "ts", "label_ts", "1 hour", "left_outer").select(
+            "request_id", "prediction", "label", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+            F.date_format("label_ts", "yyyy-MM-dd HH:mm:ss").alias("label_ts"))
+
+    out = run_deliveries(join, {"log": _arrivals(events, "ts", None, event_id=-1),
+                                "labels": _arrivals(labels, "label_ts", None, request_id=-2)}, "unlabelled")
+    return out.where(F.col("request_id") >= 0)
+
+
 # Streaming drift split and histogram range (processing time, ms).
 DRIFT_FROM = "2024-01-16 00:00:00"
 DRIFT_LO, DRIFT_HI, DRIFT_BINS = 0.0, 500.0, 50
@@ -202,4 +277,4 @@ def stream_sequential_ab(spark, sf_dir):
     r = AB.routed(p, AB.route("o_orderkey"), "y_true", "pred_a", "pred_b", "score_a", "score_b")
     state = scratch_path(spark, f"streams/seqab-{uuid.uuid4().hex}")
     S.sequential_ab(r, state, F.lit("ab")).awaitTermination()
-    return S.sequential_state(spark, state).drop("epoch")
+    return S.sequential_state(spark, state).drop("epoch", "expired")

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from calibra.session import path_exists
 from calibra.functions.columns import erfc_pos_float, safe_div
@@ -72,7 +75,11 @@ def sessions(events: DataFrame, user: str, ts: str, gap: str = "30 minutes",
 
 def late_labels(preds: DataFrame, labels: DataFrame, key: str, ts: str, label_ts: str,
                 within: str = "1 hour", how: str = "inner") -> DataFrame:
-    """Join predictions with labels that arrive up to ``within`` later (watermarks on both sides)."""
+    """Join predictions with labels that arrive up to ``within`` later (watermarks on both sides).
+
+    ``how="left_outer"`` keeps predictions without a label: a streaming query puts them out, with
+    nulls, once both sides' watermarks say that no label can come any more.
+    """
     p = preds.withWatermark(ts, within)
     lab = labels.withColumnRenamed(key, "_lkey").withWatermark(label_ts, within)
     cond = (F.col(key) == F.col("_lkey")) & (F.col(label_ts) >= F.col(ts)) & (
@@ -80,6 +87,19 @@ def late_labels(preds: DataFrame, labels: DataFrame, key: str, ts: str, label_ts
     return p.join(lab, cond, how).drop("_lkey")
 
 
+def late_counts(all_rows: DataFrame, streamed: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
+    """Closed windows with ``n_late``, the rows that came too late for them.
+
+    ``all_rows`` counts every row that was delivered, ``streamed`` those that the stream counted
+    (append mode); both have ``keys`` and ``n``.  A window that only late rows fell into
+    has no streamed row and counts 0.
+    """
+    every = all_rows.select(*keys, F.col(n).alias("_all"))
+    joined = every.join(streamed, list(keys), "left")
+    return joined.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c == n else F.col(c) for c in streamed.columns],
+                         (F.col("_all") - F.coalesce(F.col(n), F.lit(0))).alias("n_late"))
+
+
 def dedup(events: DataFrame, key: str, ts: str, watermark: str = "1 hour") -> DataFrame:
     """Drop re-sent requests (same key) within the watermark."""
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
@@ -121,81 +141,154 @@ SEQ_STATE_SCHEMA = T.StructType([
     T.StructField("b_correct", T.LongType()), T.StructField("b_total", T.LongType()),
     T.StructField("rate_a", T.DoubleType()), T.StructField("rate_b", T.DoubleType()),
     T.StructField("p_value", T.DoubleType()), T.StructField("stopped", T.BooleanType()),
-    T.StructField("decision", T.StringType())])
+    T.StructField("decision", T.StringType()), T.StructField("expired", T.BooleanType())])
 
+SUMS = ("a_correct", "a_total", "b_correct", "b_total")
+#: what the state store keeps of a test
+KEPT = "batches long, a_correct long, a_total long, b_correct long, b_total long, p_value double, stopped boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-def _seq_step(prev: dict | None, test_id: str, epoch: int, add: dict, min_samples: int, alpha: float) -> dict:
+
+def _seq_step(prev: dict | None, add: dict, min_samples: int, alpha: float) -> dict:
     """Fold one micro-batch's per-arm sums into a test's state (pure function)."""
     import math
 
-    st = dict(prev) if prev else {"test_id": test_id, "batches": 0, "a_correct": 0, "a_total": 0,
-                                  "b_correct": 0, "b_total": 0, "p_value": None, "stopped": False}
+    st = dict(prev) if prev else {"batches": 0, **dict.fromkeys(SUMS, 0), "p_value": None, "stopped": False}
     if not st["stopped"]:
-        for k in ("a_correct", "a_total", "b_correct", "b_total"):
+        for k in SUMS:
             st[k] += int(add.get(k, 0))
     st["batches"] += 1
-    st["epoch"] = epoch
     at, bt = st["a_total"], st["b_total"]
-    ra = st["a_correct"] / at if at else 0.0
-    rb = st["b_correct"] / bt if bt else 0.0
+    ra, rb = st["a_correct"] / at if at else 0.0, st["b_correct"] / bt if bt else 0.0
     if not st["stopped"] and at >= min_samples and bt >= min_samples:
         se = math.sqrt(ra * (1 - ra) / at + rb * (1 - rb) / bt)
         z = (rb - ra) / se if se > 0 else 0.0
         # same tail approximation as the batch test (A3/A5), so both agree
         st["p_value"] = erfc_pos_float(abs(z) / math.sqrt(2.0))
         st["stopped"] = st["p_value"] < alpha
-    st.update(rate_a=ra, rate_b=rb, decision="B" if rb > ra else "A")
     return st
 
 
+class SequentialTest(StatefulProcessor):
+    """One A/B test id: running totals, a stopped flag and, with ``idle_ms``, a timer.
+
+    Every micro-batch moves the timer to the newest event time plus ``idle_ms``; when the
+    watermark passes it the test's last row is put out as expired and its state dropped.
+    """
+
+    def __init__(self, min_samples: int, alpha: float, idle_ms: int | None):
+        self.min_samples, self.alpha, self.idle_ms = min_samples, alpha, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("totals", KEPT)
+
+    def _row(self, key, st: dict, expired: bool) -> pd.DataFrame:
+        ra, rb = (st[f"{x}_correct"] / st[f"{x}_total"] if st[f"{x}_total"] else 0.0 for x in "ab")
+        row = {"test_id": key[0], "epoch": None, **st, "rate_a": ra, "rate_b": rb, "decision": "B" if rb > ra else "A",
+               "expired": expired}
+        return pd.DataFrame([[row[c] for c in SEQ_STATE_SCHEMA.fieldNames()]], columns=SEQ_STATE_SCHEMA.fieldNames()).astype(
+            {"epoch": "Int64", "p_value": "Float64"})
+
+    def _now(self) -> dict | None:
+        names = [c.split()[0] for c in KEPT.split(", ")]
+        return dict(zip(names, self.state.get(), strict=True)) if self.state.exists() else None
+
+    def handleInputRows(self, key, rows, timerValues):
+        add, newest = dict.fromkeys(SUMS, 0), None
+        for part in rows:
+            for c in SUMS:
+                add[c] += int(part[c].sum())
+            if self.idle_ms is not None and part["ts"].notna().any():
+                newest = max(x for x in (newest, part["ts"].max()) if x is not None)
+        st = _seq_step(self._now(), add, self.min_samples, self.alpha)
+        self.state.update(tuple(st[c.split()[0]] for c in KEPT.split(", ")))
+        if newest is not None:
+            due = int(newest.value // 1_000_000) + self.idle_ms
+            timers = list(self.handle.listTimers())
+            if all(due > t for t in timers):
+                for t in timers:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(due)
+        yield self._row(key, st, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        st = self._now()
+        self.state.clear()
+        if st is not None:
+            yield self._row(key, st, True)
+
+    def close(self) -> None:
+        pass
+
+
+def _partial_sums(routed: DataFrame, ts: str | None) -> DataFrame:
+    """Per task and batch one row a test: the sums of its arms and its newest event time.
+
+    Stateless, so a test's traffic is not funnelled into the task that keeps its state.
+    """
+    correct = (F.col("y_true") == F.col("y_pred")).cast("long")
+    arms = {"a_correct": F.when(F.col("arm") == "A", correct), "a_total": (F.col("arm") == "A").cast("long"),
+            "b_correct": F.when(F.col("arm") == "B", correct), "b_total": (F.col("arm") == "B").cast("long")}
+    narrow = routed.select("test_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in arms.items()],
+                           (F.col(ts).cast("timestamp") if ts else F.lit(None).cast("timestamp")).alias("ts"))
+
+    def work(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b]).group_by("test_id").aggregate([(c, "sum") for c in SUMS] + [("ts", "max")])
+            for part in t.select(["test_id", *[f"{c}_sum" for c in SUMS], "ts_max"]).combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays(part.columns, names=["test_id", *SUMS, "ts"])
+
+    return narrow.mapInArrow(work, "test_id string, a_correct long, a_total long, b_correct long, b_total long, ts timestamp")
+
+
 def sequential_ab(routed: DataFrame, state_path: str, test_id: Column | str = "test_id",
-                  min_samples: int = 1000, confidence: float = 0.95, trigger: dict | None = None):
-    """A sequential A/B test over a stream, one state row per test id.
-
-    Each micro-batch is first aggregated by Spark to per-(test, arm) sums
-    (partial aggregation map-side, so a test's traffic is never funnelled into
-    one task); only those few rows reach the driver, where they are folded into
-    the previous state (order-insensitive sums) and written to ``state_path``
-    partitioned by epoch.  A replayed epoch overwrites its own partition, so
-    the state is exactly-once.  Once significant, a test stops and its decision
-    no longer changes.  Event-time micro-batches replace the reference's
-    row-order batches, so the stop point may differ by a batch boundary.
-    Returns the started ``StreamingQuery``; read the state with
-    :func:`sequential_state`.
+                  min_samples: int = 1000, confidence: float = 0.95, trigger: dict | None = None,
+                  ts: str | None = None, watermark: str = "1 hour", idle_ms: int | None = None):
+    """A sequential A/B test over a stream, keyed state per test id.
+
+    Each micro-batch is first summed per test and arm inside the map tasks; the sums are
+    folded into the state that ``transformWithState`` keeps for the test (RocksDB,
+    checkpointed with the query, so a replayed micro-batch starts from the same state).
+    Once significant, a test stops and its decision no longer changes.  With ``ts``
+    and ``idle_ms`` a test without traffic expires when the watermark passes its newest event
+    by that time: its last row is marked and its state dropped.  Event-time
+    micro-batches replace the reference's row-order batches, so the stop point may differ
+    by a batch boundary.
+
+    The rows that changed are written under their epoch in ``state_path`` (a replay rewrites its
+    own); nothing is collected or read back.  Returns the started ``StreamingQuery``; read the
+    current rows with :func:`sequential_state`.
     """
-    tid = F.col(test_id) if isinstance(test_id, str) else test_id
+    if idle_ms is not None and ts is None:
+        raise ValueError("expiry needs an event time column")
     spark = routed.sparkSession
-    alpha = 1.0 - confidence
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        correct = (F.col("y_true") == F.col("y_pred")).cast("int")
-        sums = batch.withColumn("test_id", tid.cast("string")).groupBy("test_id").agg(
-            F.sum(F.when(F.col("arm") == "A", correct).otherwise(0)).alias("a_correct"),
-            F.count_if(F.col("arm") == "A").alias("a_total"),
-            F.sum(F.when(F.col("arm") == "B", correct).otherwise(0)).alias("b_correct"),
-            F.count_if(F.col("arm") == "B").alias("b_total")).collect()  # one row per test
-        prev = {r["test_id"]: r.asDict() for r in _latest_state(spark, state_path, before=epoch).collect()}
-        rows = [_seq_step(prev.get(r["test_id"]), r["test_id"], epoch, r.asDict(), min_samples, alpha)
-                for r in sums]
-        out = spark.createDataFrame(rows, SEQ_STATE_SCHEMA) if rows else None
-        if out is not None:
-            out.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
-
-    w = routed.writeStream.foreachBatch(fold).option("checkpointLocation", f"{state_path}/_checkpoint")
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
-
-
-def _latest_state(spark, state_path: str, before: int | None = None) -> DataFrame:
-    if not path_exists(spark, f"{state_path}/epoch=*"):
-        return spark.createDataFrame([], SEQ_STATE_SCHEMA)
-    st = spark.read.schema(SEQ_STATE_SCHEMA).parquet(f"{state_path}/epoch=*")
-    if before is not None:
-        st = st.where(F.col("epoch") < before)
-    return st.groupBy("test_id").agg(F.max_by(F.struct(*[c for c in SEQ_STATE_SCHEMA.fieldNames()]),
-                                              "epoch").alias("s")).select("s.*")
+    tid = F.col(test_id) if isinstance(test_id, str) else test_id
+    sums = _partial_sums(routed.withColumn("test_id", tid.cast("string")), ts)
+    if ts:
+        sums = sums.withWatermark("ts", watermark)
+    rows = sums.groupBy("test_id").transformWithStateInPandas(
+        SequentialTest(min_samples, 1.0 - confidence, idle_ms), SEQ_STATE_SCHEMA, "Update", "EventTime" if ts else "None")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+
+    w = rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{state_path}/_checkpoint")
+    # the state's provider is read when the query starts; other queries keep theirs
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        return w.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
 
 def sequential_state(spark, state_path: str) -> DataFrame:
-    """The current state row of every test id."""
-    return _latest_state(spark, state_path)
+    """The current row of every test id."""
+    if not path_exists(spark, f"{state_path}/epoch=*"):
+        return spark.createDataFrame([], SEQ_STATE_SCHEMA)
+    st = spark.read.schema(SEQ_STATE_SCHEMA).parquet(f"{state_path}/epoch=*")
+    return st.groupBy("test_id").agg(F.max_by(F.struct(*SEQ_STATE_SCHEMA.fieldNames()), "epoch").alias("s")).select("s.*")
