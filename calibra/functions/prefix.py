@@ -4,8 +4,10 @@ A plain ``Window.partitionBy(g).orderBy(v)`` puts a whole group in one task;
 with one group (a single feature, a single model) that is the whole table in
 one task.  Instead:
 
-1. per group, approximate quantile bounds split the value range into ``B``
-   buckets (equal values always land in the same bucket);
+1. per group, approximate quantile bounds split the value range into at most
+   ``MAX_BOUNDS`` parts, and each part into equally wide cells: together ``B`` buckets
+   (equal values always land in the same bucket).  The bounds are compared by a few
+   nested CASEs whose number does not grow with the cluster, the cells are arithmetic;
 2. per (group, bucket) totals -> exclusive running sum over the *tiny*
    bucket table gives each bucket its offset;
 3. the running sum inside each (group, bucket) window plus the offset is the
@@ -25,24 +27,35 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: up to so many groups the bucket bounds are fetched and broadcast; beyond, they are joined
 MAX_SHIPPED_GROUPS = 10_000
 
 
-def bucket_count(df: DataFrame, buckets: int | None) -> int:
-    """The asked-for number, or as many buckets as there are shuffle partitions (32 at least)."""
-    return max(1, int(buckets)) if buckets else max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: quantile bounds per group, and buckets per group in all
+MAX_BOUNDS, MAX_BUCKETS = 64, 4096
 
 
-def _with_bounds(df: DataFrame, group_cols: Sequence[str], value_col: str, b: int, accuracy: int) -> DataFrame:
+def bucket_count(df: DataFrame, buckets: int | None) -> tuple[int, int]:
+    """(parts by quantile bounds, cells in each): together the asked-for number of buckets, or as
+    many as there are shuffle partitions (32 at least)."""
+    wanted = max(1, int(buckets)) if buckets else max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(wanted, MAX_BOUNDS)
+    return parts, -(-min(wanted, MAX_BUCKETS) // parts)
+
+
+def _points(value_col: str, parts: int, accuracy: int) -> F.Column:
+    """Least value, the bounds between parts, greatest value."""
+    return F.percentile_approx(F.col(value_col), [i / parts for i in range(parts + 1)], accuracy)
+
+
+def _with_bounds(df: DataFrame, group_cols: Sequence[str], value_col: str, parts: int, accuracy: int) -> DataFrame:
     """``df`` with its group's ``_bounds``.  The bounds are sketched with map-side
     combination; while the groups are few (counted, not guessed) they are broadcast, so
     the rows of ``df`` are not shuffled by their group."""
-    probs = [i / b for i in range(1, b)]
-    bounds = df.groupBy(*group_cols).agg(
-        F.percentile_approx(F.col(value_col), probs, accuracy).alias("_bounds"))
+    bounds = df.groupBy(*group_cols).agg(_points(value_col, parts, accuracy).alias("_bounds"))
     found = bounds.limit(MAX_SHIPPED_GROUPS + 1).collect()
     if len(found) > MAX_SHIPPED_GROUPS:
         return df.join(bounds, list(group_cols), "left")
@@ -57,21 +70,29 @@ def _with_bounds(df: DataFrame, group_cols: Sequence[str], value_col: str, b: in
     return df.join(F.broadcast(small), on, "left").drop(*names)
 
 
-def _bucket(value_col: str, bounds, n: int) -> F.Column:
-    """Number of the ``n`` sorted bounds strictly below the value (equal values
-    share a bucket), as a binary search of nested CASE expressions: log2(n)
-    comparisons per row inside generated code (a lambda over the array would be
-    interpreted and ~5x slower)."""
+def _with_bucket(df: DataFrame, value_col: str, points: F.Column, parts: int, cells: int) -> DataFrame:
+    """``df`` with ``_bucket``, which does not decrease with the value.
+
+    The part is the number of inner points strictly below the value, by a binary search of nested
+    CASEs inside generated code (a lambda over the array would be interpreted and ~5x
+    slower); the cell is where the value lies between the part's two points.
+    """
     v = F.col(value_col)
-    at = (lambda i: bounds[i]) if isinstance(bounds, F.Column) else (lambda i: F.lit(bounds[i]))
 
     def search(lo: int, hi: int) -> F.Column:
         if lo >= hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(at(mid) < v, search(mid + 1, hi)).otherwise(search(lo, mid))
+        return F.when(points[mid + 1] < v, search(mid + 1, hi)).otherwise(search(lo, mid))
 
-    return search(0, n)
+    numbered = df.withColumn("_part", search(0, parts - 1))
+    numeric = isinstance(df.schema[value_col].dataType, T.NumericType)
+    if cells == 1 or not numeric:
+        return numbered.withColumnRenamed("_part", "_bucket")
+    low, high = points[F.col("_part")].cast("double"), points[F.col("_part") + 1].cast("double")
+    share = F.try_divide(v.cast("double") - low, high - low)
+    cell = F.when(share >= 1, cells - 1).when(share > 0, F.floor(share * cells)).otherwise(0)
+    return numbered.withColumn("_bucket", F.col("_part") * cells + F.least(F.lit(cells - 1), cell.cast("int"))).drop("_part")
 
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
@@ -92,17 +113,17 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
     group_cols = list(group_cols)
     if not group_cols:
         return _running_sums_global(df, value_col, count_cols, buckets, accuracy, tiebreak)
-    b = bucket_count(df, buckets)
-    if b > 1:
-        with_b = _with_bounds(df, group_cols, value_col, b, accuracy).withColumn(
-            "_bucket", _bucket(value_col, F.col("_bounds"), b - 1)).drop("_bounds")
+    parts, cells = bucket_count(df, buckets)
+    if parts > 1:
+        bounded = _with_bounds(df, group_cols, value_col, parts, accuracy)
+        with_b = _with_bucket(bounded, value_col, F.col("_bounds"), parts, cells).drop("_bounds")
     else:
         with_b = df.withColumn("_bucket", F.lit(0))
 
     # one shuffle of the rows by (group, bucket): the per-bucket totals and the
     # bucket windows both read it (the totals aggregate needs no new exchange)
-    parts = with_b.repartition(*group_cols, "_bucket")
-    per_bucket = parts.groupBy(*group_cols, "_bucket").agg(
+    dealt = with_b.repartition(*group_cols, "_bucket")
+    per_bucket = dealt.groupBy(*group_cols, "_bucket").agg(
         *[F.sum(c).alias(f"_b_{c}") for c in count_cols])
     w_off = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -113,8 +134,8 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
         *[F.sum(f"_b_{c}").over(w_tot).alias(f"tot_{c}") for c in count_cols])
 
     # offsets has groups x B rows; AQE broadcasts it when small, otherwise the join
-    # reuses the (group, bucket) partitioning of ``parts``
-    joined = parts.join(offsets, [*group_cols, "_bucket"], "left")
+    # reuses the (group, bucket) partitioning of ``dealt``
+    joined = dealt.join(offsets, [*group_cols, "_bucket"], "left")
     w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(value_col, *tiebreak).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return joined.select(
@@ -123,18 +144,20 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
         *[F.col(f"tot_{c}") for c in count_cols])
 
 
+def _bucketed(df: DataFrame, value_col: str, buckets: int | None, accuracy: int) -> tuple[DataFrame, int]:
+    """``df`` as one group with ``_bucket``, and the number of buckets; the points are literals."""
+    parts, cells = bucket_count(df, buckets)
+    points = (df.agg(_points(value_col, parts, accuracy)).first()[0] or []) if parts > 1 else []
+    if not points:
+        return df.withColumn("_bucket", F.lit(0)), 1
+    kind = df.schema[value_col].dataType
+    return _with_bucket(df, value_col, F.array(*[F.lit(x).cast(kind) for x in points]), parts, cells), parts * cells
+
+
 def _running_sums_global(df: DataFrame, value_col: str, count_cols: Sequence[str], buckets: int | None,
                          accuracy: int, tiebreak: Sequence[str]) -> DataFrame:
     """One group: bounds and bucket offsets are a few numbers, used as literals."""
-    b = bucket_count(df, buckets)
-    bounds: list = []
-    if b > 1:
-        probs = [i / b for i in range(1, b)]
-        got = df.agg(F.percentile_approx(F.col(value_col), probs, accuracy)).first()[0] or []
-        bounds = sorted(set(got))
-    bucket = _bucket(value_col, bounds, len(bounds)) if bounds else F.lit(0)
-    with_b = df.withColumn("_bucket", bucket)
-    nb = len(bounds) + 1
+    with_b, nb = _bucketed(df, value_col, buckets, accuracy)
     # at most nb rows: the per-bucket totals
     per = {r["_bucket"]: r for r in with_b.groupBy("_bucket").agg(
         *[F.sum(c).alias(c) for c in count_cols]).collect()}
@@ -167,17 +190,12 @@ def cumulative_counts(raw: DataFrame, group_cols: Sequence[str], value_col: str,
     """
     group_cols = list(group_cols)
     names = list(aggs)
-    b = bucket_count(raw, buckets)
-    probs = [i / b for i in range(1, b)]
-    if not group_cols:
-        bounds = sorted(set(raw.agg(F.percentile_approx(F.col(value_col), probs, accuracy)).first()[0] or [])) \
-            if b > 1 else []
-        rb = raw.withColumn("_bucket", _bucket(value_col, bounds, len(bounds)) if bounds else F.lit(0))
-    elif b > 1:
-        rb = _with_bounds(raw, group_cols, value_col, b, accuracy).withColumn(
-            "_bucket", _bucket(value_col, F.col("_bounds"), b - 1)).drop("_bounds")
+    if group_cols:
+        parts, cells = bucket_count(raw, buckets)
+        rb = _with_bucket(_with_bounds(raw, group_cols, value_col, parts, accuracy), value_col, F.col("_bounds"), parts,
+                          cells).drop("_bounds") if parts > 1 else raw.withColumn("_bucket", F.lit(0))
     else:
-        rb = raw.withColumn("_bucket", F.lit(0))
+        rb, _ = _bucketed(raw, value_col, buckets, accuracy)
     counts = rb.groupBy(*group_cols, "_bucket", value_col).agg(*[a.alias(n) for n, a in aggs.items()])
     per_bucket = counts.groupBy(*group_cols, "_bucket").agg(*[F.sum(n).alias(f"_b_{n}") for n in names])
     keys = group_cols or []

@@ -235,6 +235,35 @@ def stream_binned_drift(spark, sf_dir):
     return S.binned_ks(ref_bins, cur_bins, DRIFT_BINS)
 
 
+@query("stream_window_drift",
+       sql=with_views("log") + f"""
+, ref AS (SELECT processing_time_ms AS v FROM log WHERE ts < TIMESTAMP '{DRIFT_FROM}'),
+  cur AS (SELECT date_trunc('day', ts) AS ws, processing_time_ms AS v FROM log WHERE ts >= TIMESTAMP '{DRIFT_FROM}'),
+  w AS (SELECT DISTINCT ws FROM cur),
+  pts AS (SELECT ws, v, 1 AS r, 0 AS c FROM w, ref UNION ALL SELECT ws, v, 0, 1 FROM cur),
+  cdf AS (SELECT ws, v, sum(sum(r)) OVER o / sum(sum(r)) OVER (PARTITION BY ws) AS fr,
+                 sum(sum(c)) OVER o / sum(sum(c)) OVER (PARTITION BY ws) AS fc, sum(c) AS c
+          FROM pts GROUP BY ws, v WINDOW o AS (PARTITION BY ws ORDER BY v ROWS UNBOUNDED PRECEDING))
+SELECT strftime(ws, {_FMT}) AS window_start, strftime(ws + INTERVAL 1 DAY, {_FMT}) AS window_end,
+       CAST(sum(c) AS BIGINT) AS n, max(abs(fr - fc)) AS ks_exact, true AS within_error
+FROM cdf GROUP BY ws""",
+       rounded="ks_exact")
+def stream_window_drift(spark, sf_dir):
+    """Drift of every closed day's latencies against the reference half, and whether the
+    sketch's D keeps within its error of the exact one."""
+    events = table(spark, sf_dir, "events")
+    start = F.lit(DRIFT_FROM).cast("timestamp_ntz")
+    reference, live = V.log_from(events.where(F.col("ts") < start)), events.where(F.col("ts") >= start)
+    grid = S.reference_grid(reference, "processing_time_ms")
+    days = run_deliveries(lambda events: S.windowed_drift(V.log_from(events), "ts", "processing_time_ms", grid, "1 day"),
+                          {"events": _arrivals(live, "ts", None, value=0.0)}, "windowdrift")
+    day = F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd HH:mm:ss")
+    exact = S.windowed_ks(reference, V.log_from(live).withColumn("window_start", day), "processing_time_ms", "window_start")
+    return days.join(exact.select("window_start", F.col("ks").alias("ks_exact")), "window_start").select(
+        "window_start", "window_end", "n", "ks_exact",
+        (F.abs(F.col("ks") - F.col("ks_exact")) <= F.col("ks_error") + 1e-9).alias("within_error"))
+
+
 @query("stream_dedup",
        sql=with_views("log") + """
 SELECT DISTINCT request_id, ts, prediction FROM log""")

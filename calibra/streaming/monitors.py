@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from calibra.session import path_exists
-from calibra.functions.columns import erfc_pos_float, safe_div
+from calibra.functions.columns import erfc_pos_float, missing, safe_div
 from calibra.operators.quality import confidence_band, risk_score
 
 
@@ -132,6 +132,81 @@ def binned_ks(reference: DataFrame, current: DataFrame, bins: int) -> DataFrame:
                    F.first("n_reference").alias("n_reference"), F.first("n_current").alias("n_current"))
 
 
+# ---------------------------------------------------------------- T8 drift per window
+
+
+def reference_grid(reference: DataFrame, value: str, points: int = 256) -> list[tuple[float, float, float]]:
+    """(x, share of the reference <= x, share < x) at up to ``points`` of its own quantiles, exact.
+
+    Bounded by ``points``; fitted once, the grid stays fixed while the stream runs.
+    """
+    from calibra.functions.selection import order_statistics
+
+    probs = [i / (points - 1) for i in range(points)]
+    found, _ = order_statistics(reference.select(value), {value: probs})
+    grid = sorted({lower for lower, _, _ in found.get(value, {}).values()})
+    if not grid:
+        raise ValueError("the reference holds no value")
+    v = F.col(value)
+    row = reference.where(~missing(value)).agg(F.count(F.lit(1)), *[c for x in grid for c in (
+        F.count_if(v <= x), F.count_if(v < x))]).first()
+    return [(x, row[2 * i + 1] / row[0], row[2 * i + 2] / row[0]) for i, x in enumerate(grid)]
+
+
+def sketch_error(k: int) -> float:
+    """Normalised rank error (all ranks at once, 99 %) of a KLL sketch of size k that is full."""
+    return 2.446 / k ** 0.9433
+
+
+def windowed_drift(events: DataFrame, ts: str, value: str, grid: list[tuple[float, float, float]], window: str,
+                   watermark: str = "1 hour", k: int = 1024) -> DataFrame:
+    """Per event-time window ``window_start, window_end, n, ks, ks_error``.
+
+    The state of a window is one mergeable KLL sketch of its values.  ``ks`` is the greatest gap
+    between the reference's and the window's distribution at the grid; the true two-sample D lies
+    within ``ks_error`` of it: the sketch's rank error, none while the window has at most k
+    values, plus the most that the reference rises between two neighbours of the grid.
+    """
+    v = F.col(value).cast("double")
+    kept = events.where(~missing(v))
+    closed = kept.withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"))
+    xs = [x for x, _, _ in grid]
+    below = [b for _, _, b in grid]
+    upto = [u for _, u, _ in grid]
+    ranks = F.kll_sketch_get_rank_double("sketch", F.array(*[F.lit(float(x)) for x in xs]))
+    gaps = F.zip_with(ranks, F.array(*map(F.lit, upto)), lambda a, b: F.abs(a - b))
+    # what the reference may rise before, between and beyond the grid's points without being seen
+    unseen = max([below[0], 1.0 - upto[-1], *[below[i + 1] - upto[i] for i in range(len(grid) - 1)],
+                  *[u - b for u, b in zip(upto, below, strict=True)]])
+    return closed.select(
+        _fmt(F.col("w.start")).alias("window_start"), _fmt(F.col("w.end")).alias("window_end"), "n",
+        F.array_max(gaps).alias("ks"),
+        (F.lit(unseen) + F.when(F.col("n") > k, sketch_error(k)).otherwise(0.0)).alias("ks_error"))
+
+
+def windowed_ks(reference: DataFrame, current: DataFrame, value: str, by: str) -> DataFrame:
+    """The exact two-sample D of each group of ``current`` against the whole ``reference``: ``by, n, ks``.
+
+    The reference's distribution is one distributed running sum over the values of both sides, the
+    groups' are another; they meet on the value.  Between two values of a group only the
+    reference rises, so the greatest gap lies at a value of the group or just below one.
+    """
+    from calibra.functions.prefix import cumulative_counts
+
+    def values(df, side):
+        return df.where(~missing(value)).select(F.col(value).cast("double").alias("v"), F.lit(side).alias("side"))
+
+    ref = cumulative_counts(values(reference, 1).unionByName(values(current, 0)), [], "v", {"r": F.sum("side")})
+    own = cumulative_counts(current.where(~missing(value)).select(by, F.col(value).cast("double").alias("v")), [by], "v",
+                            {"c": F.count(F.lit(1))})
+    both = own.join(ref, "v")
+    share = [(F.col("cum_r") / F.col("tot_r"), F.col("cum_c") / F.col("tot_c")),
+             ((F.col("cum_r") - F.col("r")) / F.col("tot_r"), (F.col("cum_c") - F.col("c")) / F.col("tot_c"))]
+    return both.groupBy(by).agg(F.max(F.greatest(*[F.abs(a - b) for a, b in share])).alias("ks"),
+                                F.first("tot_c").alias("n"))
+
+
 # ---------------------------------------------------------------- T6 sequential A/B
 
 SEQ_STATE_SCHEMA = T.StructType([
