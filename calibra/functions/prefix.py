@@ -95,6 +95,18 @@ def _with_bucket(df: DataFrame, value_col: str, points: F.Column, parts: int, ce
     return numbered.withColumn("_bucket", F.col("_part") * cells + F.least(F.lit(cells - 1), cell.cast("int"))).drop("_part")
 
 
+def with_buckets(df: DataFrame, group_cols: Sequence[str], value_col: str, buckets: int | None = None,
+                 accuracy: int = 10000) -> DataFrame:
+    """``df`` with ``_bucket``: about equally many rows of a group each, in the order of the value."""
+    parts, cells = bucket_count(df, buckets)
+    if parts == 1:
+        return df.withColumn("_bucket", F.lit(0))
+    if not group_cols:
+        return _bucketed(df, value_col, buckets, accuracy)[0]
+    bounded = _with_bounds(df, list(group_cols), value_col, parts, accuracy)
+    return _with_bucket(bounded, value_col, F.col("_bounds"), parts, cells).drop("_bounds")
+
+
 def running_sums(df: DataFrame, group_cols: Sequence[str], value_col: str,
                  count_cols: Sequence[str], buckets: int | None = None,
                  accuracy: int = 10000, tiebreak: Sequence[str] = ()) -> DataFrame:

@@ -33,10 +33,17 @@ def routed(df: DataFrame, arm: Column, label: str, pred_a: str, pred_b: str,
 
 
 def arm_metrics(r: DataFrame, buckets: int | None = None) -> DataFrame:
-    """A1: metrics per arm: accuracy, precision, recall, f1_score, roc_auc, confusion, size."""
+    """A1: metrics per arm: accuracy, precision, recall, f1_score, roc_auc, confusion, size.
+
+    Both arms always have a row; an arm without requests has zeros and an AUC of 0.5.
+    """
     s = M.evaluation_summary(r, "y_true", "y_pred", "score", ["arm"], buckets)
-    return s.select("arm", "accuracy", "precision", "recall", F.col("f1").alias("f1_score"), "roc_auc",
-                    "tn", "fp", "fn", "tp", F.col("n").alias("sample_size"))
+    found = s.select("arm", "accuracy", "precision", "recall", F.col("f1").alias("f1_score"), "roc_auc",
+                     "tn", "fp", "fn", "tp", F.col("n").alias("sample_size"))
+    arms = r.sparkSession.createDataFrame([("A",), ("B",)], "arm string")
+    empty = {"roc_auc": 0.5}
+    return arms.join(found, "arm", "left").select("arm", *[
+        F.coalesce(F.col(c), F.lit(empty.get(c, 0)).cast(found.schema[c].dataType)).alias(c) for c in found.columns[1:]])
 
 
 def _pivot_arms(am: DataFrame, cols: list[str]) -> DataFrame:
@@ -69,7 +76,7 @@ def compare_arms(am: DataFrame) -> DataFrame:
 def significance(am: DataFrame, alpha: float = 0.05) -> DataFrame:
     """A3: z = (F1_B - F1_A) / sqrt(sum f(1-f)/n), two-sided normal p.
 
-    se = 0 gives z = 0; an empty arm gives NULL (the reference divides by zero).
+    se = 0 gives z = 0; an empty arm gives NULL (there is nothing to divide by).
     """
     w = _pivot_arms(am, ["f1_score", "sample_size"])
     fa, fb = F.col("f1_score_a"), F.col("f1_score_b")
@@ -98,27 +105,53 @@ def simple_decision(r: DataFrame) -> DataFrame:
                     F.when(imp == inf, F.lit(True)).otherwise(F.abs(imp) > 2.0).alias("significant"))
 
 
-def sequential_batches(r: DataFrame, order_key: str, batch_size: int = 100,
-                       min_samples: int = 1000, confidence: float = 0.95,
-                       buckets: int | None = None) -> DataFrame:
-    """A5: cumulative correct/total per arm after each batch of ``batch_size`` rows
-    in ``order_key`` order (unique key), with z/p once both arms reach
-    ``min_samples``; rows up to the first significant batch are kept.
-
-    Both the row rank and the running totals over batches are distributed
-    prefix sums, so no step puts all rows (or all batches) in one task.
-    """
+def _batches(r: DataFrame, order_key: str, batch_size: int, buckets: int | None) -> DataFrame:
+    """Samples and per-arm sums of every batch, one row each; rank and sums are distributed."""
     ranked = running_sums(r.withColumn("_one", F.lit(1)), [], order_key, ["_one"], buckets=buckets)
     batch = F.floor((F.col("cum__one") - 1) / F.lit(batch_size)).cast("bigint") + 1
     correct = (F.col("y_true") == F.col("y_pred")).cast("int")
-    per = ranked.groupBy(batch.alias("batch")).agg(
+    return ranked.groupBy(batch.alias("batch")).agg(
         F.count(F.lit(1)).alias("samples"),
         F.sum(F.when(F.col("arm") == "A", correct).otherwise(0)).cast("bigint").alias("a_correct"),
         F.sum(F.when(F.col("arm") == "B", correct).otherwise(0)).cast("bigint").alias("b_correct"),
         F.count_if(F.col("arm") == "A").alias("a_n"),
         F.count_if(F.col("arm") == "B").alias("b_n"))
-    # one row per batch of rows: small, and reused by every later step -> cut the lineage here
-    per = cut_lineage(per)
+
+
+def sequential_batches(r: DataFrame, order_key: str, batch_size: int = 100,
+                       min_samples: int = 1000, confidence: float = 0.95,
+                       buckets: int | None = None, report: dict | None = None) -> DataFrame:
+    """A5: cumulative correct/total per arm after each batch of ``batch_size`` rows
+    in ``order_key`` order (unique numeric key), with z/p once both arms reach
+    ``min_samples``.
+
+    Early stopping saves the work: the batches are those of the rows below a cut of
+    the key, and the cut moves up the key's quantiles, doubling the rows, until a batch is
+    significant or the table is exhausted.  Which quantile sketch places the cuts does not matter, since
+    the rows below a cut are ranked exactly and a last, incomplete batch is left out.
+    Batches after the first significant one are not all there.  ``report`` receives
+    the rows of the table and those that were ranked.
+    """
+    halves = [2.0 ** -i for i in range(40, 0, -1)]
+    total, at = r.agg(F.count(F.lit(1)), F.percentile_approx(order_key, halves, 10000)).first()
+    least = max(4 * min_samples, 20 * batch_size)
+    cuts = [x for share, x in zip(halves, at or [], strict=False) if least <= share * total]
+    for cut in [*sorted(set(cuts)), None]:
+        part = r if cut is None else r.where(F.col(order_key) <= F.lit(cut))
+        # one row per batch of rows: small, and reused by every later step -> cut the lineage here
+        per = cut_lineage(_batches(part, order_key, batch_size, buckets))
+        if cut is not None:
+            per = per.where(F.col("samples") == batch_size)
+        out = _judged_batches(per, min_samples, confidence, buckets)
+        if report is not None:
+            report.update(table=total, ranked=report.get("ranked", 0) + (total if cut is None else part.count()))
+        if cut is None or not out.where("significant").isEmpty():
+            return out
+    raise AssertionError("unreachable")
+
+
+def _judged_batches(per: DataFrame, min_samples: int, confidence: float, buckets: int | None) -> DataFrame:
+    """Running rates, z and p after every batch."""
     cum = running_sums(per, [], "batch", ["a_correct", "b_correct", "a_n", "b_n"], buckets=buckets)
     ta, tb = F.col("cum_a_n"), F.col("cum_b_n")
     ra = safe_div(F.col("cum_a_correct"), ta)
@@ -127,7 +160,7 @@ def sequential_batches(r: DataFrame, order_key: str, batch_size: int = 100,
                      ta.alias("total_a"), tb.alias("total_b"))
     ra, rb = F.col("rate_a"), F.col("rate_b")
     ta, tb = F.col("total_a"), F.col("total_b")
-    se =F.sqrt(F.try_divide(ra * (1 - ra), ta.cast("double")) + F.try_divide(rb * (1 - rb), tb.cast("double")))
+    se = F.sqrt(F.try_divide(ra * (1 - ra), ta.cast("double")) + F.try_divide(rb * (1 - rb), tb.cast("double")))
     eligible = (ta >= min_samples) & (tb >= min_samples)
     z = F.when(eligible, F.when(se > 0, (rb - ra) / se).otherwise(F.lit(0.0)))
     p = norm_two_sided_p(z)

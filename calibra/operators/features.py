@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
@@ -138,6 +139,54 @@ def covariance_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return upper.unionByName(lower)
 
 
+def block_moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, population covariance) of numeric columns, or of one array column.
+
+    Every task multiplies its Arrow batches as numpy blocks and keeps one d x d sum; the tasks'
+    sums are added up cell by cell in Spark, and d + d x d numbers reach the driver.
+    Values are shifted by the first row, so large means do not swallow small variances.
+    """
+    array = len(cols) == 1 and df.schema[cols[0]].dataType.typeName() == "array"
+    x = F.col(cols[0]).cast("array<double>") if array else F.array(*[F.col(c).cast("double") for c in cols])
+    rows = df.select(x.alias("x"))
+    one = rows.first()
+    if one is None:
+        return 0, np.zeros(len(cols)), np.zeros((len(cols), len(cols)))
+    shift = np.nan_to_num(np.array([v if v is not None else 0.0 for v in one[0]], dtype=np.float64))
+    d = len(shift)
+
+    def work(batches):
+        n, total, gram = 0, np.zeros(d), np.zeros((d, d))
+        for b in batches:
+            flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            if len(flat) != b.num_rows * d:
+                raise ValueError(f"every row needs {d} values")
+            for lo in range(0, b.num_rows, 4096):
+                block = flat[lo * d:(lo + 4096) * d].reshape(-1, d) - shift
+                n, total, gram = n + len(block), total + block.sum(0), gram + block.T @ block
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.append(total, gram.ravel()).tolist()])],
+                                             names=["n", "sums"])
+
+    parts = rows.mapInArrow(work, "n long, sums array<double>")
+    sums = parts.select("n", F.posexplode("sums").alias("i", "s")).groupBy("i").agg(
+        F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    n, flat = sums[0]["n"], np.zeros(d + d * d)
+    for r in sums:
+        flat[r["i"]] = r["s"]
+    mean = flat[:d] / n
+    return n, mean + shift, flat[d:].reshape(d, d) / n - np.outer(mean, mean)
+
+
+def block_covariance(df: DataFrame, cols: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+    """``feature_i, feature_j, covariance`` from :func:`block_moments`."""
+    _, _, cov = block_moments(df, cols)
+    names = list(names or (cols if len(cov) == len(cols) else [f"{cols[0]}_{i}" for i in range(len(cov))]))
+    return df.sparkSession.createDataFrame(
+        [(a, b, float(cov[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)],
+        "feature_i string, feature_j string, covariance double")
+
+
 class _PCAParams(HasInputCols):
     k = Param(Params._dummy(), "k", "number of components (0 = by variance threshold)",
               typeConverter=TypeConverters.toInt)
@@ -153,8 +202,8 @@ class _PCAParams(HasInputCols):
 class CenteredPCA(Estimator, _PCAParams, DefaultParamsReadable, DefaultParamsWritable):
     """PCA on centred data (``pyspark.ml.feature.PCA`` does not centre).
 
-    One aggregation pass builds the d x d covariance; the eigen-decomposition of
-    that small matrix runs on the driver.  Sign rule: the largest-|loading| entry
+    One pass of block products builds the d x d covariance (missing values are an
+    error); the eigen-decomposition of that small matrix runs on the driver.  Sign rule: the largest-|loading| entry
     of every component is positive.  ``k=0`` picks the smallest k whose
     cumulative ratio reaches ``varianceThreshold`` (all d if none does).
     """
@@ -168,14 +217,10 @@ class CenteredPCA(Estimator, _PCAParams, DefaultParamsReadable, DefaultParamsWri
     def _fit(self, df: DataFrame) -> CenteredPCAModel:
         cols = list(self.getOrDefault("inputCols"))
         d = len(cols)
-        assert_no_missing(df, cols)
-        row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                     *[F.covar_pop(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols)
-                       for j, b in enumerate(cols) if j >= i]).first()
-        cov = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                cov[i, j] = cov[j, i] = row[f"c_{i}_{j}"]
+        n, means, cov = block_moments(df, cols)
+        if not n:
+            raise ValueError("PCA needs at least one row")
+        raise_missing({c: int(np.isnan(m)) for c, m in zip(cols, means, strict=True)})
         vals, vecs = np.linalg.eigh(cov)
         order = np.argsort(vals)[::-1]
         vals, vecs = np.clip(vals[order], 0, None), vecs[:, order]
@@ -190,7 +235,7 @@ class CenteredPCA(Estimator, _PCAParams, DefaultParamsReadable, DefaultParamsWri
             hit = np.nonzero(cum >= self.getOrDefault("varianceThreshold") - 1e-12)[0]
             k = int(hit[0]) + 1 if hit.size else d
         m = CenteredPCAModel()
-        m._set(inputCols=cols, k=int(k), means=[float(row[f"m_{c}"]) for c in cols],
+        m._set(inputCols=cols, k=int(k), means=[float(m) for m in means],
                components=[float(x) for x in vecs[:, :k].T.ravel()], explained=[float(x) for x in ratio])
         return m
 

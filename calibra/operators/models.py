@@ -12,6 +12,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -158,6 +159,60 @@ def score_with(df: DataFrame, fn: Callable[[pd.DataFrame], tuple], cols: Sequenc
     return df.select(*dict.fromkeys([*keep, *cols])).mapInPandas(run, schema)
 
 
+def margins(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and the raw margin of class 1."""
+    return model.transform(df).select(*keep, vector_to_array("rawPrediction")[1].alias("margin"))
+
+
+def fit_platt(scored: DataFrame, label: str, margin: str = "margin") -> tuple[float, float]:
+    """(a, b) of P(class 1) = 1 / (1 + exp(-(a margin + b))), Platt's smoothed targets.
+
+    A positive row counts as positive with (n+ + 1) / (n+ + 2), a negative one with 1 / (n- + 2):
+    every row enters once per class with these weights, and the two numbers are fitted by
+    an unpenalised logistic regression, which iterates over partial sums.
+    """
+    y = F.col(label) == 1
+    pos, neg = scored.agg(F.count_if(y), F.count_if(~y)).first()
+    up = F.when(y, (pos + 1.0) / (pos + 2.0)).otherwise(1.0 / (neg + 2.0))
+    rows = scored.select(margin, F.explode(F.array(
+        F.struct(F.lit(1.0).alias("y"), up.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - up).alias("w")))).alias("e"))
+    table = VectorAssembler(inputCols=[margin], outputCol="x").transform(rows.select(margin, "e.y", "e.w"))
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=0.0, standardization=False,
+                               maxIter=200, tol=1e-10).fit(table)
+    return float(model.coefficients[0]), float(model.intercept)
+
+
+def fit_calibrated_svm(df: DataFrame, features: Sequence[str], label: str, fold_col: str,
+                       weight_col: str | None = "weight", **params) -> tuple[PipelineModel, tuple[float, float]]:
+    """M4: a linear SVM and its probability scale, cross-fitted.
+
+    For every fold an SVM of the other folds gives the margins of its rows, so the scale is fitted on
+    margins of rows that no model has seen; the model itself is fitted on all rows.
+    """
+    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    if len(folds) < 2:
+        raise ValueError("cross-fitting needs at least two folds")
+    parts = []
+    for f in folds:
+        model = fit_model(df.where(F.col(fold_col) != f), features, label, "svm", weight_col, **params)
+        parts.append(margins(model, df.where(F.col(fold_col) == f), [label]))
+    # the margins are read in every iteration of the fit
+    out = reduce(DataFrame.unionByName, parts).persist()
+    try:
+        scale = fit_platt(out, label)
+    finally:
+        out.unpersist()
+    return fit_model(df, features, label, "svm", weight_col, **params), scale
+
+
+def calibrated_scores(model: PipelineModel, scale: tuple[float, float], df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """M13 for a calibrated SVM: prediction at 0.5, probability, confidence band, risk score."""
+    z = F.col("margin") * scale[0] + scale[1]
+    p = 1.0 / (1.0 + F.exp(-z))
+    return margins(model, df, keep).select(*keep, (p >= 0.5).cast("int").alias("prediction"), p.alias("probability")).withColumns({
+        "confidence": confidence_band("probability"), "risk_score": risk_score("probability")})
+
+
 def evaluate(pred: DataFrame, label: str) -> dict:
     """Weighted F1 and accuracy of a prediction frame (two small aggregates)."""
     ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction")
@@ -187,8 +242,12 @@ def grid(kind: str, est, values: Mapping[str, Sequence]) -> list:
     return b.build()
 
 
-def random_grid(kind: str, est, n_trials: int = 50, seed: int = 42) -> list:
-    """M9: seeded random search over the reference's ranges (log-uniform C)."""
+def random_grid(kind: str, est, n_trials: int = 50, seed: int = 42, n: int = 1) -> list:
+    """M9: seeded random search over the reference's ranges (log-uniform C).
+
+    ``n`` is the row weight of the training data: C multiplies an un-averaged loss, so Spark's
+    penalty is 1 / (C n).
+    """
     rng = random.Random(seed)
     maps = []
     for _ in range(n_trials):
@@ -197,16 +256,20 @@ def random_grid(kind: str, est, n_trials: int = 50, seed: int = 42) -> list:
                          est.minInstancesPerNode: rng.randint(1, 4)})
         elif kind == "logistic_regression":
             c = 10 ** rng.uniform(-2, 2)
-            maps.append({est.regParam: 1.0 / c, est.elasticNetParam: rng.choice([0.0, 1.0])})
+            maps.append({est.regParam: 1.0 / (c * max(1, n)), est.elasticNetParam: rng.choice([0.0, 1.0])})
         else:
             raise ValueError(f"random search not supported for {kind}")
     return maps
 
 
 def tune(train: DataFrame, features: Sequence[str], label: str, kind: str, param_maps: list | None = None,
-         fold_col: str = "fold", parallelism: int = 2, values: Mapping[str, Sequence] | None = None):
-    """M8/M9: CrossValidator on a stratified fold column, scored by the F1 of class 1."""
-    est = make_estimator(kind, label, **({"n": row_weight(train)} if kind in PENALISED else {}))
+         fold_col: str = "fold", parallelism: int = 2, values: Mapping[str, Sequence] | None = None, est=None):
+    """M8/M9: CrossValidator on a stratified fold column, scored by the F1 of class 1.
+
+    ``param_maps`` belong to ``est``, the estimator that they were made for.
+    """
+    if est is None:
+        est = make_estimator(kind, label, **({"n": row_weight(train)} if kind in PENALISED else {}))
     maps = param_maps if param_maps is not None else grid(kind, est, values or {})
     asm = VectorAssembler(inputCols=list(features), outputCol="features")
     # Folds are a deterministic function of the key, so a lost cached block is

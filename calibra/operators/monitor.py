@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.functions.columns import safe_div
+from calibra.functions.columns import missing, safe_div
+from calibra.functions.prefix import with_buckets
 from calibra.operators import metrics as M
 from calibra.operators.quality import confidence_band
 
@@ -94,34 +95,49 @@ def service_metrics(log: DataFrame, by: Sequence[str] = (), error: Column | None
 
 def rolling_latency(log: DataFrame, partition: Sequence[str], order: Sequence[str],
                     latency: str = "processing_time_ms", last: int = 100,
-                    scale: int | None = None) -> DataFrame:
-    """Mean of the last ``last`` response times at every request.
-
-    A rows-frame window per (endpoint, day) would put a hot endpoint-day in one
-    task.  Instead the row rank and the running sum inside each partition come
-    from distributed prefix sums (bucketed by time, ties broken by ``order``),
-    and the sum of the last ``last`` rows is ``S(r) - S(r - last)``: an
-    equi-join of the prefix table with itself shifted by ``last`` ranks.
+                    scale: int | None = None, buckets: int | None = None) -> DataFrame:
+    """Mean of the last ``last`` response times of its endpoint at every request.
+
+    A rows-frame window per endpoint would put a hot endpoint in one task.  Instead an
+    endpoint's requests are cut into time buckets of about equal size, and every bucket
+    gets a halo: the ``last - 1`` requests before it, copied across its border (from
+    several buckets where those in between hold few).  The window then runs inside each bucket.  Halos come
+    from the last requests of every bucket, found by a partial group limit, and from
+    the buckets' counts.
+
     With ``scale`` (e.g. 100 for values recorded to 0.01 ms) the sums run on
     exact integers, so the mean does not depend on the summation order.
     ``order`` starts with the timestamp column; the rest break ties.
     """
-    from calibra.functions.prefix import running_sums
-
-    ts, tiebreak = order[0], list(order[1:])
+    ts, keys = order[0], list(partition)
     units = (F.round(F.col(latency) * scale).cast("bigint") if scale is not None
              else F.col(latency).cast("double"))
     tt = log.schema[ts].dataType.typeName()
     tnum = F.unix_micros(F.col(ts).cast("timestamp")) if tt.startswith("timestamp") else F.col(ts)
-    base = log.select(*partition, *order, latency, tnum.alias("_t"),
-                      F.lit(1).alias("_one"), units.alias("_u"))
-    cum = running_sums(base, list(partition), "_t", ["_one", "_u"], tiebreak=[ts, *tiebreak])
-    prev = cum.select(*partition, (F.col("cum__one") + last).alias("cum__one"), F.col("cum__u").alias("_prev"))
-    j = cum.join(prev, [*partition, "cum__one"], "left")
-    n = F.least(F.col("cum__one"), F.lit(last))
-    total = F.col("cum__u") - F.coalesce(F.col("_prev"), F.lit(0))
-    avg = total / (n * float(scale if scale is not None else 1))
-    return j.select(*partition, *order, latency, avg.alias("rolling_avg_ms"))
+    base = with_buckets(log.select(*keys, *order, latency, tnum.alias("_t"), units.alias("_u")), keys, "_t", buckets)
+    in_bucket = Window.partitionBy(*keys, "_bucket")
+    # per bucket: requests before it, and for the buckets behind it the same, as many as a halo may reach
+    counts = base.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.partitionBy(*keys).orderBy("_bucket")
+    sized = counts.withColumn("_before", F.sum("_n").over(line) - F.col("_n"))
+    behind = sized.withColumn("_behind", F.collect_list(F.struct("_bucket", "_before")).over(line.rowsBetween(1, max(1, last - 1))))
+    tails = base.withColumn("_r", F.row_number().over(in_bucket.orderBy(*[F.col(c).desc() for c in order]))).where(
+        F.col("_r") < last)
+    same = [tails[c].eqNullSafe(behind[c]) for c in [*keys, "_bucket"]]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    placed = tails.join(behind.drop("_n", "_before"), on).where(F.size("_behind") > 0).select(
+        *[tails[c] for c in base.columns], "_behind", "_r", F.col("_behind")[0]["_before"].alias("_end"))
+    # a request of overall place g is in the halo of every bucket that begins less than ``last`` places on
+    place = F.col("_end") - F.col("_r") + 1
+    halo = placed.withColumn(
+        "_to", F.explode(F.filter("_behind", lambda b: b["_before"] < place + last - 1))) \
+        .select(*[F.col("_to._bucket").alias(c) if c == "_bucket" else F.col(c) for c in base.columns], F.lit(True).alias("_halo"))
+    both = base.withColumn("_halo", F.lit(False)).unionByName(halo)
+    frame = in_bucket.orderBy(*order).rowsBetween(-(last - 1), Window.currentRow)
+    avg = F.sum("_u").over(frame) / (F.count(F.lit(1)).over(frame) * float(scale if scale is not None else 1))
+    return both.withColumn("rolling_avg_ms", avg).where(~F.col("_halo")).select(*keys, *order, latency, "rolling_avg_ms")
 
 
 def daily_predictions(log: DataFrame, ts: str = "ts", pred: str = "prediction") -> DataFrame:
@@ -137,6 +153,21 @@ def risk_histogram(log: DataFrame, prob: str = "score", bins: int = 50) -> DataF
     return log.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def time_histogram(log: DataFrame, latency: str = "processing_time_ms", bins: int = 30) -> DataFrame:
+    """Histogram of processing times with ``bins`` equal bins from the least to the greatest:
+    ``bin, lower, upper, count``.  Missing values are left out; one value fills bin 0 of width 0."""
+    v = F.col(latency)
+    kept = log.where(~missing(latency))
+    low, high = kept.agg(F.min(v), F.max(v)).first()
+    if low is None:
+        return kept.groupBy(F.lit(0).alias("bin"), F.lit(0.0).alias("lower"), F.lit(0.0).alias("upper")).agg(
+            F.count(F.lit(1)).alias("count"))
+    width = (high - low) / bins
+    b = F.least(F.floor(F.try_divide(v - low, F.lit(width))), F.lit(bins - 1)) if width else F.lit(0)
+    return kept.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count")).select(
+        "bin", (F.lit(low) + F.col("bin") * width).alias("lower"), (F.lit(low) + (F.col("bin") + 1) * width).alias("upper"), "count")
+
+
 def confidence_counts(log: DataFrame, prob: str = "score", closed: str = "left") -> DataFrame:
     """Counts per confidence band."""
     return log.groupBy(confidence_band(prob, closed=closed).alias("confidence")).agg(

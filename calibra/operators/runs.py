@@ -12,11 +12,14 @@ equi-join on ``run_id``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibra.session import remove_path
+
 NO_STAGE = "None"
 
 
@@ -130,11 +133,93 @@ def promote_latest(versions: DataFrame, to_stage: str = "Staging") -> DataFrame:
                       "creation_timestamp")
 
 
+def set_tags(versions: DataFrame, chosen: Column, tags: dict[str, str | None]) -> DataFrame:
+    """Versions with ``tags`` (map) merged where ``chosen``: a value sets its tag, None clears it,
+    tags that are not named stay.  A table without a ``tags`` column gets one."""
+    now = F.col("tags") if "tags" in versions.columns else F.create_map().cast("map<string,string>")
+    now = F.coalesce(now, F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(now, lambda k, _: ~k.isin(list(tags)))
+    new = F.create_map(*[F.lit(x) for k, v in tags.items() if v is not None for x in (k, v)]).cast("map<string,string>")
+    return versions.withColumn("tags", F.when(F.coalesce(chosen, F.lit(False)), F.map_concat(kept, new)).otherwise(now))
+
+
+def mark_retraining(versions: DataFrame, should_retrain: bool, reasons: Sequence[str] = ()) -> DataFrame:
+    """The newest production version of every model says that it needs retraining, and why; when it
+    does not, both tags are cleared.  Other versions and tags stay as they are."""
+    newest = versions.where(F.col("current_stage") == "Production").groupBy("name").agg(
+        F.max("version").alias("_newest"))
+    marked = versions.join(newest, "name", "left")
+    tags = {"retraining_needed": "true" if should_retrain else None,
+            "retraining_reasons": ", ".join(reasons) if should_retrain else None}
+    return set_tags(marked, F.col("version") == F.col("_newest"), tags).drop("_newest")
+
+
 def flag_production(versions: DataFrame, should_retrain: bool) -> DataFrame:
-    """Tag production versions with the retraining decision (a scalar)."""
+    """Production versions with the retraining decision (a scalar) as one more tag."""
     prod = versions.where(F.col("current_stage") == "Production")
-    tags = F.create_map(F.lit("needs_retraining"), F.lit("true" if should_retrain else "false"))
-    return prod.select("name", "version", "run_id", F.to_json(tags).alias("tags"))
+    tagged = set_tags(prod, F.lit(True), {"needs_retraining": "true" if should_retrain else "false"})
+    return tagged.select("name", "version", "run_id", F.to_json("tags").alias("tags"))
+
+
+class RegistryConflict(RuntimeError):
+    """Another writer committed a newer snapshot first."""
+
+
+class VersionRegistry:
+    """The table of model versions as numbered snapshots in one folder.
+
+    A change reads the newest snapshot, writes the whole new table beside it and commits it by
+    renaming its folder to the next number.  The rename fails when that number exists, so of
+    two writers that began from the same snapshot one gets a :class:`RegistryConflict`; ``update``
+    applies the change again to what the other one committed.  Readers only ever see
+    whole snapshots.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _files(self):
+        jvm = self.spark._jvm
+        return jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            jvm.org.apache.hadoop.fs.Path(self.path).toUri(), self.spark._jsc.hadoopConfiguration())
+
+    def latest(self) -> int:
+        """Number of the newest snapshot; 0 when there is none."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return 0
+        names = [f.getPath().getName() for f in fs.listStatus(at)]
+        return max((int(n[9:]) for n in names if n.startswith("snapshot-")), default=0)
+
+    def read(self, number: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/snapshot-{self.latest() if number is None else number:09d}")
+
+    def commit(self, table: DataFrame, base: int) -> int:
+        """Make ``table`` snapshot ``base + 1``; raises :class:`RegistryConflict` if there is one."""
+        draft = f"{self.path}/draft-{uuid.uuid4().hex}"
+        table.write.parquet(draft)
+        path, options = self.spark._jvm.org.apache.hadoop.fs.Path, self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        none = self.spark.sparkContext._gateway.new_array(options, 0)
+        try:
+            self._files().rename(path(draft), path(f"{self.path}/snapshot-{base + 1:09d}"), none)
+        except Exception as e:
+            remove_path(self.spark, draft)
+            if "FileAlreadyExists" in str(e):
+                raise RegistryConflict(f"snapshot {base + 1} is already there") from e
+            raise
+        return base + 1
+
+    def update(self, change: Callable[[DataFrame], DataFrame], attempts: int = 10) -> int:
+        """Commit ``change`` of the newest snapshot, again and again while others commit first."""
+        for _ in range(attempts):
+            base = self.latest()
+            try:
+                return self.commit(change(self.read(base)), base)
+            except RegistryConflict:
+                continue
+        raise RegistryConflict(f"no commit in {attempts} attempts")
 
 
 def register_version(versions: DataFrame, name: str, run_id: int, created: Column) -> DataFrame:

@@ -264,16 +264,15 @@ def service_metrics(spark, sf_dir):
 
 @query("rolling_latency",
        sql=with_views("log") + """
-SELECT event_type, CAST(ts AS DATE) AS day, ts, request_id, processing_time_ms,
+SELECT event_type, ts, request_id, processing_time_ms,
        sum(CAST(round(processing_time_ms * 100) AS BIGINT)) OVER w / (count(*) OVER w * 100.0) AS rolling_avg_ms
 FROM log
-WINDOW w AS (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, request_id
+WINDOW w AS (PARTITION BY event_type ORDER BY ts, request_id
              ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""",
        rounded="processing_time_ms", exact="rolling_avg_ms")
 def rolling_latency(spark, sf_dir):
-    """Mean of the last 100 response times per endpoint and day."""
-    lg = V.log(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    return MON.rolling_latency(lg, ["event_type", "day"], ["ts", "request_id"], scale=100)
+    """Mean of the last 100 response times per endpoint, across midnight too."""
+    return MON.rolling_latency(V.log(spark, sf_dir), ["event_type"], ["ts", "request_id"], scale=100)
 
 
 @query("daily_predictions",
@@ -293,6 +292,17 @@ def risk_histogram(spark, sf_dir):
     return MON.risk_histogram(V.log(spark, sf_dir))
 
 
+@query("time_histogram",
+       sql=with_views("log") + """
+, r AS (SELECT min(processing_time_ms) AS lo, (max(processing_time_ms) - min(processing_time_ms)) / 30 AS width FROM log),
+  b AS (SELECT CAST(least(floor((processing_time_ms - lo) / width), 29) AS INTEGER) AS bin, lo, width FROM log, r)
+SELECT bin, lo + bin * width AS lower, lo + (bin + 1) * width AS upper, count(*) AS count FROM b GROUP BY bin, lo, width""",
+       rounded="lower upper")
+def time_histogram(spark, sf_dir):
+    """30-bin histogram of processing times."""
+    return MON.time_histogram(V.log(spark, sf_dir))
+
+
 @query("confidence_counts",
        sql=with_views("log") + """
 SELECT CASE WHEN score < 0.3 THEN 'low' WHEN score < 0.7 THEN 'medium' ELSE 'high' END AS confidence,

@@ -261,18 +261,44 @@ def robust_scale(spark, sf_dir):
     return FE.RobustScaler(V.TX_FEATURES).fit(t).transform(t)
 
 
-_COV_COLS = ["l_quantity", "l_discount", "l_tax"]
+#: prices in thousands, so that six decimals of every covariance are sure
+_THOUSANDS = "l_extendedprice"
 
 
 @query("covariance_matrix",
-       sql=with_views("tx") + """
+       sql=with_views("tx") + f"""
+, t AS (SELECT * REPLACE ({_THOUSANDS} / 1000 AS {_THOUSANDS}) FROM tx)
 SELECT feature_i, feature_j, covariance FROM (
-""" + " UNION ALL ".join(f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, covar_pop({a}, {b}) AS covariance FROM tx"
-                         for a in _COV_COLS for b in _COV_COLS) + ")",
+""" + " UNION ALL ".join(f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, covar_pop({a}, {b}) AS covariance FROM t"
+                         for a in V.TX_FEATURES for b in V.TX_FEATURES) + ")",
        rounded="covariance")
 def covariance_matrix(spark, sf_dir):
-    """population covariance matrix of three transaction features."""
-    return FE.covariance_long(V.tx(spark, sf_dir), _COV_COLS)
+    """population covariance matrix of the transaction features."""
+    t = V.tx(spark, sf_dir).withColumn(_THOUSANDS, F.col(_THOUSANDS) / 1000)
+    return FE.covariance_long(t, V.TX_FEATURES)
+
+
+@query("embedding_covariance",
+       sql=with_views("imbalanced") + """
+, m AS (SELECT unnest(range(64)) AS i),
+  x AS (SELECT vec_id, i, features[i + 1] AS v FROM imbalanced, m)
+SELECT 'features_' || a.i AS feature_i, 'features_' || b.i AS feature_j,
+       CASE WHEN abs(covar_pop(a.v, b.v)) < 5e-7 THEN 0.0 ELSE covar_pop(a.v, b.v) END AS covariance
+FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.i, b.i""",
+       rounded="covariance")
+def embedding_covariance(spark, sf_dir):
+    """covariance of all 64 dimensions of the embeddings, from block products."""
+    cov = FE.block_covariance(V.imbalanced(spark, sf_dir), ["features"])
+    # engines differ in the sign of a rounded zero
+    return cov.withColumn("covariance", F.when(F.abs("covariance") < 5e-7, 0.0).otherwise(F.col("covariance")))
+
+
+@query("embedding_pca")
+def embedding_pca(spark, sf_dir):
+    """explained variance of every component of the 64-dimensional embeddings."""
+    names = [f"e{i}" for i in range(64)]
+    wide = V.imbalanced(spark, sf_dir).select(*[F.col("features")[i].alias(n) for i, n in enumerate(names)])
+    return FE.CenteredPCA(names, varianceThreshold=0.95).fit(wide).explained_variance(spark)
 
 
 def _pca(spark, sf_dir, k=0):
