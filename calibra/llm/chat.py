@@ -124,12 +124,12 @@ def format_turns(rows: DataFrame) -> DataFrame:
                  pa.array(out["mask_end"], pa.int64())],
                 names=["conv_id", "turn", "seq_role", "seq_text", "segment", "mask_start", "mask_end"])
 
-    source = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
+    source = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                          F.col("text").cast("string").alias("text"),
-                         F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_key"))
     kind = source.schema["conv_id"].dataType.simpleString()
     return source.mapInArrow(
-        render, f"conv_id {kind}, turn long, seq_role string, seq_text long, segment string, "
+        render, f"conv_id {kind}, turn long, seq_role string, seq_text string, segment string, "
                 "mask_start long, mask_end long")
 
 

@@ -133,6 +133,10 @@ def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
+#: different labels that may be learned; each brings at most 1 / MIN_SHARE n-grams to the driver
+MAX_LANGUAGES = 512
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
           per_language: int = DOCS_PER_LANGUAGE, min_share: float = MIN_SHARE) -> LanguageFilter:
     """Learn the filter from at most about ``per_language`` documents of each language.
@@ -140,11 +144,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     The sample is taken by a hash of the id against a rate from the exact
     document count of the language; n-gram counts are combined per task before
     the shuffle.  What reaches the driver are the n-grams that make up at least
-    ``min_share`` of a language's: at most 1 / min_share per language.
+    ``min_share`` of a language's: at most 1 / min_share per language.  A language of
+    fewer n-grams than that enters with all of them.  More than ``MAX_LANGUAGES``
+    different labels are an error.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"column {lang_col} holds more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in found}
     if not sizes:
         return LanguageFilter.build({})
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
@@ -165,7 +174,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     counts = map_batches(sample.select("lang", "text"), count, "lang string, gram long, n long") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     per_lang = counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()
-    least = F.create_map(*[F.lit(x) for r in per_lang for x in (r["lang"], max(2.0, min_share * r["n"]))]) \
+    least = F.create_map(*[F.lit(x) for r in per_lang for x in (r["lang"], min_share * r["n"])]) \
         if per_lang else None
     members: dict[str, list[int]] = {lang: [] for lang in sizes}
     if least is not None:

@@ -326,10 +326,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents that stay: one of each group, with all their columns."""
-    name = free_name(docs, "gone")
-    gone = near_duplicates(docs, id_col, text_col, **kw).where(~F.col("kept")) \
-        .select(F.col("doc_id").alias(name)).distinct()
-    if gone.count() * 16 <= BROADCAST_BYTES:
+    """The documents that stay: one of each group, with all their columns.
+
+    A document is its id and its text: of rows with one id and different texts each is judged by
+    its own text.  Rows that equal another in both stay together.
+    """
+    name, digest = free_name(docs, "gone"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    # the smallest id stays, and of one id's texts that with the smallest digest
+    pairs = docs.select(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), digest.alias("text"))).alias("pair"),
+                        F.col(text_col).alias("text"))
+    gone = near_duplicates(pairs, "pair", "text", **kw).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    if gone.count() * 100 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)            # checked size; beyond it the join shuffles
-    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    same = (F.col(id_col) == F.col(f"{name}.id")) & (digest == F.col(f"{name}.text"))
+    return docs.join(gone, same, "left_anti")

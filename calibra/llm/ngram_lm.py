@@ -232,6 +232,22 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(attempt, path)
 
 
+#: names of files that hold whole numbers in 1, 2, 4 or 8 bytes each
+WIDTHS = ("u1", "u2", "u4", "u8")
+
+
+def _save_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """Counts in the fewest bytes that hold the shard's greatest; the file's name says how many."""
+    most = int(counts.max()) if len(counts) else 0
+    width = next(w for w in WIDTHS if most < 1 << (8 * int(w[1:])))
+    _save(folder, f"{name}.{width}", counts.astype(f"<{width}"))
+
+
+def _map_counts(folder: str, name: str) -> np.ndarray:
+    width = next((w for w in WIDTHS if os.path.exists(os.path.join(folder, f"{name}.{w}"))), "u1")
+    return _map(folder, f"{name}.{width}", f"<{width}")
+
+
 def _map(folder: str, name: str, dtype: str) -> np.ndarray:
     path = os.path.join(folder, name)
     if not os.path.exists(path) or not os.path.getsize(path):
@@ -321,7 +337,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
                 _save(folder, f"xn{k + 1}-{shard}", counts.astype(np.int64))
                 return
             _save(folder, f"g{k}-{shard}", keys)
-            _save(folder, f"c{k}-{shard}", np.minimum(counts[:, 0], 0xFFFFFFFF).astype(np.uint32))
+            _save_counts(folder, f"c{k}-{shard}", counts[:, 0])
             yield _stats(kind, shard, counts[:, 0])
             if k > 1:
                 yield blocks(*_context_parts(rows, counts), shards, "c")
@@ -351,6 +367,10 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
 # --- scoring -------------------------------------------------------------------------
 
 
+#: kind of an array whose files say how wide its numbers are
+COUNTS = "counts"
+
+
 class Lookup:
     """The mapped arrays of a model."""
 
@@ -359,6 +379,8 @@ class Lookup:
 
     @lru_cache(maxsize=None)  # noqa: B019  (one object per worker and model)
     def part(self, name: str, shard: int, dtype: str) -> np.ndarray:
+        if dtype == COUNTS:
+            return _map_counts(self.model.folder, f"{name}-{shard}")
         return _map(self.model.folder, f"{name}-{shard}", dtype)
 
     def find(self, name: str, value: str, keys: np.ndarray, dtype: str, width: int = 1) -> np.ndarray:
@@ -386,7 +408,7 @@ class Lookup:
         p = np.full(len(rows), 1.0 / (m.vocabulary + 1))
         for k in range(1, m.order + 1):
             part = rows[:, m.order - k:]
-            c = self.of(f"g{k}", f"c{k}", part, "<u4")[:, 0]
+            c = self.of(f"g{k}", f"c{k}", part, COUNTS)[:, 0]
             d = np.array([0.0, *m.discounts[k - 1]])
             own = c - d[np.minimum(c, 3)]
             if k == 1:

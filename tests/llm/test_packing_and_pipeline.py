@@ -12,6 +12,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 from calibra.llm import packing, pii
+from calibra.llm.minhash import drop_near_copies
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -146,3 +148,30 @@ def shingles(text, n=5):
     if len(w) < n:
         return {tuple(w)} if w else set()
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "*", F.lit("mine").alias("Score"), F.lit(1.5).alias("pii"), F.lit(7).alias("redacted"), F.lit("x").alias("lang_pred"),
+        F.lit("s").alias("_share"), F.lit(3).alias("own_score"))
+    for name in ("language_id", "pii", "minhash_dedup", "exact_dedup"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir)
+        assert out.schema == docs.schema or [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+        own = out.select("Score", "pii", "redacted", "lang_pred", "_share", "own_score").distinct().collect()
+        assert [tuple(r) for r in own] == [("mine", 1.5, 7, "x", "s", 3)], name
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.collect() == [], name
+
+
+def test_near_copies_of_one_id_go_by_their_own_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    first, second = " ".join(words), " ".join(reversed(words))
+    rows = [(1, first), (2, first + " more"), (2, second), (2, second), (None, first), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in drop_near_copies(docs).collect()), key=repr)
+    assert kept == sorted([(1, first), (2, second), (2, second), (None, first), (3, None)], key=repr)

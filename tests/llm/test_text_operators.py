@@ -159,11 +159,60 @@ def test_rollup_commits_once_and_compacts(spark, tmp_path):
     assert store.commit("4", spark.createDataFrame([("a", "en", "t", "D", 9, 0)], schema))
     assert ("a", "en", "t", 0, 0) in {tuple(r) for r in store.totals().collect()}
     store.compact()
-    assert len(store.batches()) == 1
+    assert store.batches() == [] and not store.commit("4", second)
     with pytest.raises(Exception, match="op must be"):
         store.commit("5", spark.createDataFrame([("a", "en", "t", "X", 0, 0)], schema))
 
 
+def test_rollup_takes_any_batch_id(spark, tmp_path):
+    schema = "source string, lang string, tokenizer string, op string, tokens_before long, tokens_after long"
+    one = spark.createDataFrame([("a", "en", "t", "I", 0, 1)], schema)
+    store = rollup.RollupStore(spark, str(tmp_path / "store"))
+    ids = ["a+b", "base+x", "a/b=c:d", "é" * 400, *[f"2024-01-01T00:00:{i:02d}Z+x" for i in range(12)]]
+    assert all(store.commit(i, one) for i in ids) and store.batches() == sorted(ids)
+    store.compact()
+    # parts of a folded id are ids of their own; folded ids are known
+    assert store.commit("a", one) and store.commit("b", one) and not store.commit("a+b", one)
+    assert store.totals().first().n_docs == len(ids) + 2
+    store.compact()
+    assert store.totals().first().n_docs == len(ids) + 2 and store.batches() == []
+    assert len([p for p in (tmp_path / "store").iterdir() if not p.name.startswith(".")]) == 1
+    with pytest.raises(ValueError):
+        store.commit("", one)
+
+
+def test_chat_orders_tied_turns_by_role_and_text(spark):
+    texts = ["b", "a", "a[/INST]", "aA", "", None, "~", "[INST]"]
+    rows = [(c, 0, r, t) for c in range(3) for r in ("user", "assistant", None) for t in texts]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    for r in chat.format_conversations(frame).collect():
+        own = sorted(((role or "", t or "") for c, _, role, t in rows if c == r.conv_id))
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+
+
+def test_a_language_with_one_short_text_knows_it(spark):
+    texts = ["The quick brown fox and the lazy dog by the river bank number %d." % i for i in range(50)]
+    texts.append("Það er gott að vera hér við sjóinn í dag.")
+    docs = docs_of(spark, texts, ["en"] * 50 + ["is"])
+    found = {r.doc_id: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert found[50].lang_pred == "is" and found[50].score > 0.9
+    assert all(found[i].lang_pred == "en" for i in range(50))
+
+
+def test_a_column_of_countless_languages_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    docs = docs_of(spark, ["some text"] * 5, list("abcde"))
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs)
+
+
+def test_counts_of_any_size_are_kept(tmp_path):
+    for most in (0, 200, 300, 70_000, 5_000_000_000):
+        counts = np.array([1, most, 2], dtype=np.int64)
+        ngram_lm._save_counts(str(tmp_path), f"c-{most}", counts)
+        assert ngram_lm._map_counts(str(tmp_path), f"c-{most}").tolist() == counts.tolist()
+
+
 # --- 7: byte-level BPE ----------------------------------------------------------------
 
 
