@@ -14,7 +14,7 @@ from calibra.llm import langid, pii
 from calibra.llm.exact_dedup import drop_copies
 from calibra.llm.minhash import drop_near_copies
 from calibra.llm.packing import pack_documents
-from calibra.llm.scratch import new_path
+from calibra.llm.scratch import free_name, new_path
 from calibra.sources.tables import table
 
 #: a document goes when less than this share of its n-grams is known to its best language
@@ -24,11 +24,19 @@ LEAST_SCORE = 0.25
 ORACLE_SQL = None
 
 
+def _beside(docs: DataFrame, names: tuple[str, ...], work) -> DataFrame:
+    """``work(docs)``, which adds columns of these ``names``, with the documents' own columns of such
+    names kept aside under free ones; the result's own columns come back as they were."""
+    aside = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in names}
+    out = work(docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in docs.columns]))
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or in none of the corpus' languages go."""
     model = langid.train(docs)
-    found = langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return _beside(docs, ("lang_pred", "score"), lambda own: langid.identify(own, model).where(
+        (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +51,9 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind; n_chars follows the new text."""
-    found = pii.find(docs, pii.train(docs))
-    return found.withColumn("text", F.col("redacted")).withColumn(
-        "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    judge = pii.train(docs)
+    return _beside(docs, ("pii", "redacted"), lambda own: pii.find(own, judge).withColumn("text", F.col("redacted")).withColumn(
+        "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
