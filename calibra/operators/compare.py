@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from calibra.functions.columns import chi2_1_sf, safe_div
 from calibra.operators import metrics as M
 
+# Metrics that models are ranked by, in this order.
 RANK_METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc", "avg_precision"]
 # Overall ranking weights.
 OVERALL_WEIGHTS = {"f1_score": 0.4, "roc_auc": 0.3, "precision": 0.15, "recall": 0.15}

@@ -37,6 +37,17 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 
+def split_features(df: DataFrame, label: str, keys: Sequence[str] = (), drop: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(X, y): ``keys`` with all columns but the label and ``drop``, and ``keys`` with the label.
+
+    Both are projections of one scan; the keys join them again.  A missing label column is an error.
+    """
+    if label not in df.columns:
+        raise ValueError(f"Target column {label!r} not found")
+    left_out = {label, *drop}
+    return (df.select(*keys, *[c for c in df.columns if c not in left_out and c not in keys]), df.select(*keys, label))
+
+
 def _is_missing(df: DataFrame, c: str) -> Column:
     t = df.schema[c].dataType
     return missing(c) if isinstance(t, (DoubleType, FloatType)) else F.col(c).isNull()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from calibra.operators import quality as Q
 from calibra.plans.registry import query
@@ -129,6 +132,65 @@ def tail_sample(spark, sf_dir):
     return t.orderBy(*[F.desc(k) for k in V.TX_KEY]).limit(1000).select(*V.TX_KEY, "Class")
 
 
+@query("feature_split",
+       sql=with_views("tx") + f"""
+SELECT {', '.join(V.TX_KEY)}, 'X' AS part, l_quantity, l_extendedprice, l_tax, CAST(NULL AS INTEGER) AS Class FROM tx
+UNION ALL SELECT {', '.join(V.TX_KEY)}, 'y', NULL, NULL, NULL, Class FROM tx""",
+       rounded="l_quantity l_extendedprice l_tax")
+def feature_split(spark, sf_dir):
+    """Numeric features without one column, and the target, as two projections."""
+    t = V.tx(spark, sf_dir).select(*V.TX_KEY, *V.TX_FEATURES, "Class")
+    x, y = Q.split_features(t, "Class", V.TX_KEY, ["l_discount"])
+    return x.withColumn("part", F.lit("X")).unionByName(y.withColumn("part", F.lit("y")), allowMissingColumns=True)
+
+
+def _written(spark, name):
+    from calibra.session import scratch_path
+
+    return scratch_path(spark, f"files/{name}-{uuid.uuid4().hex}")
+
+
+@query("csv_files",
+       sql="""
+SELECT s_suppkey AS id, CAST(s_suppkey * 0.5 AS DOUBLE) AS amount, s_suppkey % 2 AS Class, 'reference' AS side FROM supplier
+UNION ALL SELECT s_suppkey, CAST(s_suppkey * 0.5 AS DOUBLE), s_suppkey % 2, 'current' FROM supplier WHERE s_suppkey % 3 = 0""",
+       rounded="amount")
+def csv_files(spark, sf_dir):
+    """A table exported as CSV and scanned again as a drift pair, columns found by name."""
+    from calibra.sources import files
+    from calibra.sources.tables import table
+
+    rows = table(spark, sf_dir, "supplier").select(
+        F.lit("x").alias("note"), (F.col("s_suppkey") % 2).cast("int").alias("Class"), (F.col("s_suppkey") * 0.5).alias("amount"),
+        F.col("s_suppkey").alias("id"))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("amount", T.DoubleType()),
+                           T.StructField("Class", T.LongType())])
+    reference, current = _written(spark, "reference"), _written(spark, "current")
+    files.export_csv(rows, reference)
+    files.export_csv(rows.where("id % 3 = 0"), current)
+    return files.reference_current(spark, reference, current, schema)
+
+
+@query("jsonl_log",
+       sql=with_views("log") + """
+SELECT prediction, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT ts) AS BIGINT) AS times,
+       sum(CAST(round(processing_time_ms * 100) AS BIGINT)) AS hundredths FROM log GROUP BY prediction""")
+def jsonl_log(spark, sf_dir):
+    """The prediction log appended as JSON lines in two batches and read back."""
+    from calibra.sources import files
+
+    log = V.log(spark, sf_dir)
+    rows = log.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), "prediction",
+                      F.col("score").alias("confidence"), "processing_time_ms", "request_id")
+    path = _written(spark, "log")
+    for i in range(2):
+        files.append_jsonl(rows.where(F.col("request_id") % 2 == i).drop("request_id"), path)
+    back = files.read_jsonl(spark, path)
+    return back.groupBy("prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("ts").alias("times"),
+        F.sum(F.round(F.col("processing_time_ms") * 100).cast("bigint")).alias("hundredths"))
+
+
 @query("request_decode",
        sql="""
 SELECT event_id, 0 AS transaction_id,

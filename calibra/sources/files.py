@@ -31,6 +31,10 @@ class EmptyDataError(ValueError):
     """The file exists but holds no rows."""
 
 
+class MissingColumnsError(ValueError):
+    """The header lacks columns that the schema names."""
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -45,7 +49,7 @@ def _by_header(reader, spark: SparkSession, path: str, schema: T.StructType) ->
     wanted = {f.name: f for f in schema.fields}
     lacking = [n for n in wanted if n not in header]
     if lacking:
-        raise ValueError(f"missing columns: {lacking}")
+        raise MissingColumnsError(f"missing columns: {lacking}")
     in_file = T.StructType([wanted.get(n, T.StructField(n, T.StringType())) for n in header])
     return reader.option("enforceSchema", False).schema(in_file).csv(path).select(*wanted)
 
@@ -54,8 +58,8 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = TRANS
              check_empty: bool = True) -> DataFrame:
     """CSV with header and an explicit schema, FAILFAST on malformed rows.
 
-    Missing path -> ``FileNotFoundError``; no rows -> ``EmptyDataError``;
-    an unreadable layout -> ``ValueError("Invalid file format")``.
+    Missing path -> ``FileNotFoundError``; no rows -> ``EmptyDataError``; a header that
+    lacks columns -> ``MissingColumnsError`` with their names; an unreadable layout -> ``ValueError("Invalid file format")``.
     """
     if not _exists(spark, path):
         raise FileNotFoundError(path)
@@ -65,7 +69,7 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = TRANS
         # parse the first row completely: an empty file or a broken layout fails here
         if check_empty and not df.limit(1).collect():
             raise EmptyDataError(f"No rows in {path}")
-    except EmptyDataError:
+    except (EmptyDataError, MissingColumnsError):
         raise
     except Exception as e:  # noqa: BLE001 - any parse failure is reported as a bad format
         raise ValueError("Invalid file format") from e

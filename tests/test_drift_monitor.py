@@ -59,6 +59,7 @@ def test_normal_and_chi2_tails(spark):
 
 
 def test_degradation_goldens(spark):
+    # Golden input and its expected results.
     y_true = [0, 0, 1, 0, 1, 0, 0, 1, 0, 0]
     y_pred = [0, 0, 1, 0, 0, 1, 0, 1, 0, 0]
     df = spark.createDataFrame(list(zip(y_true, y_pred)), "y_true int, y_pred int")

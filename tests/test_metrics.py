@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from calibra.operators import metrics as M
 
 # golden: 10 predictions of the reference's demo monitor
+# Golden input and its expected results.
 Y_TRUE = [0, 0, 1, 0, 1, 0, 0, 1, 0, 0]
 Y_PRED = [0, 0, 1, 0, 0, 1, 0, 1, 0, 0]
 # golden: sample prediction file of the reference's setup script

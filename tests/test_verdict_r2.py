@@ -157,3 +157,35 @@ def test_random_grid_divides_the_penalty_by_the_rows():
     est = ML.make_estimator("logistic_regression", "y")
     one, many = (ML.random_grid("logistic_regression", est, 5, n=n) for n in (1, 1000))
     assert all(a[est.regParam] == pytest.approx(1000 * b[est.regParam]) for a, b in zip(one, many, strict=True))
+
+
+def test_feature_split_and_missing_columns(spark, tmp_path):
+    from calibra.operators import quality as Q
+    from calibra.sources import files
+
+    df = spark.createDataFrame([(1, 2.0, 3.0, 1)], "id long, a double, b double, y int")
+    x, y = Q.split_features(df, "y", ["id"], ["b"])
+    assert x.columns == ["id", "a"] and y.columns == ["id", "y"]
+    with pytest.raises(ValueError, match="Target"):
+        Q.split_features(df, "z")
+    files.export_csv(df, str(tmp_path / "f"))
+    with pytest.raises(files.MissingColumnsError, match="Amount"):
+        files.load_csv(spark, str(tmp_path / "f"))
+
+
+def test_reports_are_partitioned_by_date(spark, tmp_path):
+    from calibra.sources import files
+
+    df = spark.createDataFrame([("m", 0.5)], "name string, f1 double")
+    for day in ("2024-01-01", "2024-01-02"):
+        files.write_report(df, str(tmp_path / "r"), F.lit(day))
+    back = spark.read.json(str(tmp_path / "r"))
+    assert back.count() == 2 and back.select("run_date").distinct().count() == 2
+
+
+def test_every_model_type_trains(spark):
+    import __spark_entry__ as E
+
+    rows = {r.model: r for r in E.queries()["train_models"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(rows) == set(ML.MODEL_TYPES)
+    assert all(r.status == "SUCCESS" and 0 < r.weighted_f1 <= 1 and r.error is None for r in rows.values())
