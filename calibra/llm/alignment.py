@@ -51,7 +51,7 @@ from calibra.llm.scratch import free_name, stored
 from calibra.llm.text import chunks, map_batches, utf8
 
 #: bytes of a range of a long document; texts up to twice of it are one fragment
-RANGE = 1 << 18
+RANGE = 1 << 15
 #: how many neighbouring fragments one step of the tree composes
 FAN_IN = 16
 #: distinct pairs that a counting task holds before it hands them on

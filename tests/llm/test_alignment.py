@@ -82,7 +82,7 @@ def got(frame):
     return sorted((tuple(r) for r in frame.select("doc_id", *alignment.RESULT).collect()), key=repr)
 
 
-@pytest.mark.parametrize("size", [97, 1000, 1 << 18])
+@pytest.mark.parametrize("size", [97, 1000, 1 << 15])
 def test_equals_plain(spark, libraries, size):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0]), (None, TEXTS[0]), (None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
