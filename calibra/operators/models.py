@@ -272,13 +272,14 @@ def tune(train: DataFrame, features: Sequence[str], label: str, kind: str, param
         est = make_estimator(kind, label, **({"n": row_weight(train)} if kind in PENALISED else {}))
     maps = param_maps if param_maps is not None else grid(kind, est, values or {})
     asm = VectorAssembler(inputCols=list(features), outputCol="features")
+    folds = train.agg(F.max(fold_col)).first()[0] + 1
     # Folds are a deterministic function of the key, so a lost cached block is
     # recomputed to the same rows; caching avoids re-running the split per fit.
     assembled = asm.transform(train).select("features", label, fold_col, "weight").persist()
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps,
                         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel",
                                                                   metricLabel=1.0),
-                        foldCol=fold_col, parallelism=parallelism)
+                        foldCol=fold_col, numFolds=folds, parallelism=parallelism)
     try:
         return cv.fit(assembled)
     finally:
