@@ -169,22 +169,29 @@ def compare(placed: DataFrame, ends: dict, cosine: float, window: int) -> DataFr
         x = table.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dims)[order]
         m, first, last = len(nodes), *ends[p, dims]
         out: list[tuple] = []
-        for lo in range(0, m, 256):
-            hi, back = min(lo + 256, m), max(0, lo - window)
-            i, j = np.nonzero(x[lo:hi] @ x[back:hi].T >= cosine)
-            i, j = i + lo, j + back
-            keep = (j < i) & (i - j <= window) & ~(halo[i] & halo[j])
-            i, j = i[keep], j[keep]
-            out.append((np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j]), np.full(len(i), PAIR), np.zeros(len(i))))
+        asked, sides = np.zeros(m), np.zeros(m, dtype=np.int64)
         for kind, near, far, at_end in ((LEFT, slice(window, m), slice(0, max(0, m - window)), bucket == first),
                                         (RIGHT, slice(0, max(0, m - window)), slice(window, m), bucket == last)):
             bits, known = np.zeros(m), np.full(m, at_end)
             if m > window:
                 bits[near], known[near] = _shared_bits(key[near], key[far]) + 1, True
+            asked, sides = np.maximum(asked, bits), sides + known
             if kind == LEFT:
                 known &= ~halo       # the left window of a halo row lies in its own bucket
             which = np.flatnonzero(known)
             out.append((nodes[which], nodes[which], np.full(len(which), kind), bits[which]))
+        # a pass is sure of a pair that shares what one end's window asks for; others need not be
+        # told, so a crowd that ties in all bits sends none (where an edge is unknown all are told)
+        asked[sides < 2] = 0
+        for lo in range(0, m, 256):
+            hi, back = min(lo + 256, m), max(0, lo - window)
+            i, j = np.nonzero(x[lo:hi] @ x[back:hi].T >= cosine)
+            i, j = i + lo, j + back
+            keep = (j < i) & (i - j <= window) & ~(halo[i] & halo[j])
+            i, j = i[keep], j[keep]
+            keep = _shared_bits(key[i], key[j]) >= np.minimum(asked[i], asked[j])
+            i, j = i[keep], j[keep]
+            out.append((np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j]), np.full(len(i), PAIR), np.zeros(len(i))))
         node, other, kind, value = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"node": node.astype(np.int64), "other": other.astype(np.int64), "pass": np.full(len(node), p, np.int32),
                          "kind": kind.astype(np.int32), "value": value.astype(np.int32)})
