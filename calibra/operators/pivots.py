@@ -64,18 +64,38 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def nearest(q: np.ndarray, qids: np.ndarray, r: np.ndarray, rids: np.ndarray, radius: np.ndarray, k: int,
             exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of r, distance) of the k nearest within each row's radius, by (distance, id)."""
+    """(row of q, row of r, distance) of the k nearest within each row's radius, by (distance, id).
+
+    A matrix product gives all squared distances up to a rounding error of at most ``off``; only pairs that
+    may be among the k nearest within it are then measured by their differences.
+    """
     out: list[tuple] = []
-    step = max(1, 2_000_000 // max(1, r.size))
+    with np.errstate(over="ignore"):
+        r2 = (r * r).sum(1)
+    step = max(1, 4_000_000 // max(1, len(r)))
+    unit = 4.0 * (r.shape[1] + 8) * np.finfo(np.float64).eps
     for s in range(0, len(q), step):
-        diff = q[s:s + step, None, :] - r[None, :, :]
-        dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-        if exclude_self:
-            dist[qids[s:s + step, None] == rids[None, :]] = np.inf
-        kth = np.partition(dist, min(k, len(rids)) - 1, axis=1)[:, min(k, len(rids)) - 1]
-        limit = np.minimum(kth, radius[s:s + step])
-        row, col = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
-        d = dist[row, col]
+        own, ids, reach = q[s:s + step], qids[s:s + step], radius[s:s + step]
+        with np.errstate(invalid="ignore", over="ignore"):
+            q2 = (own * own).sum(1)
+            square = q2[:, None] + r2[None, :] - 2.0 * (own @ r.T)
+            most = q2 + np.max(r2, where=np.isfinite(r2), initial=0.0)
+            off = unit * most
+            if not np.isfinite(most[np.isfinite(own).all(1)]).all() or not np.isfinite(r2[np.isfinite(r).all(1)]).all():
+                # finite vectors whose squares aren't: every pair is measured
+                square, off = np.zeros_like(square), np.full(len(own), np.inf)
+            if exclude_self:
+                square[ids[:, None] == rids[None, :]] = np.inf
+            kth = np.partition(square, min(k, len(rids)) - 1, axis=1)[:, min(k, len(rids)) - 1]
+            limit = np.minimum(kth, reach * reach * (1 + unit)) + 2 * off
+            row, col = np.nonzero((square <= limit[:, None]) & (square < np.inf))
+        d = np.empty(len(row))
+        part = max(1, 2_000_000 // max(1, r.shape[1]))
+        for lo in range(0, len(row), part):
+            diff = own[row[lo:lo + part]] - r[col[lo:lo + part]]
+            d[lo:lo + part] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        near = np.flatnonzero((d <= reach[row]) & np.isfinite(d))
+        row, col, d = row[near], col[near], d[near]
         order = np.lexsort((rids[col], d, row))
         row, col, d = row[order], col[order], d[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
