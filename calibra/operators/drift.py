@@ -62,15 +62,15 @@ def drift_summary(ks: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, features: Sequence[str], side: str = "side", bins: int = 30) -> DataFrame:
     """Equal-width histogram per feature and side on the shared [min, max].
 
-    The per-feature range is an aggregate (one row per feature) joined back;
-    AQE broadcasts it because its size is bounded by the feature count.
+    The per-feature range is an aggregate (one row per feature) that is broadcast: a shuffled join
+    would first send every row to the task of its feature, of which there are only a few.
     """
     lv = long_values(df, features, side)
     rng = lv.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     b = F.when(F.col("hi") > F.col("lo"),
                F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    h = lv.join(rng, "feature").groupBy("feature", F.col(side).alias("side"), b.cast("int").alias("bin")).agg(
+    h = lv.join(F.broadcast(rng), "feature").groupBy("feature", F.col(side).alias("side"), b.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("count"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     return h.select("feature", "side", "bin", "count",
                     (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("bin_start"))
