@@ -6,12 +6,12 @@
    written-out addresses, numbers with other separators, numbers without a plus,
    every run of neighbouring digit groups of a fitting length.
 3. Boosted trees (``pyspark.ml``) judge each candidate by its format and context.
-   They learn from candidates of a bounded sample of documents: base spans and
+   They learn from the candidates of all documents: base spans and
    disguised copies of them (plus dropped, "@" written out, other separators) are
    positive, candidates that touch no base span negative, unless they pass their
    kind's own check (Luhn, octets, a word that announces a number, an address
    written out): such a one may well be real and teaches nothing.
-4. On a part of the sample that the trees have not seen, each kind gets the
+4. On the documents that the trees have not seen (three tenths, by a hash of the text), each kind gets the
    smallest threshold that keeps the wanted precision among disguised copies and
    negatives (a threshold is never applied to base spans); a kind without one adds
    nothing.  Selected candidates that overlap a base span or a better candidate
@@ -40,14 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calibra.functions.prefix import cumulative_counts
 from calibra.llm.scratch import stored
 from calibra.llm.text import map_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: bound of the training sample, in documents
-TRAIN_DOCS = 20_000
-#: bound of its rows: candidates of each kind, part (fitting, calibrating) and sort (base, copy, negative)
-TRAIN_ROWS = 50_000
+#: training rows that a task hands over at once
+TRAIN_BATCH = 5_000
+#: training rows of a partition
+FIT_ROWS = 250_000
 PRECISION = 0.98
 
 # --- base rules ----------------------------------------------------------------------
@@ -296,60 +297,64 @@ def labelled_rows(text: str) -> Iterator[tuple[str, int, list[float]]]:
                 yield kind, NEGATIVE, features(kind, text[start:end], before, after)
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", most_docs: int = TRAIN_DOCS,
-          precision: float = PRECISION, most_rows: int = TRAIN_ROWS) -> Judge:
-    """Fit the trees and the thresholds on a hash sample of at most about ``most_docs`` documents, and of
-    their candidates on at most about ``most_rows`` of each kind, part and sort."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector
+def training_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``kind, what, x, held``: every training row of all documents."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
 
-    n = docs.count()
-    rate = min(1.0, most_docs / max(1, n))
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = docs.where((draw < rate) & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()),
+             pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.bool_())],
+            names=["kind", "what", "x", "held"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for b in batches:
-            # a document is wholly in the fitting or in the calibrating part
-            rows = [(*r, zlib.crc32(t.encode()) % 10) for t in b.column("text").to_pylist() for r in labelled_rows(t)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()),
-                 pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.int32())],
-                names=["kind", "what", "x", "part"])
-
-    rows = stored(map_batches(sample, collect, "kind string, what int, x array<double>, part int"), "candidates")
-    # one document may hold any number of candidates: rows are bounded too, alike for every kind and part
-    held = F.col("part") >= 7
-    sizes = {(r["kind"], r["held"], r["what"]): r["n"] for r in rows.groupBy("kind", held.alias("held"), "what").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(1.0)
-    for (kind, own, what), count in sizes.items():
-        share = F.when((F.col("kind") == kind) & (held == own) & (F.col("what") == what), min(1.0, most_rows / count)).otherwise(share)
-    lot = F.pmod(F.xxhash64("x"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = rows.where(lot < share).withColumn("label", (F.col("what") != NEGATIVE).cast("double"))
-    # a bounded sample: few partitions, for every tree takes several jobs over them
-    fit_on = rows.where(~held).select("label", array_to_vector("x").alias("features")).repartition(4)
+            for t in b.column("text").to_pylist():
+                # a document is wholly in the fitting or in the calibrating part
+                held = zlib.crc32(t.encode()) % 10 >= 7
+                for r in labelled_rows(t):
+                    rows.append((*r, held))
+                    if len(rows) >= TRAIN_BATCH:
+                        yield batch(rows)
+                        rows = []
+        yield batch(rows)
+
+    return map_batches(texts, collect, "kind string, what int, x array<double>, held boolean")
+
+
+def train(docs: DataFrame, text_col: str = "text", precision: float = PRECISION) -> Judge:
+    """Fit the trees and the thresholds on the candidates of all documents."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rows = stored(training_rows(docs, text_col), "candidates").withColumn("label", (F.col("what") != NEGATIVE).cast("double"))
+    fit_on = rows.where(~F.col("held")).select("label", array_to_vector("x").alias("features"))
+    n = fit_on.count()
     if fit_on.select("label").distinct().count() < 2:
         return Judge()
-    model = GBTClassifier(maxIter=12, maxDepth=4, seed=7).fit(fit_on)
-    judge = Judge(_arrays(model))
-    # the part that the trees have not seen: what the threshold will decide on, copies and negatives
-    unseen = rows.where(held & (F.col("what") != BASE)).select("kind", "label", "x").collect()
-    for kind in KINDS:
-        own = [r for r in unseen if r["kind"] == kind]
-        if any(r["label"] for r in own):
-            judge.thresholds[kind] = threshold(judge.probability(np.array([r["x"] for r in own])),
-                                               np.array([r["label"] for r in own]), precision)
+    # every tree takes several jobs over the rows: few partitions while they are few
+    fit_on = fit_on.repartition(max(4, -(-n // FIT_ROWS)))
+    judge = Judge(_arrays(GBTClassifier(maxIter=12, maxDepth=4, seed=7).fit(fit_on)))
+    judge.thresholds = thresholds(rows.where("held"), judge, precision)
     return judge
 
 
-def threshold(p: np.ndarray, label: np.ndarray, precision: float) -> float:
-    """The smallest probability from which on the wanted share is positive; 2 if there is none."""
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(label[order]) / np.arange(1, len(p) + 1)
-    last_of_value = np.append(p[order][1:] != p[order][:-1], True)
-    good = np.flatnonzero((right >= precision) & last_of_value)
-    return float(p[order][good[-1]]) if len(good) else 2.0
+def thresholds(unseen: DataFrame, judge: Judge, precision: float) -> dict[str, float]:
+    """Per kind with copies the smallest probability from which on the wanted share of ``unseen`` rows
+    (copies and negatives) is positive; 2 if there is none."""
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, FEATURES)
+            yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(-judge.probability(x)), b.column("label")],
+                                             names=["kind", "p", "label"])
+
+    rated = map_batches(unseen.where(F.col("what") != BASE).select("kind", "x", "label"), rate,
+                        "kind string, p double, label double")
+    sums = cumulative_counts(stored(rated, "rated"), ["kind"], "p", {"all": F.count(F.lit(1)), "right": F.sum("label")})
+    good = F.col("cum_right") / F.col("cum_all") >= precision
+    best = sums.groupBy("kind").agg(F.max(F.when(good, F.col("p"))).alias("p"), F.max("tot_right").alias("copies")).collect()
+    return {r["kind"]: 2.0 if r["p"] is None else -r["p"] for r in best if r["copies"]}
 
 
 # --- use -----------------------------------------------------------------------------
