@@ -1,9 +1,9 @@
 """Drift and degradation.
 
 Two-sample KS runs on all features at once: unpivot to ``(feature, value,
-side)``, count per distinct value (ties and hot values collapse map-side),
-then distributed running sums per feature.  No sort of the raw data, no
-collect, no single-partition window.
+side)``, count per distinct value (ties and hot values collapse map-side) and
+store these counts, then distributed running sums per feature over them.  The
+raw data is read once; no sort of it, no collect, no single-partition window.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from calibra.functions.columns import kolmogorov_sf, missing, safe_div
 from calibra.functions.prefix import cumulative_counts
+from calibra.llm.scratch import stored
 
 
 def long_values(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
@@ -31,11 +32,12 @@ def ks_two_sample(df: DataFrame, features: Sequence[str], side: str = "side",
 
     D = max |F_ref(v) - F_cur(v)| over all distinct values v; p from the
     asymptotic Kolmogorov distribution with lambda = D sqrt(n m / (n + m)).
+    The bucket bounds, the buckets and their totals are all worked out from the stored
+    counts, so that the rows of ``df`` are read and unpivoted only once.
     """
-    lv = long_values(df, features, side)
-    cum = cumulative_counts(lv, ["feature"], "value",
-                            {"ca": F.count_if(F.col(side) == reference), "cb": F.count_if(F.col(side) == current)},
-                            buckets=buckets)
+    counts = stored(long_values(df, features, side).groupBy("feature", "value").agg(
+        F.count_if(F.col(side) == reference).alias("ca"), F.count_if(F.col(side) == current).alias("cb")), "value-counts")
+    cum = cumulative_counts(counts, ["feature"], "value", {"ca": F.sum("ca"), "cb": F.sum("cb")}, buckets=buckets)
     gap = F.abs(safe_div(F.col("cum_ca"), F.col("tot_ca")) - safe_div(F.col("cum_cb"), F.col("tot_cb")))
     per = cum.groupBy("feature").agg(
         F.max(gap).alias("ks_statistic"),
