@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from calibra.functions.frames import few_rows
 
 #: up to so many groups the bucket bounds are fetched and broadcast; beyond, they are joined
 MAX_SHIPPED_GROUPS = 10_000
@@ -59,7 +60,7 @@ def _with_bounds(df: DataFrame, group_cols: Sequence[str], value_col: str, parts
     found = bounds.limit(MAX_SHIPPED_GROUPS + 1).collect()
     if len(found) > MAX_SHIPPED_GROUPS:
         return df.join(bounds, list(group_cols), "left")
-    small = df.sparkSession.createDataFrame(found, bounds.schema)
+    small = few_rows(df.sparkSession, found, bounds.schema)
     # null groups keep their rows: the join is null-safe
     names = [f"_g{i}" for i in range(len(group_cols))]
     small = small.select(*[F.col(c).alias(n) for c, n in zip(group_cols, names, strict=True)], "_bounds")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibra.functions.frames import few_rows
 from calibra.llm.scratch import free_name, stored
 
 HEAVY = 256
@@ -79,12 +80,12 @@ def decide(rows: DataFrame, id_col: str, digest_col: str, k: int = HEAVY) -> Dat
                                  "kept": F.lit(True)})
     # the candidates number at most k (the limit in ``frequent``): bound of the broadcast
     names = [r["value"] for r in frequent(rows, digest_col, k).collect()]
-    candidates = spark.createDataFrame([(bytes(v),) for v in names], "_digest binary")
+    candidates = few_rows(spark, [(bytes(v),) for v in names], "_digest binary")
     winners = rows.join(F.broadcast(candidates), F.col(digest_col) == F.col("_digest"), "left_semi") \
         .groupBy(F.col(digest_col).alias("_digest")) \
         .agg(F.count(F.lit(1)).alias("_size"), F.max(id_col).alias("_winner")) \
         .where(F.col("_size") * 2 * (k + 1) > F.lit(total))     # verified: really frequent
-    heavy = spark.createDataFrame([tuple(r) for r in winners.collect()], winners.schema)
+    heavy = few_rows(spark, winners.collect(), winners.schema)
     split = rows.join(F.broadcast(heavy), F.col(digest_col) == F.col("_digest"), "left").drop("_digest")
     loses = F.col("_size").isNotNull() & F.col("_winner").isNotNull() & \
         (F.col(id_col).isNull() | (F.col(id_col) != F.col("_winner")))

@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibra.functions.frames import few_rows
 from calibra.llm import unit_table
 from calibra.llm.scratch import free_name, stored
 from calibra.llm.text import chunks, map_batches, utf8
@@ -303,7 +304,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .withColumn(k, F.col(k) + F.col(before_))
     # the slots of a length, of which a number fits exactly one
     names = "length long, first long, last long, sequence long, place long"
-    by_length = spark.createDataFrame(table or [], names).groupBy("length").agg(
+    by_length = few_rows(spark, table or [], names).groupBy("length").agg(
         F.sort_array(F.collect_list(F.struct("first", "last", "sequence", "place"))).alias(here))
     found = numbered.join(F.broadcast(by_length), "length") \
         .withColumn(here, F.filter(here, lambda s: (s["first"] <= F.col(k)) & (F.col(k) < s["last"]))[0])
