@@ -22,6 +22,12 @@ both tokenizers certainly end a token: a space after a character that isn't whit
 space.  It keeps the tokens that end inside the range.  Where no such place is near,
 the range is stretched to one, so the surplus stays below a quarter of a range.
 
+Shorter texts are whole.  They are cut at such places as well: what lies between two of
+them is a unit whose tokens and groups depend on nothing else, so the corpus' frequent units
+are encoded and aligned once and texts look them up in a table that workers map into
+memory (:mod:`calibra.llm.unit_table`).  Both tokenizers read the rarer and the longer units
+where they stand.
+
 Counts of linked id pairs are summed over the corpus (first in every task), written
 as sorted arrays to the shared folder, and mapped by workers to look up each
 document's links.  Their number is bounded by the product of the vocabularies.
@@ -46,9 +52,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calibra.llm import unit_table
 from calibra.llm.ngram_lm import _map, _save, local_folder
 from calibra.llm.scratch import free_name, stored
 from calibra.llm.text import chunks, map_batches, utf8
+from calibra.llm.unit_table import Runs, UnitTable, spaced_runs, spread
 
 #: bytes of a range of a long document; texts up to twice of it are one fragment
 RANGE = 1 << 15
@@ -58,6 +66,12 @@ FAN_IN = 16
 HELD = 1_000_000
 #: white space in such a run overflows the stack of the fast encoder's pattern matcher
 LONG_BLANK = re.compile(r"\s{4096}")
+#: characters of neighbouring units that the tokenizers read at once
+JOINED = 2048
+#: marks on an id in written order: it is B's; it is the last one of its side of a group
+SIDE, LAST = 1 << 31, 1 << 30
+#: the ids themselves, and what stands for a unit whose bytes a tokenizer does not give back
+ID, BAD = LAST - 1, (1 << 32) - 1
 
 
 # --- the two tokenizers ------------------------------------------------------------------
@@ -99,9 +113,13 @@ class Pair:
             self.bytes_a[i] = token
         self.bytes_b = [self._piece(i) for i in range(self.sp.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(t) for t in of], dtype=np.int64) for of in (self.bytes_a, self.bytes_b))
-        # decimal ids with what follows them: "," inside a side, "|" after A's side, ";" after B's
-        self.names_a = np.array([f"{i}{e}" for e in ",|" for i in range(len(self.bytes_a))], dtype=object)
-        self.names_b = np.array([f"{i}{e}" for e in ",;" for i in range(len(self.bytes_b))], dtype=object)
+        # whether no token of B reaches over a space that follows another character
+        self.cuttable = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
+        # decimal ids by their marks, with what follows them: "," inside a side, "|" after A's side, ";" after B's
+        self.most = max(len(self.bytes_a), len(self.bytes_b))
+        names = [b"%d%c" % (i, e) for e in b",|,;" for i in range(self.most)]
+        self.letters, self.width = np.frombuffer(b"".join(names), dtype=np.uint8), np.array([len(n) for n in names])
+        self.place = np.cumsum(self.width) - self.width
 
     def _piece(self, i: int) -> bytes:
         piece = self.sp.id_to_piece(i)
@@ -122,6 +140,35 @@ class Pair:
             return None
         return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
+    def cuts(self, units: list[str]) -> list[np.ndarray]:
+        """Marked ids of each of many units, all of which begin with a space; ``BAD`` alone where bytes differ."""
+        out, lo, size = [], 0, 0
+        for hi, unit in enumerate(units, 1):
+            size += len(unit)
+            # white space at a unit's end would go on in the next one
+            if size >= JOINED or hi == len(units) or unit[-1].isspace() or not self.cuttable:
+                out += self._read(units[lo:hi])
+                lo, size = hi, 0
+        return out
+
+    def _read(self, units: list[str]) -> list[np.ndarray]:
+        """``cuts`` of units that are read as one text."""
+        found = self.both("".join(units)[1:])
+        if found is None:
+            half = len(units) // 2
+            return self._read(units[:half]) + self._read(units[half:]) if half else [np.array([BAD], dtype=np.uint32)]
+        a, b = found
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        stream = marked(a, b, *aligned(a, ends_a, b, ends_b))
+        ends = np.cumsum([len(u.encode()) for u in units])[:-1]
+        return np.split(stream, np.searchsorted(ends_a, ends) + np.searchsorted(ends_b, ends) + 2)
+
+    def text(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, length of each id's name) of marked ids as they are written."""
+        at = (stream >> 30).astype(np.int64) * self.most + (stream & ID)
+        width = self.width[at]
+        return self.letters[spread(self.place[at], width)], width
+
     def code(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """One number per id pair."""
         return a * len(self.bytes_b) + b
@@ -172,19 +219,19 @@ def aligned(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray
     return np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
 
 
-def written(p: Pair, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the tokens of whole groups in written order, and where each group begins.
+def marked(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """The ids of whole groups in written order, with their marks.
 
     ``at_a, at_b``: places of the groups' last tokens; both streams end with the last group.
     """
-    parts = np.empty(len(a) + len(b), dtype=object)
+    parts = np.empty(len(a) + len(b), dtype=np.uint32)
     last_a, last_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
     last_a[at_a], last_b[at_b] = 1, 1
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     before_b = np.append(0, at_b[:-1] + 1) if len(at_b) else NONE
-    parts[np.arange(len(a)) + before_b[group_a]] = p.names_a[a + last_a * len(p.bytes_a)]
-    parts[np.arange(len(b)) + at_a[group_b] + 1] = p.names_b[b + last_b * len(p.bytes_b)]
-    return parts, (np.append(0, at_a + at_b + 2)[:-1] if len(at_a) else NONE)
+    parts[np.arange(len(a)) + before_b[group_a]] = a | last_a * LAST
+    parts[np.arange(len(b)) + at_a[group_b] + 1] = b | last_b * LAST | SIDE
+    return parts
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -202,27 +249,53 @@ def unpacked(data) -> np.ndarray:
 WHOLE = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "groups_sha256": pa.string(), "links": pa.binary()}
 
 
-def _whole_texts(p: Pair, texts: list) -> list[list]:
-    """The columns of WHOLE for a few texts, worked on together."""
-    found = [p.both(t) if t else None for t in texts]
-    good = [i for i, f in enumerate(found) if f is not None]
-    out = [[0] * len(texts), [0] * len(texts), [0] * len(texts), [""] * len(texts), [b""] * len(texts)]
-    if not good:
-        return out
-    a, b = (np.concatenate([found[i][side] for i in good]) for side in (0, 1))
-    at_a, at_b = aligned(a, np.cumsum(p.size_a[a]), b, np.cumsum(p.size_b[b]))
-    parts, begins = written(p, a, b, at_a, at_b)
-    links = p.code(a[at_a], b[at_b])
-    end_a, end_b = (np.cumsum([len(found[i][side]) for i in good]) for side in (0, 1))
-    to = np.searchsorted(at_a, end_a - 1) + 1       # groups up to each text's end
-    n_a = n_b = g = 0
-    for i, ea, eb, t in zip(good, end_a.tolist(), end_b.tolist(), to.tolist(), strict=True):
-        body = "".join(parts[n_a + n_b:ea + eb].tolist())[:-1]
-        for column, value in zip(out, (ea - n_a, eb - n_b, t - g, hashlib.sha256(body.encode()).hexdigest(),
-                                       packed(links[g:t])), strict=True):
-            column[i] = value
-        n_a, n_b, g = ea, eb, t
-    return out
+def spaced(raw: np.ndarray, offsets: np.ndarray) -> Runs:
+    """The units of texts that begin with the space B adds.
+
+    A space at the very end begins none: B would read nothing after it and add no space.
+    """
+    starts, ends, first = spaced_runs(raw, offsets)
+    kept = ends - starts > 1
+    kept[first[:-1][np.diff(offsets) > 0]] = True
+    starts = starts[kept]
+    return starts, np.append(starts[1:], len(raw))[:len(starts)], np.searchsorted(starts, offsets)
+
+
+def undivided(raw: np.ndarray, offsets: np.ndarray) -> Runs:
+    """Every text as one unit, where a token of B may reach over a space."""
+    some = np.diff(offsets) > 0
+    return offsets[:-1][some], offsets[1:][some], np.append(0, np.cumsum(some))
+
+
+def _whole_texts(p: Pair, table: UnitTable, raw: np.ndarray, offsets: np.ndarray) -> list[list]:
+    """The columns of WHOLE for a few texts (each with the space before it), worked on together."""
+    stream, sizes = unit_table.text_ids(table, raw, offsets, p.cuts)
+    upto = np.append(0, np.cumsum(sizes))
+    bad = np.flatnonzero(stream == BAD)
+    if len(bad):
+        good = np.ones(len(sizes), dtype=bool)
+        good[np.searchsorted(upto, bad, side="right") - 1] = False
+        stream, sizes = stream[np.repeat(good, sizes)], np.where(good, sizes, 0)
+        upto = np.append(0, np.cumsum(sizes))
+    of_b, last, ids = stream >= SIDE, (stream & LAST) > 0, (stream & ID).astype(np.int64)
+    links = p.code(ids[last & ~of_b], ids[last & of_b])
+    n_b, groups = (np.append(0, np.cumsum(x))[upto] for x in (of_b, last & of_b))
+    body, width = p.text(stream)
+    view, ends, groups = memoryview(body), np.append(0, np.cumsum(width))[upto].tolist(), groups.tolist()
+    return [(sizes - np.diff(n_b)).tolist(), np.diff(n_b).tolist(), np.diff(groups).tolist(),
+            [hashlib.sha256(view[x:y - 1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:], strict=False)],
+            [packed(links[x:y]) if y > x else b"" for x, y in zip(groups, groups[1:], strict=False)]]
+
+
+def pair_table(docs: DataFrame, path_a: str, path_b: str, text_col: str) -> UnitTable:
+    """The marked ids of the frequent units of ``spaced_texts``."""
+    return unit_table.build(docs, text_col, spaced if pair(path_a, path_b).cuttable else undivided,
+                            lambda: pair(path_a, path_b).cuts)
+
+
+def spaced_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with space + text; null where there is no text."""
+    return docs.withColumn(text_col, F.when(F.octet_length(text_col) > 0, F.concat(F.lit(" "), F.col(text_col))))
 
 
 def align_whole(docs: DataFrame, path_a: str, path_b: str, text_col: str) -> DataFrame:
@@ -230,15 +303,17 @@ def align_whole(docs: DataFrame, path_a: str, path_b: str, text_col: str) -> Dat
     kept = [c for c in docs.columns if c != text_col]
     schema = docs.select(*kept, *[F.lit(0 if t == pa.int64() else "").cast(
         {pa.int64(): "long", pa.string(): "string"}.get(t, "binary")).alias(c) for c, t in WHOLE.items()]).schema
+    docs = spaced_texts(docs, text_col)
+    table = pair_table(docs, path_a, path_b, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(path_a, path_b)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            _, offsets = utf8(texts)
+            data, offsets = utf8(batch.column(batch.schema.get_field_index(text_col)))
             columns: list[list] = [[] for _ in WHOLE]
             for lo, hi in chunks(offsets):
-                for column, part in zip(columns, _whole_texts(p, texts[lo:hi].to_pylist()), strict=True):
+                found = _whole_texts(p, table, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                for column, part in zip(columns, found, strict=True):
                     column.extend(part)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in kept]
@@ -326,8 +401,8 @@ def fragment_of(p: Pair, part: int, begin: int, end: int, at: int, piece: str):
     if not len(at_a):
         return len(a), len(b), 0, "", NONE, Fragment((a, b), (NONE, NONE), -1)
     fa, fb, la, lb = at_a[0] + 1, at_b[0] + 1, at_a[-1] + 1, at_b[-1] + 1
-    parts, _ = written(p, a[fa:la], b[fb:lb], at_a[1:] - fa, at_b[1:] - fb)
-    return (len(a), len(b), len(at_a) - 1, "".join(parts.tolist()), p.code(a[at_a[1:]], b[at_b[1:]]),
+    body, _ = p.text(marked(a[fa:la], b[fb:lb], at_a[1:] - fa, at_b[1:] - fb))
+    return (len(a), len(b), len(at_a) - 1, body.tobytes().decode(), p.code(a[at_a[1:]], b[at_b[1:]]),
             Fragment((a[:fa], b[:fb]), (a[la:], b[lb:]), part))
 
 

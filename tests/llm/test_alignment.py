@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -89,6 +90,52 @@ def test_equals_plain(spark, libraries, size):
     assert got(alignment.align(frame, A, B, size=size)) == plain(rows, *libraries)
 
 
+def test_units_equal_plain(spark, libraries):
+    """Texts cut at every kind of white space, with units that come once, often, and with bytes that B changes."""
+    rng = random.Random(7)
+    parts = ["the", "cat's", "Ünï", "漢字", "🎉", "▁", "e\u0301", "\u0308", "123", "<s>", "_", "...", "\0"]
+    blanks = [" "] * 8 + ["  ", "   ", "\t", "\n", "\r\n", " \n", "\n ", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2029", "\u3000", ""]
+    texts = []
+    for i in range(300):
+        few = [p for p in parts if p != "▁" or i % 5 == 0]
+        texts.append(rng.choice(["", " ", "\n"]) + "".join(
+            (rng.choice(few) if rng.random() < 0.9 else f"w{rng.random()}") + rng.choice(blanks) for _ in range(rng.randint(0, 30))))
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = plain(rows, *libraries)
+    assert got(alignment.align(frame, A, B)) == expected
+    assert 0 < sum(r[1] == 0 for r in expected) < 150
+
+
+def test_frequent_units_are_read_once(spark, libraries, monkeypatch):
+    """Both tokenizers read words that come again from the table (they read every text whole before)."""
+    texts = [" ".join(f"word{(i * 7 + j) % 40}," for j in range(50)) for i in range(60)] + ["once alone", None, "", "bad ▁ word0,"]
+    frame = alignment.spaced_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text")
+    table = alignment.pair_table(frame.repartition(2), A, B, "text")
+    p, read = alignment.pair(A, B), []
+    both = p.both
+    monkeypatch.setattr(p, "both", lambda text: read.append(text) or both(text))
+    data, offsets = alignment.utf8(pa.array([None if not t else " " + t for t in texts]))
+    n_a, n_b, n_groups, digests, links = alignment._whole_texts(p, table, data, offsets)
+    assert sum(map(len, read)) < 100 < sum(len(t or "") for t in texts)
+    wanted = plain(list(enumerate(texts)), *libraries)
+    assert [(i, *x) for i, x in enumerate(zip(n_a, n_b, n_groups, digests, strict=True))] == \
+        sorted((r[0], r[1], r[2], r[3], r[7]) for r in wanted)
+    assert [len(alignment.unpacked(x)) for x in links] == n_groups and n_groups[-3:] == [0, 0, 0]
+
+
+def test_undivided_where_a_token_holds_a_space(spark, libraries, monkeypatch):
+    p = alignment.pair(A, B)
+    assert p.cuttable
+    raw = np.frombuffer(b" a b c ", dtype=np.uint8)
+    assert [x.tolist() for x in alignment.spaced(raw, np.array([0, 0, 4, 7]))] == [[0, 2, 4], [2, 4, 7], [0, 0, 2, 3]]
+    assert [x.tolist() for x in alignment.undivided(raw, np.array([0, 0, 4, 7]))] == [[0, 4], [4, 7], [0, 0, 1, 2]]
+    monkeypatch.setattr(p, "cuttable", False)
+    rows = [(i, t) for i, t in enumerate(TEXTS)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(alignment.align(frame, A, B)) == plain(rows, *libraries)
+
+
 def test_query_equals_plain(spark, sf_dir, libraries):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     assert got(op12_token_alignment(spark, sf_dir)) == plain([tuple(r) for r in docs], *libraries)
