@@ -2,10 +2,10 @@
 
 A *unit* is a run of bytes that a tokenizer encodes independently of its neighbours
 (a word, or a word with the space before it).  Every task cuts its texts into
-units without an object per unit, counts the distinct ones and sends one packed block
-per shard of the hash range.  One task per shard merges them, lets the tokenizer
-encode each unit that occurs ``LEAST`` times or more, and writes sorted 64-bit hashes
-with the ids to the shared folder of ``spark.checkpoint.dir``.  Workers then turn texts
+units without an object per unit, counts the distinct ones and sends packed blocks, one
+per part of a shard of the hash range.  One task per shard merges them part by part (so it
+holds ``1 / PARTS`` of them at once), lets the tokenizer encode each unit that occurs
+``LEAST`` times or more, and writes sorted 64-bit hashes with the ids to the shared folder of ``spark.checkpoint.dir``.  Workers then turn texts
 into ids by looking hashes up; rarer and longer units are encoded where they stand.
 
 The table holds at most (units of the corpus / LEAST) entries.  Two units of one
@@ -32,6 +32,8 @@ from calibra.llm.text import IS_SPACE, U, chunks, map_batches, mix, utf8
 LEAST, LONGEST = 2, 64
 #: distinct units that a counting task holds before it hands them on
 HELD = 400_000
+#: equal parts of a shard's hash range, which its task merges one after another
+PARTS = 16
 
 Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -120,22 +122,23 @@ class _Counted:
         return merged
 
 
-BLOCK = "shard int, keys binary, counts binary, lengths binary, data binary"
+BLOCK = "shard int, part int, keys binary, counts binary, lengths binary, data binary"
 
 
 def count_units(docs: DataFrame, text_col: str, cutter, shards: int, salt: int) -> DataFrame:
-    """Packed blocks of the distinct units, one row per task and shard."""
+    """Packed blocks of the distinct units, one row per task and part of a shard."""
 
     def blocks(counted: _Counted) -> pa.RecordBatch:
         keys, counts, lengths, data = counted.merge()
-        cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+        cuts = np.searchsorted(shard_of(keys, shards * PARTS), np.arange(shards * PARTS + 1))
         begin = np.append(0, np.cumsum(lengths))
-        rows = [(int(s), keys[a:b].tobytes(), counts[a:b].astype("<i8").tobytes(), lengths[a:b].astype("u1").tobytes(),
+        rows = [(int(s) // PARTS, int(s) % PARTS, keys[a:b].tobytes(), counts[a:b].astype("<i8").tobytes(), lengths[a:b].astype("u1").tobytes(),
                  data[begin[a]:begin[b]].tobytes())
                 for s, a, b in ((s, cuts[s], cuts[s + 1]) for s in np.flatnonzero(np.diff(cuts)))]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-                                          names=["shard", "keys", "counts", "lengths", "data"])
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array(c, pa.int32()) for c in columns[:2]], *[pa.array(c, pa.binary()) for c in columns[2:]]],
+            names=["shard", "part", "keys", "counts", "lengths", "data"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = _Counted()
@@ -171,8 +174,8 @@ def build(docs: DataFrame, text_col: str, cutter, encoder: Callable[[], Callable
     for salt in range(100):
         folder = local_folder(spark, "unit-table")
 
-        def write(shard: int, counted: _Counted, folder: str = folder, salt: int = salt) -> int:
-            """Write one shard; returns how many units share another's hash."""
+        def merged(counted: _Counted, salt: int = salt) -> tuple:
+            """How many units of a part share another's hash; the frequent ones' hashes, numbers of ids, and ids."""
             raw = [np.concatenate(x) for x in zip(*counted.parts, strict=True)]
             begin = np.cumsum(raw[2]) - raw[2]
             second = run_hashes(raw[3], begin, raw[2], salt + 1000)
@@ -185,29 +188,44 @@ def build(docs: DataFrame, text_col: str, cutter, encoder: Callable[[], Callable
             for lo in range(0, len(kept), 4096):
                 part = kept[lo:lo + 4096].tolist()
                 ids += encode([body[begin[i]:begin[i] + lengths[i]].decode() for i in part])
-            sizes = np.array([len(i) for i in ids], dtype=np.int64)
-            _save(folder, f"k-{shard}", keys[kept])
+            return clash, (keys[kept], np.array([len(i) for i in ids], dtype=np.int64),
+                           (np.concatenate(ids) if ids else np.empty(0)).astype("<u4"))
+
+        def write(shard: int, parts: list[tuple], folder: str = folder) -> None:
+            keys, sizes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _save(folder, f"k-{shard}", keys)
             _save(folder, f"o-{shard}", np.append(0, np.cumsum(sizes)).astype("<u4"))
-            _save(folder, f"i-{shard}", (np.concatenate(ids) if ids else np.empty(0)).astype("<u4"))
-            return clash
+            _save(folder, f"i-{shard}", ids)
+
+        def run(batches: Iterator[pa.RecordBatch], merged=merged, write=write) -> Iterator[pa.RecordBatch]:
+            current, counted, done, clashes = None, _Counted(), [], 0
+
+            def close(shard: int | None) -> None:
+                """End the current part, and the current shard unless the next part is of it."""
+                nonlocal clashes, done
+                clash, found = merged(counted)
+                clashes += clash
+                done.append(found)
+                if shard != current[0]:
+                    write(current[0], done)
+                    done = []
 
-        def run(batches: Iterator[pa.RecordBatch], write=write) -> Iterator[pa.RecordBatch]:
-            current, counted, clashes = None, _Counted(), 0
             for b in batches:
-                for shard, *parts in zip(*(b.column(i) for i in range(5)), strict=True):
-                    if shard.as_py() != current:
+                for shard, part, *packed in zip(*(b.column(i) for i in range(6)), strict=True):
+                    now = (shard.as_py(), part.as_py())
+                    if now != current:
                         if current is not None:
-                            clashes += write(current, counted)
-                        current, counted = shard.as_py(), _Counted()
+                            close(now[0])
+                        current, counted = now, _Counted()
                     keys, counts, lengths, data = (np.frombuffer(p.as_buffer(), dtype=t) for p, t in
-                                                   zip(parts, ("<u8", "<i8", "u1", "u1"), strict=True))
+                                                   zip(packed, ("<u8", "<i8", "u1", "u1"), strict=True))
                     counted.add(keys, counts, lengths.astype(np.int64), data)
             if current is not None:
-                clashes += write(current, counted)
+                close(None)
             yield pa.RecordBatch.from_arrays([pa.array([clashes], pa.int64())], names=["clashes"])
 
         blocks = count_units(docs, text_col, cutter, shards, salt)
-        found = map_batches(blocks.repartition(shards, "shard").sortWithinPartitions("shard"), run, "clashes long")
+        found = map_batches(blocks.repartition(shards, "shard").sortWithinPartitions("shard", "part"), run, "clashes long")
         if not found.agg(F.sum("clashes")).first()[0]:
             return UnitTable(folder, shards, salt, cutter)
     raise RuntimeError("no hash without a clash found")

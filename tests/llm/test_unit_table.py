@@ -60,6 +60,29 @@ def test_counts_and_hash_order():
     assert words == {b"the": 4, b"cat": 4, b"dog": 2} and (np.diff(merged.astype(object)) > 0).all()
 
 
+def test_a_shard_is_merged_in_parts(spark):
+    """A task that merges holds one part of its shard at once (it held the whole shard before)."""
+    texts = [" ".join(f"w{i * 31 + j}" for j in range(200)) for i in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    blocks = unit_table.count_units(docs, "text", unit_table.word_runs, 2, 0).collect()
+    places = [(r.shard, r.part) for r in blocks]
+    assert set(places) == {(s, p) for s in range(2) for p in range(unit_table.PARTS)} and len(places) > len(set(places))
+    for r in blocks:
+        keys = np.frombuffer(r["keys"], dtype="<u8")
+        assert set(unit_table.shard_of(keys, 2 * unit_table.PARTS).tolist()) == {r.shard * unit_table.PARTS + r.part}
+    table = unit_table.build(docs, "text", unit_table.word_runs, lambda: lambda units: [np.array([int(u[1:])]) for u in units])
+    raw, offsets = joined(texts)
+    missing = []
+
+    def encode(units):
+        missing.extend(units)
+        return [np.array([int(u[1:])]) for u in units]
+
+    ids, sizes = unit_table.text_ids(table, raw, offsets, encode)
+    assert ids.tolist() == [i * 31 + j for i in range(40) for j in range(200)] and sizes.tolist() == [200] * 40
+    assert sorted(missing) == sorted(f"w{i}" for i in [*range(31), *range(39 * 31 + 169, 39 * 31 + 200)])
+
+
 def test_digests_equal_tiktoken(spark):
     texts = hard_texts(400, 3) + [None, "", "a" * 20_000, " " * 3000 + "end", "same words " * 500] * 2
     docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, N_Tokens string")
